@@ -57,15 +57,15 @@ def _numbered(placed: DataFrame, alias: str, rows_alias: str | None = None) -> D
     starts = per_part.select(
         _PART,
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"),
-        F.sum("__n").over(Window.partitionBy()).alias("__rows"),
+        F.sum("__n").over(Window.partitionBy()).alias("__total"),
     )
     slot = F.col(_PLACE).bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
     # ``starts`` has one row per partition of ``placed``, so its size is bounded by the cluster.
     added = {alias: F.col("__start") + slot + F.lit(1)}
     if rows_alias:
-        added[rows_alias] = F.col("__rows")
+        added[rows_alias] = F.col("__total")
     return (
-        placed.join(F.broadcast(starts), _PART).withColumns(added).drop(_PART, _PLACE, "__start", "__rows")
+        placed.join(F.broadcast(starts), _PART).withColumns(added).drop(_PART, _PLACE, "__start", "__total")
     )
 
 

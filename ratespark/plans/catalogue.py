@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CATEGORICAL_DEFAULTS, NUMERIC_DEFAULTS, RATING_COLUMNS, ExperimentConfig, ModelConfig
+from ..config import CATEGORICAL_DEFAULTS, NUMERIC_DEFAULTS, RATING_COLUMNS, ExperimentConfig, ModelConfig, PricingConfig
 from ..functions.rating import md5_order
 from ..operators import book, datasets, diagnostics, drift, features, metrics, models, portfolios, pricing
 from ..operators import ranking, retraining, sampling, scenarios, stats, validate
@@ -27,6 +27,8 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 BASE_COLUMNS = ["IDpol", "ClaimNb", *RATING_COLUMNS]
+# Sample claims are some ten times the size the risk bands are made for.
+SAMPLE_PRICING = PricingConfig(fx_rate=0.1)
 
 # ---- shared SQL building blocks ----------------------------------------------------------------
 CLAIMS_SRC = """claims_src AS (
@@ -61,11 +63,11 @@ pol AS (
   FROM policies_src),
 sev AS (SELECT IDpol, ClaimAmount, claim_seq FROM claims_src WHERE ClaimAmount > 0),
 tot AS (SELECT IDpol, sum(ClaimAmount) AS TotalClaimAmount, count(*) AS paid FROM sev GROUP BY IDpol)"""
-# Policies priced with the observed rates of their area.
+# Policies priced with the observed rates of their area, frequency scaled by bonus-malus.
 SCORED = POL + """,
 rf AS (SELECT Area, sum(ClaimNb)/sum(Exposure) AS rate_frequency FROM pol GROUP BY Area),
 rs AS (SELECT p.Area, avg(s.ClaimAmount) AS rate_severity FROM sev s JOIN pol p USING (IDpol) GROUP BY p.Area),
-fs AS (SELECT pol.*, rate_frequency AS f, rate_severity AS s FROM pol LEFT JOIN rf USING (Area) LEFT JOIN rs USING (Area)),
+fs AS (SELECT pol.*, rate_frequency*(BonusMalus/140.0::DOUBLE) AS f, rate_severity*0.1::DOUBLE AS s FROM pol LEFT JOIN rf USING (Area) LEFT JOIN rs USING (Area)),
 base AS (SELECT greatest(avg(f),1) AS bf, greatest(avg(s),1) AS bs, greatest(avg(f*s),1) AS bl FROM fs),
 prem AS (SELECT fs.*, f*Exposure AS cnt, f*s AS ann, f*Exposure*s AS pure FROM fs),
 scored AS (
@@ -109,14 +111,15 @@ def _claims(spark: SparkSession, folder: str) -> DataFrame:
 def _rated(spark: SparkSession, folder: str) -> DataFrame:
     policies, claims = _policies(spark, folder), _claims(spark, folder)
     by_claim = datasets.claims_with_factors(claims, policies)
-    return pricing.with_segment_rates(policies, pricing.segment_rates(policies, by_claim))
+    rated = pricing.with_segment_rates(policies, pricing.segment_rates(policies, by_claim))
+    return rated.withColumn("rated_frequency", F.col("rate_frequency") * (F.col("BonusMalus") / F.lit(140.0)))
 
 
 def _scored(spark: SparkSession, folder: str, own_baselines: bool = False) -> DataFrame:
     """Policies priced at their area's rates; baselines are left at one unless asked for."""
     fixed = None if own_baselines else dict.fromkeys(pricing.BASELINE_KEYS, 1.0)
     return pricing.calculate_premium(
-        _rated(spark, folder), "rate_frequency", "rate_severity", baselines=fixed
+        _rated(spark, folder), "rated_frequency", "rate_severity", SAMPLE_PRICING, baselines=fixed
     )
 
 
@@ -211,12 +214,12 @@ sql("claims_total_by_policy", f"""WITH {POL} SELECT IDpol, round(TotalClaimAmoun
 def policy_claim_join(spark, folder):
     joined = datasets.attach_claim_totals(_policies(spark, folder), _claims(spark, folder))
     return _round(joined.select("IDpol", "ClaimNb", "TotalClaimAmount", "AverageClaimAmount"), 4, "TotalClaimAmount").withColumn(
-        "AverageClaimAmount", F.round("AverageClaimAmount", 3)
+        "AverageClaimAmount", F.round("AverageClaimAmount", 6)
     )
 
 
 sql("policy_claim_join", f"""WITH {POL} SELECT IDpol, ClaimNb, round(coalesce(TotalClaimAmount,0),4) AS TotalClaimAmount,
-round(CASE WHEN ClaimNb>0 THEN coalesce(TotalClaimAmount,0)/ClaimNb ELSE 0 END,3) AS AverageClaimAmount
+round(CASE WHEN ClaimNb>0 THEN coalesce(TotalClaimAmount,0)/ClaimNb ELSE 0 END,6) AS AverageClaimAmount
 FROM pol LEFT JOIN tot USING (IDpol)""")
 
 
@@ -335,10 +338,8 @@ sql("table_fingerprint_stable", f"WITH {CLAIMS_SRC} SELECT count(*) AS rows, tru
 @query("defaults_metadata")
 def defaults_metadata(spark, folder):
     raw = sample_book.raw_policies(spark, folder)
-    medians = stats.numeric_medians(raw).select("feature", F.round("value", 6).cast("string").alias("default_value"))
-    return medians.unionByName(stats.categorical_modes(raw).withColumnRenamed("value", "default_value")).select(
-        "feature", F.coalesce(F.format_string("%.4f", F.col("default_value").try_cast("double")), "default_value").alias("default_value")
-    )
+    medians = stats.numeric_medians(raw).select("feature", F.format_string("%.4f", F.round("value", 6)).alias("default_value"))
+    return medians.unionByName(stats.categorical_modes(raw).withColumnRenamed("value", "default_value"))
 
 
 sql("defaults_metadata", f"WITH {POLICIES_SRC} " + " UNION ALL ".join(
@@ -384,10 +385,10 @@ round(quantile_cont(ClaimAmount,0.99),4) AS p99 FROM sev""")
 @query("global_premium_rank")
 def global_premium_rank(spark, folder):
     raw = sample_book.raw_policies(spark, folder).select("IDpol", "premium_paid")
-    return _round(ranking.global_rank(raw, [F.desc("premium_paid"), F.col("IDpol")], "premium_rank"), 4, "premium_paid")
+    return _round(ranking.global_rank(raw, [F.desc("premium_paid"), F.col("IDpol")], "premium_rank"), 6, "premium_paid")
 
 
-sql("global_premium_rank", f"""WITH {POLICIES_SRC} SELECT IDpol, round(premium_paid,4) AS premium_paid,
+sql("global_premium_rank", f"""WITH {POLICIES_SRC} SELECT IDpol, round(premium_paid,6) AS premium_paid,
 row_number() OVER (ORDER BY premium_paid DESC, IDpol) AS premium_rank FROM policies_src""")
 
 
@@ -415,7 +416,8 @@ round(severity_relativity,4) AS severity_relativity, round(risk_score,4) AS risk
 @query("portfolio_baselines")
 def portfolio_baselines(spark, folder):
     rated = _rated(spark, folder)
-    return _round(pricing.portfolio_baselines(rated, "rate_frequency", "rate_severity"), 4, *pricing.BASELINE_KEYS)
+    severity = F.col("rate_severity") * F.lit(SAMPLE_PRICING.fx_rate)
+    return _round(pricing.portfolio_baselines(rated, "rated_frequency", severity, SAMPLE_PRICING), 4, *pricing.BASELINE_KEYS)
 
 
 sql("portfolio_baselines", f"""WITH {SCORED} SELECT round(bf,4) AS annual_frequency, round(bs,4) AS claim_severity,
@@ -490,14 +492,14 @@ rep AS (SELECT pr.*, pr.final_premium-b.final_premium AS premium_delta,
 def scenario_report(spark, folder):
     raw = sample_book.raw_policies(spark, folder)
     report = scenarios.simulate_scenarios(raw, _tariff)
-    return _round(report, 5, "changed_value", "predicted_frequency", "predicted_severity", "final_premium",
+    return _round(report, 8, "changed_value", "predicted_frequency", "predicted_severity", "final_premium",
                   "premium_delta", "premium_delta_pct")
 
 
 sql("scenario_report", f"""WITH {SCENARIO_SQL} SELECT IDpol AS policy_id, scenario_name, changed_feature,
-round(changed_value,5) AS changed_value, round(f,5) AS predicted_frequency, round(s,5) AS predicted_severity,
-round(final_premium,5) AS final_premium, round(premium_delta,5) AS premium_delta,
-round(premium_delta_pct,5) AS premium_delta_pct FROM rep""")
+round(changed_value,8) AS changed_value, round(f,8) AS predicted_frequency, round(s,8) AS predicted_severity,
+round(final_premium,8) AS final_premium, round(premium_delta,8) AS premium_delta,
+round(premium_delta_pct,8) AS premium_delta_pct FROM rep""")
 
 
 @query("scenario_sensitivity")
@@ -514,14 +516,14 @@ round(avg(premium_delta_pct),4) AS avg_delta_pct FROM rep GROUP BY 1,2""")
 @query("scenario_curves")
 def scenario_curves(spark, folder):
     raw = sample_book.raw_policies(spark, folder)
-    return _round(scenarios.premium_curves(scenarios.scored_scenarios(raw, _tariff)), 5, "feature_value", "final_premium")
+    return _round(scenarios.premium_curves(scenarios.scored_scenarios(raw, _tariff)), 8, "feature_value", "final_premium")
 
 
 sql("scenario_curves", f"""WITH {SCENARIO_SQL}
-SELECT IDpol AS policy_id, 'VehPower' AS feature, round(evp,5) AS feature_value, round(final_premium,5) AS final_premium
+SELECT IDpol AS policy_id, 'VehPower' AS feature, round(evp,8) AS feature_value, round(final_premium,8) AS final_premium
 FROM rep WHERE changed_feature IN ('none','VehPower') UNION ALL
-SELECT IDpol, 'DrivAge', round(eda,5), round(final_premium,5) FROM rep WHERE changed_feature IN ('none','DrivAge') UNION ALL
-SELECT IDpol, 'BonusMalus', round(ebm,5), round(final_premium,5) FROM rep WHERE changed_feature IN ('none','BonusMalus')""")
+SELECT IDpol, 'DrivAge', round(eda,8), round(final_premium,8) FROM rep WHERE changed_feature IN ('none','DrivAge') UNION ALL
+SELECT IDpol, 'BonusMalus', round(ebm,8), round(final_premium,8) FROM rep WHERE changed_feature IN ('none','BonusMalus')""")
 
 
 # ---- diagnostics ----------------------------------------------------------------------------------------
@@ -805,7 +807,7 @@ SELECT 'test' AS table_name, count(*) FILTER (t) AS rows FROM h UNION ALL SELECT
 @query("dutch_portfolio")
 def dutch_portfolio(spark, folder):
     out = portfolios.dutch_portfolio(sample_book.raw_dutch(spark, folder))
-    return _round(out, 4, "Exposure", "VehPower", "BonusMalus", "claim_amount").withColumn("DrivAge", F.col("DrivAge").cast("double"))
+    return _round(out, 6, "Exposure", "VehPower", "BonusMalus", "claim_amount").withColumn("DrivAge", F.col("DrivAge").cast("double"))
 
 
 DUTCH = CLAIMS_SRC + """,
@@ -818,8 +820,8 @@ dutch AS (SELECT exposure AS Exposure, 4+(power-pl)*16/(ph-pl) AS VehPower, 6.0:
   50+(bm-bl)*180/(bh-bl) AS BonusMalus, 'B12' AS VehBrand, 'Regular' AS VehGas,
   CASE zip WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' END AS Area, 393.0::DOUBLE AS Density, 'Centre' AS Region,
   nclaims>0 AS claim_occurred, amount/greatest(nclaims,1) AS claim_amount, 0.0::DOUBLE AS premium_paid FROM kept, ext)"""
-sql("dutch_portfolio", f"""WITH {DUTCH} SELECT round(Exposure,4) AS Exposure, round(VehPower,4) AS VehPower, VehAge, DrivAge,
-round(BonusMalus,4) AS BonusMalus, VehBrand, VehGas, Area, Density, Region, claim_occurred, round(claim_amount,4) AS claim_amount,
+sql("dutch_portfolio", f"""WITH {DUTCH} SELECT round(Exposure,6) AS Exposure, round(VehPower,6) AS VehPower, VehAge, DrivAge,
+round(BonusMalus,6) AS BonusMalus, VehBrand, VehGas, Area, Density, Region, claim_occurred, round(claim_amount,6) AS claim_amount,
 premium_paid FROM dutch""")
 
 SUMMARY_ROUNDING = [
@@ -849,7 +851,7 @@ sql("dutch_portfolio_summary", f"WITH {DUTCH} {_summary_sql('dutch')}")
 @query("spanish_portfolio")
 def spanish_portfolio(spark, folder):
     out = portfolios.spanish_portfolio(sample_book.raw_spanish(spark, folder))
-    return _round(out, 4, "VehPower", "claim_amount", "premium_paid")
+    return _round(out, 6, "VehPower", "claim_amount", "premium_paid")
 
 
 SPANISH = CLAIMS_SRC + """,
@@ -868,8 +870,8 @@ spanish AS (SELECT id AS IDpol, 1.0::DOUBLE AS Exposure, 4+(p-pl)*16/(ph-pl) AS
   least(greatest(coalesce(cy-birth,40),18),100)::DOUBLE AS DrivAge, least(greatest(50+9*coalesce(hist,0),50),230)::DOUBLE AS BonusMalus,
   'B12' AS VehBrand, fuel AS VehGas, area AS Area, 393.0::DOUBLE AS Density, 'Centre' AS Region, nc>0 AS claim_occurred,
   cost/greatest(nc,1) AS claim_amount, premium AS premium_paid FROM pw, ext)"""
-sql("spanish_portfolio", f"""WITH {SPANISH} SELECT IDpol, Exposure, round(VehPower,4) AS VehPower, VehAge, DrivAge, BonusMalus,
-VehBrand, VehGas, Area, Density, Region, claim_occurred, round(claim_amount,4) AS claim_amount, round(premium_paid,4) AS premium_paid
+sql("spanish_portfolio", f"""WITH {SPANISH} SELECT IDpol, Exposure, round(VehPower,6) AS VehPower, VehAge, DrivAge, BonusMalus,
+VehBrand, VehGas, Area, Density, Region, claim_occurred, round(claim_amount,6) AS claim_amount, round(premium_paid,6) AS premium_paid
 FROM spanish""")
 
 
@@ -908,11 +910,11 @@ recpol AS (SELECT CASE WHEN id LIKE 'q-%' THEN -(('0x'||substr(md5(id),1,15))::B
 @query("retrain_policy_frame")
 def retrain_policy_frame(spark, folder):
     records = sample_book.outcome_records(spark, folder)
-    return _round(retraining.policy_records(records), 4, "Density", "premium_paid")
+    return _round(retraining.policy_records(records), 6, "Density", "premium_paid")
 
 
 sql("retrain_policy_frame", f"""WITH {RECORDS} SELECT IDpol, ClaimNb, Exposure, VehPower, VehAge, DrivAge, BonusMalus, VehBrand,
-VehGas, Area, round(Density,4) AS Density, Region, round(premium_paid,4) AS premium_paid FROM recpol""")
+VehGas, Area, round(Density,6) AS Density, Region, round(premium_paid,6) AS premium_paid FROM recpol""")
 
 
 @query("retrain_policy_frame_legacy")
@@ -930,10 +932,10 @@ FROM recpol GROUP BY 1""")
 @query("retrain_claim_frame")
 def retrain_claim_frame(spark, folder):
     claims = retraining.claim_records(sample_book.outcome_records(spark, folder))
-    return claims.select("IDpol", F.round("ClaimAmount", 3).alias("ClaimAmount"), "Exposure", "VehAge", "DrivAge")
+    return claims.select("IDpol", F.round("ClaimAmount", 6).alias("ClaimAmount"), "Exposure", "VehAge", "DrivAge")
 
 
-sql("retrain_claim_frame", f"""WITH {RECORDS} SELECT IDpol, round(claim_amount,3) AS ClaimAmount, Exposure, VehAge, DrivAge FROM recpol
+sql("retrain_claim_frame", f"""WITH {RECORDS} SELECT IDpol, round(claim_amount,6) AS ClaimAmount, Exposure, VehAge, DrivAge FROM recpol
 WHERE coalesce(claim_amount,0)>0""")
 
 
@@ -1182,13 +1184,7 @@ def lorenz_gini(spark, folder):
 
 
 def _with_totals(spark: SparkSession, folder: str) -> DataFrame:
-    policies, claims = _policies(spark, folder), _claims(spark, folder)
-    by_claim = datasets.claims_with_factors(claims, policies)
-    rated = pricing.with_segment_rates(policies, pricing.segment_rates(policies, by_claim))
-    scored = pricing.calculate_premium(
-        rated, "rate_frequency", "rate_severity", baselines=dict.fromkeys(pricing.BASELINE_KEYS, 1.0)
-    )
-    return datasets.attach_claim_totals(scored, claims)
+    return datasets.attach_claim_totals(_scored(spark, folder), _claims(spark, folder))
 
 
 WITH_TOTALS = SCORED + ", wt AS (SELECT scored.*, coalesce(TotalClaimAmount,0) AS TotalClaimAmount FROM scored LEFT JOIN tot USING (IDpol))"
@@ -1226,13 +1222,13 @@ def repriced_book(spark, folder):
     out = book.repriced_book(_scored(spark, folder)).select(
         "IDpol", "premium_paid", "recommended_premium", "premium_change", "premium_change_pct"
     )
-    return _round(out, 4, "premium_paid", "recommended_premium", "premium_change", "premium_change_pct")
+    return _round(out, 6, "premium_paid", "recommended_premium", "premium_change", "premium_change_pct")
 
 
 REPRICED = SCORED + """, rp AS (SELECT *, technical_premium-nullif(premium_paid,0) AS chg,
 (technical_premium-nullif(premium_paid,0))/nullif(premium_paid,0)*100 AS pct FROM scored)"""
-sql("repriced_book", f"""WITH {REPRICED} SELECT IDpol, round(premium_paid,4) AS premium_paid, round(technical_premium,4) AS recommended_premium,
-round(chg,4) AS premium_change, round(pct,4) AS premium_change_pct FROM rp""")
+sql("repriced_book", f"""WITH {REPRICED} SELECT IDpol, round(premium_paid,6) AS premium_paid, round(technical_premium,6) AS recommended_premium,
+round(chg,6) AS premium_change, round(pct,6) AS premium_change_pct FROM rp""")
 
 
 @query("segment_guidance")
@@ -1292,18 +1288,18 @@ SELECT IDpol, 5, 'final_premium', round(final_premium,4) FROM scored""")
 
 @query("psi")
 def psi(spark, folder):
-    """Stability of the charged premium: policies up to 1994 against later ones."""
+    """Stability of the charged premium: policies up to 1998 against later ones."""
     raw = sample_book.raw_policies(spark, folder).select("premium_paid", "policy_year")
     table = diagnostics.population_stability(
-        raw.where(F.col("policy_year") <= 1994), raw.where(F.col("policy_year") > 1994), "premium_paid"
+        raw.where(F.col("policy_year") <= 1998), raw.where(F.col("policy_year") > 1998), "premium_paid"
     )
     return _round(table, 6, "expected_share", "actual_share", "psi_term")
 
 
-sql("psi", f"""WITH {POLICIES_SRC}, ex AS (SELECT premium_paid AS v FROM policies_src WHERE policy_year<=1994),
-ac AS (SELECT premium_paid AS v FROM policies_src WHERE policy_year>1994),
+sql("psi", f"""WITH {POLICIES_SRC}, ex AS (SELECT premium_paid AS v FROM policies_src WHERE policy_year<=1998),
+ac AS (SELECT premium_paid AS v FROM policies_src WHERE policy_year>1998),
 q AS (SELECT quantile_cont(v,[0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS e FROM ex),
-b AS (SELECT len(list_filter(e, x -> x < v)) AS bucket, 1 AS x FROM ex, q UNION ALL SELECT len(list_filter(e, x -> x < v)), 0 FROM ac, q),
+b AS (SELECT len(list_filter(e, lambda x: x < v)) AS bucket, 1 AS x FROM ex, q UNION ALL SELECT len(list_filter(e, lambda x: x < v)), 0 FROM ac, q),
 c AS (SELECT bucket, count(*) FILTER (x=1) AS en, count(*) FILTER (x=0) AS an FROM b GROUP BY 1),
 s AS (SELECT bucket, greatest(en/sum(en) OVER (),1e-6) AS es, greatest(an/sum(an) OVER (),1e-6) AS sa FROM c)
 SELECT CAST(bucket AS INT) AS bucket, round(es,6) AS expected_share, round(sa,6) AS actual_share, round((sa-es)*ln(sa/es),6) AS psi_term FROM s""")
@@ -1353,10 +1349,10 @@ substr('ABCDEF',CAST(least(pts+acc+c,5)+1 AS INT),1) AS Area, 393.0::DOUBLE+acc*
 def anomaly_flags(spark, folder):
     raw = sample_book.raw_policies(spark, folder).select("IDpol", "premium_paid")
     flagged = diagnostics.anomaly_flags(raw, ["premium_paid"])
-    return _round(flagged, 4, "premium_paid", "robust_z_premium_paid")
+    return _round(flagged, 6, "premium_paid", "robust_z_premium_paid")
 
 
 sql("anomaly_flags", f"""WITH {POLICIES_SRC}, m AS (SELECT quantile_cont(premium_paid,0.5) AS m FROM policies_src),
 d AS (SELECT quantile_cont(abs(premium_paid-m.m),0.5) AS d FROM policies_src, m)
-SELECT IDpol, round(premium_paid,4) AS premium_paid, round(0.6745::DOUBLE*(premium_paid-m.m)/nullif(d.d,0),4) AS robust_z_premium_paid,
+SELECT IDpol, round(premium_paid,6) AS premium_paid, round(0.6745::DOUBLE*(premium_paid-m.m)/nullif(d.d,0),6) AS robust_z_premium_paid,
 coalesce(abs(0.6745::DOUBLE*(premium_paid-m.m)/nullif(d.d,0))>3.5,false) AS is_anomaly FROM policies_src, m, d""")
