@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # (?U): strip every Unicode white-space character, not only blanks.
 _OUTER_SPACE = r"(?U)^\s+|\s+$"
@@ -42,6 +43,18 @@ def round_to_long(column: Column | str) -> Column:
     return F.rint(_col(column)).cast("long")
 
 
+def whole_id(df: DataFrame, name: str) -> Column:
+    """Column ``name`` as a whole-number id; what is no number becomes null.
+
+    Whole numbers never pass through a double, which would damage ids above 2^53.
+    """
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.col(name).cast("long")
+    rounded = round_to_long(to_number(name))
+    return F.coalesce(F.col(name).try_cast("long"), rounded) if isinstance(kind, T.StringType) else rounded
+
+
 def code_lookup(column: Column | str, codes: Mapping[str, str], default: str | None = None) -> Column:
     """Translate a code by a small fixed map; unmapped codes give ``default`` or null."""
     pairs = [F.lit(item) for pair in codes.items() for item in pair]

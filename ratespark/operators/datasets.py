@@ -21,7 +21,7 @@ from ..config import (
     SEVERITY_COLUMNS,
     UNKNOWN_CATEGORY,
 )
-from ..functions.cleaning import clip, round_to_long, text_or, to_number
+from ..functions.cleaning import clip, text_or, to_number, whole_id
 from .features import engineer_features
 from .validate import require_columns
 
@@ -40,7 +40,7 @@ def clean_frequency_data(
     require_columns(df, FREQUENCY_COLUMNS, "Frequency dataset")
     numbers = df.withColumns({c: to_number(c) for c in [CLAIM_COUNT, *RATED_NUMERIC]})
     cleaned = numbers.withColumns({
-        POLICY_ID: round_to_long(to_number(POLICY_ID)),
+        POLICY_ID: whole_id(df, POLICY_ID),
         CLAIM_COUNT: F.rint(clip(F.coalesce(CLAIM_COUNT, F.lit(0.0)), 0.0)).cast("int"),
         EXPOSURE: clip(F.coalesce(EXPOSURE, F.lit(1.0)), EXPOSURE_FLOOR),
         **{c: text_or(c, UNKNOWN_CATEGORY) for c in MODEL_CATEGORICAL},
@@ -59,7 +59,7 @@ def clean_severity_data(df: DataFrame) -> DataFrame:
     """Paid claims only: known policy id and a positive amount."""
     require_columns(df, SEVERITY_COLUMNS, "Severity dataset")
     return df.withColumns({
-        POLICY_ID: round_to_long(to_number(POLICY_ID)),
+        POLICY_ID: whole_id(df, POLICY_ID),
         CLAIM_AMOUNT: to_number(CLAIM_AMOUNT),
     }).where(F.col(POLICY_ID).isNotNull() & (F.col(CLAIM_AMOUNT) > 0))
 

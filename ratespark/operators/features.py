@@ -22,7 +22,7 @@ from ..config import (
     SIMULATED_ALIASES,
     SIMULATED_NUMERIC,
 )
-from ..functions.cleaning import clip, round_to_long, text_or, to_number
+from ..functions.cleaning import clip, text_or, to_number, whole_id
 from .ranking import dense_ids
 from .stats import default_values
 from .validate import require_pricing_columns, require_rows, validate_schema
@@ -48,15 +48,13 @@ def fill_policy_ids(df: DataFrame, missing_ids: str = "position") -> DataFrame:
     ``position`` numbers all rows and so writes the frame once; ``hash`` needs no job and is the
     only choice for a stream; ``keep`` is for frames whose ids are already complete.
     """
-    has_column = POLICY_ID in df.columns
+    known = whole_id(df, POLICY_ID) if POLICY_ID in df.columns else F.lit(None).cast("long")
     if missing_ids == "position":
-        numbered = dense_ids(df, "__position")
-        number = F.coalesce(to_number(POLICY_ID), F.col("__position").cast("double")) if has_column else F.col("__position")
-        return numbered.withColumn(POLICY_ID, round_to_long(number)).drop("__position")
-    value = round_to_long(to_number(POLICY_ID)) if has_column else F.lit(None).cast("long")
+        numbered = dense_ids(df.withColumn(POLICY_ID, known), "__position")
+        return numbered.withColumn(POLICY_ID, F.coalesce(POLICY_ID, "__position")).drop("__position")
     if missing_ids == "hash":
-        value = F.coalesce(value, negative_hash(*[F.col(f"`{c}`") for c in df.columns]))
-    return df.withColumn(POLICY_ID, value)
+        known = F.coalesce(known, negative_hash(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.withColumn(POLICY_ID, known)
 
 
 def negative_hash(*columns: Column) -> Column:

@@ -7,9 +7,23 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import (
+    Imputer,
+    ImputerModel,
+    OneHotEncoder,
+    StandardScaler,
+    StandardScalerModel,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+)
+from pyspark.ml.regression import (
+    GBTRegressor,
+    GeneralizedLinearRegression,
+    GeneralizedLinearRegressionModel,
+    RandomForestRegressor,
+)
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,7 +104,11 @@ def model_name(role: Role, requested: str | None, config: ModelConfig) -> str:
 
 
 class FittedModel:
-    """A fitted pipeline of one role; ``transform`` adds the role's floored prediction."""
+    """A fitted pipeline of one role; ``transform`` adds the role's floored prediction.
+
+    A generalised linear model is scored by a plain column expression, which stays inside
+    whole-stage code generation; every other model goes through its pipeline.
+    """
 
     def __init__(self, role: Role, name: str, pipeline: PipelineModel):
         self.role, self.name, self.pipeline = role, name, pipeline
@@ -98,6 +116,9 @@ class FittedModel:
     def transform(self, df: DataFrame, output: str | None = None) -> DataFrame:
         name = output or self.role.output
         kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+        formula = glm_formula(self.pipeline)
+        if formula is not None:
+            return df.select(*kept, clip(formula, PREDICTION_FLOOR).alias(name))
         floored = clip(F.col("prediction"), PREDICTION_FLOOR).alias(name)
         return self.pipeline.transform(df).select(*kept, floored)
 
@@ -109,6 +130,50 @@ class FittedModel:
         self.pipeline.write().overwrite().save(path)
 
 
+# Beyond this many levels a literal lookup is no faster than the encoder.
+MAX_FORMULA_LEVELS = 500
+
+
+def glm_formula(pipeline: PipelineModel) -> Column | None:
+    """exp(intercept + sum of effects) of a fitted log-link model, or None for other models."""
+    *encoder, fitted = pipeline.stages
+    if not isinstance(fitted, GeneralizedLinearRegressionModel):
+        return None
+    weights = iter(fitted.coefficients.toArray())
+    by_kind = {type(stage): stage for stage in encoder}
+    terms: list[Column] = []
+    if ImputerModel in by_kind:
+        imputer, scaler = by_kind[ImputerModel], by_kind[StandardScalerModel]
+        stand_ins = imputer.surrogateDF.first().asDict()
+        for name, mean, deviation in zip(imputer.getInputCols(), scaler.mean.toArray(), scaler.std.toArray()):
+            weight = float(next(weights))
+            if deviation > 0:
+                value = F.coalesce(F.nanvl(F.col(name), F.lit(None)), F.lit(stand_ins[name]))
+                terms.append((value - F.lit(float(mean))) / F.lit(float(deviation)) * F.lit(weight))
+    if StringIndexerModel in by_kind:
+        indexer = by_kind[StringIndexerModel]
+        if indexer.getHandleInvalid() != "keep" or sum(map(len, indexer.labelsArray)) > MAX_FORMULA_LEVELS:
+            return None
+        for name, levels in zip(indexer.getInputCols(), indexer.labelsArray):
+            pairs = [F.lit(part) for level in levels for part in (level, float(next(weights)))]
+            terms.append(F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(name)), F.lit(0.0)))
+    total = F.lit(float(fitted.intercept))
+    for term in terms:
+        total = total + term
+    return F.exp(total)
+
+
+def spread_if_narrow(cached: DataFrame) -> DataFrame:
+    """Rows over all cores when a persisted frame has fewer partitions than that.
+
+    A few small files arrive as a few partitions, and an iterative fit would leave most cores
+    idle. Large inputs have more partitions than cores and are left alone.
+    """
+    cores = cached.sparkSession.sparkContext.defaultParallelism
+    cached.count()  # fills the cache, which every later pass reads
+    return cached.repartition(cores) if cached.rdd.getNumPartitions() < cores else cached
+
+
 def frequency_training_frame(df: DataFrame) -> DataFrame:
     """Target claims per year, weight exposure."""
     exposure = clip(F.col(EXPOSURE), EXPOSURE_FLOOR)
@@ -131,20 +196,27 @@ def train_model(
     categorical: list[str] = MODEL_CATEGORICAL,
     drop_reference: bool = False,
 ) -> FittedModel:
-    """Fit one model. Explicit arguments win over ``config``.
-
-    Pass a persisted frame when several models share it: the fit is iterative.
-    """
+    """Fit one model. Explicit arguments win over ``config``."""
     settings = config or ModelConfig()
     chosen = model_name(role, name, settings)
     role_settings = settings.frequency if role is FREQUENCY else settings.severity
     training = frequency_training_frame(df) if role is FREQUENCY else severity_training_frame(df)
     if role is SEVERITY and training.isEmpty():
         raise ValueError("Severity training data is empty after filtering positive claims.")
-    needed = training.select(*numeric, *categorical, _TARGET, _WEIGHT)
-    regressor = _regressor(needed, role, chosen, role_settings, alpha, max_iter)
-    stages = [*preprocessing_stages(numeric, categorical, drop_reference), regressor]
-    return FittedModel(role, chosen, Pipeline(stages=stages).fit(needed))
+    training_cache = training.select(*numeric, *categorical, _TARGET, _WEIGHT).persist()
+    try:
+        needed = spread_if_narrow(training_cache)
+        regressor = _regressor(needed, role, chosen, role_settings, alpha, max_iter)
+        encoder = Pipeline(stages=preprocessing_stages(numeric, categorical, drop_reference)).fit(needed)
+        # The regressor reads its input once per iteration: keep the encoded rows, not the recipe.
+        encoded = encoder.transform(needed).select(_FEATURES, _TARGET, _WEIGHT).persist()
+        try:
+            fitted = regressor.fit(encoded)
+        finally:
+            encoded.unpersist()
+    finally:
+        training_cache.unpersist()
+    return FittedModel(role, chosen, PipelineModel([*encoder.stages, fitted]))
 
 
 def train_frequency_model(df: DataFrame, name: str | None = None, **options: Any) -> FittedModel:
@@ -229,9 +301,9 @@ def feature_names(model: FittedModel) -> list[str]:
     """Names of the encoded vector: numeric columns, then column=level per category."""
     names: list[str] = []
     for stage in model.pipeline.stages:
-        if stage.__class__.__name__ == "ImputerModel":
+        if isinstance(stage, ImputerModel):
             names += list(stage.getInputCols())
-        elif stage.__class__.__name__ == "StringIndexerModel":
+        elif isinstance(stage, StringIndexerModel):
             names += [f"{c}={level}" for c, levels in zip(stage.getInputCols(), stage.labelsArray) for level in levels]
     return names
 

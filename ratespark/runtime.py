@@ -69,5 +69,5 @@ def local_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     Meant for aggregates that are expected to be small. A local table has a known size, so the
     optimizer broadcasts it by its own threshold; a larger one takes the ordinary shuffle join.
     """
-    rows = df.limit(max_rows + 1).collect()
-    return df if len(rows) > max_rows else df.sparkSession.createDataFrame(rows, df.schema)
+    head = df.limit(max_rows + 1).toArrow()
+    return df if head.num_rows > max_rows else df.sparkSession.createDataFrame(head, df.schema)
