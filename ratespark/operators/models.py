@@ -170,7 +170,6 @@ def spread_if_narrow(cached: DataFrame) -> DataFrame:
     idle. Large inputs have more partitions than cores and are left alone.
     """
     cores = cached.sparkSession.sparkContext.defaultParallelism
-    cached.count()  # fills the cache, which every later pass reads
     return cached.repartition(cores) if cached.rdd.getNumPartitions() < cores else cached
 
 
@@ -201,10 +200,10 @@ def train_model(
     chosen = model_name(role, name, settings)
     role_settings = settings.frequency if role is FREQUENCY else settings.severity
     training = frequency_training_frame(df) if role is FREQUENCY else severity_training_frame(df)
-    if role is SEVERITY and training.isEmpty():
-        raise ValueError("Severity training data is empty after filtering positive claims.")
     training_cache = training.select(*numeric, *categorical, _TARGET, _WEIGHT).persist()
     try:
+        if training_cache.count() == 0:  # also fills the cache, which every later pass reads
+            raise ValueError(f"{role.name.title()} training data is empty after filtering.")
         needed = spread_if_narrow(training_cache)
         regressor = _regressor(needed, role, chosen, role_settings, alpha, max_iter)
         encoder = Pipeline(stages=preprocessing_stages(numeric, categorical, drop_reference)).fit(needed)

@@ -72,9 +72,9 @@ def scored_scenarios(df: DataFrame, score: Scorer, scenarios: list[Scenario] = S
     must keep the columns it is given.
     """
     canonical = canonical_columns(df)
-    base = score(canonical).select(
-        *_unpriced(canonical), F.col("final_premium").alias("baseline_premium")
-    )
+    # Variants start from the values as given, not from the filled and clipped ones.
+    given = F.struct(*[F.col(f"`{c}`") for c in canonical.columns]).alias("__given")
+    base = score(canonical.select("*", given)).select("__given.*", F.col("final_premium").alias("baseline_premium"))
     return score(expand_scenarios(base, scenarios)).withColumns({
         "premium_delta": F.col("final_premium") - F.col("baseline_premium"),
         "premium_delta_pct": (F.col("final_premium") - F.col("baseline_premium"))
@@ -82,10 +82,6 @@ def scored_scenarios(df: DataFrame, score: Scorer, scenarios: list[Scenario] = S
     })
 
 
-def _unpriced(df: DataFrame) -> list[Column]:
-    return [F.col(f"`{c}`") for c in df.columns]
-
-
 def scenario_report(scored: DataFrame) -> DataFrame:
     """The nine report columns, one row per policy and scenario."""
     return scored.select(

@@ -699,12 +699,10 @@ sql("glm_severity_onefactor", f"WITH {SCORED} SELECT Area, round(rate_severity,3
 def _fit_pair(spark: SparkSession, folder: str, frequency: str, severity: str, config: ModelConfig | None = None):
     policies, claims = _policies(spark, folder), _claims(spark, folder)
     by_claim = datasets.claims_with_factors(claims, policies)
-    kept = policies.persist()
     fitted = (
-        models.train_frequency_model(kept, frequency, config=config),
+        models.train_frequency_model(policies, frequency, config=config),
         models.train_severity_model(by_claim, severity, config=config),
     )
-    kept.unpersist()
     return policies, fitted
 
 

@@ -34,6 +34,8 @@ def read_csv_text(spark: SparkSession, path: str, sep: str = ",", keep_corrupt:
     fields = [T.StructField(name, T.StringType()) for name in names]
     if keep_corrupt:
         fields.append(T.StructField(CORRUPT, T.StringType()))
+        # Only a row parsed in full shows whether it is malformed.
+        reader = reader.option("columnPruning", False)
     frame = (
         reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
         .schema(T.StructType(fields)).csv(path)
@@ -57,11 +59,22 @@ def load_severity_data(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def split_malformed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(well-formed rows, malformed rows) of a frame read with ``keep_corrupt``.
+
+    The test also looks at a data column, because the CSV source refuses queries on the raw text
+    column alone.
+    """
+    first = F.col(f"`{raw.columns[0]}`")
+    malformed = F.length(F.concat_ws("|", first, CORRUPT)) > F.length(F.concat_ws("|", first))
+    return raw.where(~malformed).drop(CORRUPT), raw.where(malformed)
+
+
 def read_scoring_csv(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
     """(policies to score, malformed rows) of a batch or scenario input."""
     raw = read_csv_text(spark, path, sep, keep_corrupt=True)
     require_pricing_columns(raw)
-    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT), raw.where(F.col(CORRUPT).isNotNull())
+    return split_malformed(raw)
 
 
 def read_dutch_csv(spark: SparkSession, path: str) -> DataFrame:
