@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -126,8 +127,6 @@ def comparison_rmse(runs: DataFrame) -> DataFrame:
 
 def comparison_rmse_of(spark: SparkSession, runs: Mapping[str, Any]) -> DataFrame:
     """:func:`comparison_rmse` for a handful of runs held as a mapping."""
-    import json
-
     frame = comparison_rmse(spark.createDataFrame([(json.dumps(runs),)], "payload string"))
     if frame.isEmpty():
         raise DataValidationError("No successful model comparison RMSE values were found.")

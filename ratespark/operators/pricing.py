@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EXPOSURE, POLICY_ID, RISK_BANDS, PricingConfig
-from ..functions.cleaning import clip, to_number
+from ..functions.cleaning import clip, safe_ratio, to_number
 from ..functions.rating import priced_exposure, risk_band, technical_premium
 from ..runtime import local_if_small
 
@@ -103,13 +103,17 @@ def _non_negative(column: str | Column) -> Column:
 def segment_rates(policies: DataFrame, claims: DataFrame, segment: str = "Area") -> DataFrame:
     """(segment, rate_frequency, rate_severity): observed rates, i.e. a one-factor model.
 
-    Keyed by the segment's distinct values; both sides are aggregated before they meet.
+    Claims are folded to one row per policy before they meet the policies, so a policy with very
+    many claims ships one row; then one join and one grouping give both rates.
     """
-    frequency = policies.groupBy(segment).agg(
-        (F.sum("ClaimNb") / F.sum(EXPOSURE)).alias("rate_frequency")
+    per_policy = claims.groupBy(POLICY_ID).agg(
+        F.sum("ClaimAmount").alias("__paid"), F.count(F.lit(1)).alias("__claims")
+    )
+    joined = policies.select(POLICY_ID, segment, "ClaimNb", EXPOSURE).join(per_policy, POLICY_ID, "left")
+    return joined.groupBy(segment).agg(
+        (F.sum("ClaimNb") / F.sum(EXPOSURE)).alias("rate_frequency"),
+        safe_ratio(F.sum("__paid"), F.sum("__claims")).alias("rate_severity"),
     )
-    severity = claims.groupBy(segment).agg(F.avg("ClaimAmount").alias("rate_severity"))
-    return frequency.join(severity, segment, "left")
 
 
 def with_segment_rates(policies: DataFrame, rates: DataFrame, segment: str = "Area") -> DataFrame:

@@ -109,9 +109,9 @@ def _claims(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _rated(spark: SparkSession, folder: str) -> DataFrame:
-    policies, claims = _policies(spark, folder), _claims(spark, folder)
-    by_claim = datasets.claims_with_factors(claims, policies)
-    rated = pricing.with_segment_rates(policies, pricing.segment_rates(policies, by_claim))
+    policies = _policies(spark, folder)
+    rates = pricing.segment_rates(policies, _claims(spark, folder))
+    rated = pricing.with_segment_rates(policies, rates)
     return rated.withColumn("rated_frequency", F.col("rate_frequency") * (F.col("BonusMalus") / F.lit(140.0)))
 
 

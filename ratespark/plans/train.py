@@ -8,20 +8,36 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ..config import RANDOM_SEED, TEST_SIZE, ExperimentConfig, ModelConfig, PricingConfig
+from pyspark.sql.utils import AnalysisException
+
+from ..config import (
+    CLAIM_AMOUNT,
+    CLAIM_COUNT,
+    POLICY_ID,
+    RANDOM_SEED,
+    RATING_COLUMNS,
+    TEST_SIZE,
+    ExperimentConfig,
+    ModelConfig,
+    PricingConfig,
+)
 from ..operators.datasets import ModelData, prepare_model_datasets
 from ..operators.models import train_frequency_model, train_severity_model
 from ..operators.pricing import baselines_dict, calculate_premium, portfolio_baselines, risk_thresholds, top_premiums
-from ..operators.retraining import combine_records, require_min_rows, retraining_frames, retraining_quality
+from ..operators.retraining import MIN_ROWS, combine_records, require_min_rows, retraining_frames, retraining_quality
 from ..operators.sampling import stratified_split
 from ..operators.stats import build_metadata
 from ..runtime import materialise
 from ..sources.artifacts import record_run, save_artifacts, write_csv_report, write_json
-from ..sources.readers import load_frequency_data, load_severity_data
+from ..sources.readers import load_frequency_data, load_severity_data, table_fingerprint
 from ..sources.store import fetch_training_data
 from .experiments import run_model_comparison
 
+# What training reads; everything else would only fill the cache.
+POLICY_COLUMNS = [POLICY_ID, CLAIM_COUNT, *RATING_COLUMNS, "LogDensity", "has_claim", "premium_paid"]
+CLAIM_COLUMNS = [POLICY_ID, "claim_seq", CLAIM_AMOUNT, *RATING_COLUMNS, "LogDensity"]
+
+
 def policy_key() -> Column:
     return F.col("IDpol")
 
@@ -60,7 +76,8 @@ def run_training(
     dataset_version: Any = None,
 ) -> dict[str, Any]:
     """Train, evaluate and write everything under ``out``. Returns metrics and metadata."""
-    policies, claims = policies.persist(), numbered_claims(claims).persist()
+    policies = policies.select(*[c for c in POLICY_COLUMNS if c in policies.columns]).persist()
+    claims = numbered_claims(claims.select(*[c for c in CLAIM_COLUMNS if c in claims.columns])).persist()
     try:
         train_p, test_p = stratified_split(policies, policy_key(), "has_claim", test_size)
         train_c, test_c = split_claims(claims, test_size)
@@ -116,26 +133,39 @@ def run_training(
 
 
 def load_and_train(spark: SparkSession, policies_csv: str, claims_csv: str, out: str, **options: Any) -> dict[str, Any]:
-    data = prepare_model_datasets(load_frequency_data(spark, policies_csv), load_severity_data(spark, claims_csv))
-    return train_on(spark, data, out, **options)
+    """Read, check, clean and align both tables, then train; the run records their fingerprints."""
+    policies, claims = load_frequency_data(spark, policies_csv), load_severity_data(spark, claims_csv)
+    version = {
+        name: {"path": path, **{k: str(v) for k, v in table_fingerprint(df).first().asDict().items()}}
+        for name, path, df in (("policies", policies_csv, policies), ("claims", claims_csv, claims))
+    }
+    return train_on(spark, prepare_model_datasets(policies, claims), out, dataset_version=version, **options)
 
 
 def train_on(spark: SparkSession, data: ModelData, out: str, **options: Any) -> dict[str, Any]:
     return run_training(spark, data.policies, data.claims, data.quality.first().asDict(), out, **options)
 
 
+def bundled_if_present(spark: SparkSession, policies_csv: str, claims_csv: str) -> ModelData | None:
+    """The bundled portfolio, or None when one of its files is absent."""
+    try:
+        policies, claims = load_frequency_data(spark, policies_csv), load_severity_data(spark, claims_csv)
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" in str(problem.getCondition()):
+            return None
+        raise
+    return prepare_model_datasets(policies, claims)
+
+
 def retrain(
-    spark: SparkSession, store: str, out: str, minimum: int = 200, bundled: ModelData | None = None, **options: Any
+    spark: SparkSession, store: str, out: str, minimum: int = MIN_ROWS, bundled: ModelData | None = None, **options: Any
 ) -> dict[str, Any]:
     """Train on stored quotes and portfolios, blended with a bundled portfolio when given."""
-    records = combine_records(**_renamed(fetch_training_data(spark, store)))
+    tables = fetch_training_data(spark, store)
+    records = combine_records(tables["training_data"], tables["b2b_portfolios"])
     require_min_rows(records, minimum)
     policies, claims = retraining_frames(
         records, bundled.policies if bundled else None, bundled.claims if bundled else None
     )
     quality = retraining_quality(policies, claims).first().asDict()
     return run_training(spark, policies, claims, quality, out, **options)
-
-
-def _renamed(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    return {"training": tables["training_data"], "b2b": tables["b2b_portfolios"]}

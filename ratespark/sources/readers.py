@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Mapping
-from typing import Any
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,12 +93,9 @@ def read_batch_requests(spark: SparkSession, path: str) -> DataFrame:
     return explode_requests(spark.read.schema(BATCH_REQUEST).json(path))
 
 
-def load_comparison_runs(source: Mapping[str, Any] | str) -> dict[str, Any]:
-    """Model-comparison results (a handful of runs) from a mapping or a JSON file."""
-    if isinstance(source, Mapping):
-        return dict(source)
-    with open(source, encoding="utf-8") as handle:
-        return json.load(handle)
+def read_comparison_runs(spark: SparkSession, path: str) -> DataFrame:
+    """JSON result documents of model comparisons, one per file, in a column ``payload``."""
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "payload")
 
 
 def file_versions(spark: SparkSession, path: str) -> DataFrame:

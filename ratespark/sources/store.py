@@ -50,8 +50,11 @@ def write_table(df: DataFrame, root: str, table: str, batch_id: str) -> None:
     stamped = df.withColumn("batch_id", F.lit(batch_id))
     if "created_date" in PARTITIONS[table]:
         stamped = stamped.withColumn("created_date", F.to_date("created_at"))
+    # Rows of one folder are brought together, or each task would leave a file in every folder;
+    # adaptive execution splits a folder that is too large for one task.
+    gathered = conform(stamped, TABLES[table]).hint("rebalance", PARTITIONS[table][0])
     (
-        conform(stamped, TABLES[table]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITIONS[table]).parquet(f"{root}/{table}")
     )
 

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from conftest import make_claims, make_policies
 from ratespark.config import BoostConfig, ExperimentConfig, ForestConfig, ModelConfig, RoleConfig
+from ratespark.operators.diagnostics import comparison_rmse
 from ratespark.operators.portfolios import dutch_portfolio, portfolio_summary, spanish_portfolio
-from ratespark.plans import experiments, score, train
-from ratespark.sources import artifacts, store
+from ratespark.plans import experiments, monitor, score, train
+from ratespark.sources import artifacts, readers, store
 
 SMALL = ModelConfig(
     frequency=RoleConfig(BoostConfig(5, "count:poisson"), forest=ForestConfig(4, 4)),
@@ -43,6 +44,8 @@ def test_training_writes_everything(spark, trained):
         f"{f}_{c}" for f in ("glm", "rf", "xgb") for c in ("predicted_frequency", "predicted_severity", "premium")
     ]
     assert table.where("double(glm_premium) >= 100 AND double(rf_premium) >= 100").count() == table.count()
+    saved = readers.read_comparison_runs(spark, f"{root}/out/evaluation/model_comparison")
+    assert comparison_rmse(saved).where("run_name = 'rf_rf'").count() == 2
     recorded = spark.read.parquet(f"{root}/out/runs").first()
     assert recorded["run_id"] == result["run_id"] and json.loads(recorded["data_quality"])["frequency_rows"] == 400
     top = spark.read.option("header", True).csv(f"{root}/out/reports/top_premiums")
@@ -84,6 +87,16 @@ def test_retraining_from_the_store(spark, trained, tmp_path):
     result = train.retrain(spark, f"{tmp_path}/store", f"{tmp_path}/out", models=SMALL, experiments=ExperimentConfig(enabled=False))
     assert result["metadata"]["data_quality"]["frequency_rows"] == 320
     assert result["metadata"]["data_quality"]["policies_with_paid_premium"] == 300
+    report = {(r.component, r.metric): r for r in monitor.drift_check(spark, f"{tmp_path}/store", loaded).collect()}
+    assert report["frequency", "policies"].value == 300
+    assert report["severity", "matched_claims"].value == outcomes.where("ClaimNb > 0").count()
+    assert report["severity", "median_ratio"].value > 0
+
+
+def test_bundled_portfolio_is_optional(spark, trained, tmp_path):
+    root, _ = trained
+    assert train.bundled_if_present(spark, f"{tmp_path}/no.csv", f"{tmp_path}/none.csv") is None
+    assert train.bundled_if_present(spark, f"{root}/freq", f"{root}/sev").policies.count() == 400
 
 
 def test_run_keys_and_family_columns():

@@ -74,11 +74,12 @@ def test_top_premiums(policies):
 
 
 def test_segment_rates_match_plain_sums(policies, raw_claims):
-    joined = raw_claims.join(policies, "IDpol")
-    rates = {r.Area: r for r in pricing.segment_rates(policies, joined).collect()}
+    rates = {r.Area: r for r in pricing.segment_rates(policies, raw_claims).collect()}
+    mean = raw_claims.join(policies, "IDpol").toPandas().groupby("Area")["ClaimAmount"].mean()
     pdf = policies.toPandas().groupby("Area")[["ClaimNb", "Exposure"]].sum()
     for area, row in pdf.iterrows():
         assert rates[area]["rate_frequency"] == pytest.approx(row["ClaimNb"] / row["Exposure"])
+        assert rates[area]["rate_severity"] == pytest.approx(mean[area])
 
 
 def test_metric_bases(spark):
