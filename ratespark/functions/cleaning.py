@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# (?U): strip every Unicode white-space character, not only blanks.
-_OUTER_SPACE = r"(?U)^\s+|\s+$"
+# --- Fixed values: the Unicode white-space characters (plain trim would strip blanks only) ----------
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def to_number(column: Column | str) -> Column:
@@ -30,7 +33,7 @@ def clip(column: Column | str, low: float | None = None, high: float | None = No
 
 
 def strip(column: Column | str) -> Column:
-    return F.regexp_replace(_col(column).cast("string"), _OUTER_SPACE, "")
+    return F.btrim(_col(column).cast("string"), F.lit(WHITE_SPACE))
 
 
 def text_or(column: Column | str, default: str) -> Column:

@@ -85,7 +85,7 @@ def scored_scenarios(df: DataFrame, score: Scorer, scenarios: list[Scenario] = S
 def scenario_report(scored: DataFrame) -> DataFrame:
     """The nine report columns, one row per policy and scenario."""
     return scored.select(
-        F.coalesce(F.rint(to_number(POLICY_ID)), F.lit(0.0)).cast("long").alias("policy_id"),
+        F.coalesce(F.col(POLICY_ID).cast("long"), F.lit(0)).alias("policy_id"),
         *_TAGS,
         F.col("predicted_annual_frequency").alias("predicted_frequency"),
         F.col("predicted_claim_severity").alias("predicted_severity"),

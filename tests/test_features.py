@@ -160,7 +160,8 @@ def test_datasets_and_quality(raw_policies, raw_claims, spark):
 def test_skewed_join_equals_plain_join(spark):
     facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("IDpol"), F.col("id").alias("ClaimAmount"))
     lookup = spark.range(60).select(F.col("id").alias("IDpol"), (F.col("id") * 2).alias("v"))
-    assert 7 in hot_keys(facts, "IDpol", 0.1)
+    assert hot_keys(facts, "IDpol", 0.1) == [7]
+    assert hot_keys(spark.range(5000).withColumnRenamed("id", "IDpol"), "IDpol") == []
     for how in ("inner", "left"):
         plain = facts.join(lookup.where("IDpol < 40"), "IDpol", how)
         salted = join_on_skewed_key(facts, lookup.where("IDpol < 40"), "IDpol", how)
