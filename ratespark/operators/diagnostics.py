@@ -129,7 +129,7 @@ def comparison_rmse_of(spark: SparkSession, runs: Mapping[str, Any]) -> DataFram
     """:func:`comparison_rmse` for a handful of runs held as a mapping."""
     frame = comparison_rmse(spark.createDataFrame([(json.dumps(runs),)], "payload string"))
     if frame.isEmpty():
-        raise DataValidationError("No successful model comparison RMSE values were found.")
+        raise DataValidationError("No successful run has an RMSE.")
     return frame
 
 

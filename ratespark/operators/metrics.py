@@ -44,7 +44,7 @@ def frequency_metrics(
             mean(poisson_unit_deviance(observed, rate)).alias("poisson_deviance"),
         )
     if basis not in BASES:
-        raise ValueError(f"Unsupported basis '{basis}'. Allowed values: {', '.join(BASES)}.")
+        raise ValueError(f"Unsupported basis '{basis}': choose one of {', '.join(BASES)}.")
     predicted = rate * exposure if basis == "count" else rate
     deviance = F.avg(poisson_unit_deviance(claims, predicted)).alias("poisson_deviance")
     return scored.agg(*_common(claims, predicted), deviance)

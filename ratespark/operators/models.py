@@ -98,7 +98,7 @@ def model_name(role: Role, requested: str | None, config: ModelConfig) -> str:
     name = str(requested if requested is not None else configured).strip().lower()
     if name not in role.allowed:
         raise ValueError(
-            f"Unsupported {role.name}_model '{requested}'. Allowed values: {', '.join(sorted(role.allowed))}."
+            f"Unsupported {role.name}_model '{name}': choose one of {', '.join(role.allowed)}."
         )
     return name
 

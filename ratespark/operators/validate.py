@@ -19,7 +19,7 @@ def require_columns(df: DataFrame, required: Sequence[str], dataset: str) -> Non
     missing = [name for name in required if name not in df.columns]
     if missing:
         raise DataValidationError(
-            f"{dataset} is missing required columns: {missing}. Available columns: {df.columns}"
+            f"{dataset}: missing required columns {missing}; present are {df.columns}"
         )
 
 
@@ -28,13 +28,13 @@ def require_pricing_columns(df: DataFrame) -> None:
     missing = [name for name in RATING_COLUMNS if not set(COLUMN_ALIASES[name]) & set(df.columns)]
     if missing:
         raise DataValidationError(
-            f"Input is missing required pricing columns: {missing}. Expected columns: {', '.join(RATING_COLUMNS)}."
+            f"Input: missing required pricing columns {missing}, also under their aliases."
         )
 
 
 def require_rows(df: DataFrame) -> None:
     if df.isEmpty():
-        raise DataValidationError("Input is empty: at least one policy row is needed.")
+        raise DataValidationError("The input is empty; at least one policy row is needed.")
 
 
 def has_min_rows(df: DataFrame, minimum: int) -> bool:
@@ -80,7 +80,7 @@ def validate_schema(
     profile = value_profile(df, required, numeric).collect()  # one row per column
     unusable = [r.column_name for r in profile if r.numeric_ok == 0 and r.non_null > 0]
     if unusable:
-        raise DataValidationError(f"{dataset} contains non-numeric values in expected numeric columns: {unusable}")
+        raise DataValidationError(f"{dataset}: nothing but non-numeric values in {unusable}")
     gaps = {
         r.column_name: r.missing
         for r in profile
@@ -88,7 +88,7 @@ def validate_schema(
     }
     if gaps:
         raise DataValidationError(
-            f"{dataset} has missing values in required columns: {gaps}. Impute or remove these rows first."
+            f"{dataset}: missing values per column {gaps}; fill or drop them first"
         )
 
 
@@ -142,8 +142,8 @@ def prediction_columns(df: DataFrame, actual: str | None = None, predicted: str
         if set(pair) <= set(df.columns):
             return pair
     if actual and predicted:
-        raise DataValidationError(f"Predictions must contain '{actual}' and '{predicted}' columns.")
-    raise DataValidationError("Could not infer actual and predicted columns; name them explicitly.")
+        raise DataValidationError(f"The frame lacks '{actual}' or '{predicted}'.")
+    raise DataValidationError("No known pair of actual and predicted columns; name the pair.")
 
 
 def prediction_pairs(
@@ -159,5 +159,5 @@ def prediction_pairs(
         *keep, to_number(actual_name).alias("actual"), to_number(predicted_name).alias("predicted")
     ).dropna(subset=["actual", "predicted"])
     if check and pairs.isEmpty():
-        raise DataValidationError("Predictions do not contain any numeric actual/predicted pairs.")
+        raise DataValidationError("No row has both a numeric actual and a numeric predicted value.")
     return pairs.withColumn("error", F.col("actual") - F.col("predicted"))

@@ -44,7 +44,7 @@ def load_artifacts(spark: SparkSession, root: str) -> dict[str, Any]:
         frequency = PipelineModel.load(f"{root}/frequency_model")
         severity = PipelineModel.load(f"{root}/severity_model")
     except Exception as problem:  # the reader's error class depends on which part is missing
-        raise FileNotFoundError(f"Trained model artifacts are missing or incomplete under {root}.") from problem
+        raise FileNotFoundError(f"No complete set of models under {root}.") from problem
     try:
         metrics = read_json(spark, f"{root}/metrics")
     except AnalysisException:

@@ -137,9 +137,9 @@ def test_prediction_columns(spark):
     assert prediction_columns(df) == ("y_true", "y_pred")
     rows = prediction_pairs(df).collect()
     assert len(rows) == 1 and rows[0]["error"] == pytest.approx(-0.1)
-    with pytest.raises(DataValidationError, match="Could not infer"):
+    with pytest.raises(DataValidationError, match="No known pair"):
         prediction_columns(df.drop("y_pred"))
-    with pytest.raises(DataValidationError, match="numeric actual/predicted"):
+    with pytest.raises(DataValidationError, match="numeric actual"):
         prediction_pairs(df.where("y_true = 'x'"))
 
 
