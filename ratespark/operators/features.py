@@ -45,11 +45,13 @@ def canonical_columns(df: DataFrame) -> DataFrame:
 def fill_policy_ids(df: DataFrame, missing_ids: str = "position") -> DataFrame:
     """Whole-number ids. Missing ones get their 1-based position, a hash, or stay null.
 
-    ``position`` numbers all rows and so writes the frame once; ``hash`` needs no job and is the
-    only choice for a stream; ``keep`` is for frames whose ids are already complete.
+    ``position`` looks for a missing id in the id column and, only when there is one, numbers all
+    rows, which writes the frame once; ``hash`` needs no job and is the only choice for a stream;
+    ``keep`` is for frames whose ids are known to be complete.
     """
     known = whole_id(df, POLICY_ID) if POLICY_ID in df.columns else F.lit(None).cast("long")
-    if missing_ids == "position":
+    complete = missing_ids == "position" and POLICY_ID in df.columns and df.select(known.alias("k")).where("k IS NULL").isEmpty()
+    if missing_ids == "position" and not complete:
         numbered = dense_ids(df.withColumn(POLICY_ID, known), "__position")
         return numbered.withColumn(POLICY_ID, F.coalesce(POLICY_ID, "__position")).drop("__position")
     if missing_ids == "hash":
