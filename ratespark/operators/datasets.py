@@ -83,7 +83,7 @@ def attach_claim_totals(policies: DataFrame, claims: DataFrame) -> DataFrame:
     )
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
+def hot_keys(df: DataFrame, key: str, share: float = 0.001) -> list:
     """Keys that hold more than ``share`` of the rows.
 
     A sketch names at most 1/share candidates; their rows are then counted, which removes the
@@ -120,10 +120,11 @@ def join_on_skewed_key(
     return spread.unionByName(facts.where(~is_hot).join(lookup, key, how))
 
 
-def claims_with_factors(claims: DataFrame, policies: DataFrame, hot: Sequence | None = ()) -> DataFrame:
+def claims_with_factors(claims: DataFrame, policies: DataFrame, hot: Sequence | None = None) -> DataFrame:
     """Each paid claim with the rating factors of its policy.
 
-    ``hot=None`` looks for hot policies first (one narrow pass over the claims).
+    Policies with very many claims are looked for first (two narrow passes over the claims) and split; pass the list
+    when it is known. Keys below the share are left to adaptive execution, which splits large join partitions.
     """
     factors = policies.select(POLICY_ID, *RATING_COLUMNS, "LogDensity")
     return join_on_skewed_key(claims, factors, POLICY_ID, hot=hot).where(F.col(CLAIM_AMOUNT) > 0)
@@ -134,24 +135,25 @@ def orphan_claims(claims: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def data_quality(policies: DataFrame, claims: DataFrame) -> DataFrame:
-    """Seven counters in one row, from one join of policies with per-policy claim totals."""
+    """Seven counters in one row, from one join of policies with claims, both folded by policy first."""
+    folded = policies.groupBy(POLICY_ID).agg(
+        F.count(F.lit(1)).alias("__rows"), F.count_if(F.col(CLAIM_COUNT) > 0).alias("__claimed")
+    )
     totals = claims.groupBy(POLICY_ID).agg(
         F.sum(CLAIM_AMOUNT).alias("__total"), F.count(F.lit(1)).alias("__claims")
     )
-    per_policy = policies.select(POLICY_ID, CLAIM_COUNT).join(totals, POLICY_ID, "full")
-    is_policy = F.col(CLAIM_COUNT).isNotNull()
+    is_policy = F.col("__rows").isNotNull()
     paid = F.coalesce("__total", F.lit(0.0)) > 0
-    claimed = F.col(CLAIM_COUNT) > 0
-    counted = per_policy.agg(
-        F.count_if(is_policy).alias("frequency_rows"),
-        F.count_if(claimed).alias("policies_with_claims"),
-        F.count_if(is_policy & paid).alias("policies_with_paid_amounts"),
-        F.count_if(claimed & ~paid).alias("positive_claim_count_without_paid_amount"),
+    counted = folded.join(totals, POLICY_ID, "full").agg(
+        _rows(F.col("__rows")).alias("frequency_rows"),
+        _rows(F.col("__claimed")).alias("policies_with_claims"),
+        _rows(F.when(paid, F.col("__rows"))).alias("policies_with_paid_amounts"),
+        _rows(F.when(~paid, F.col("__claimed"))).alias("positive_claim_count_without_paid_amount"),
+        _rows(F.col("__claims")).alias("severity_rows"),
         _rows(F.when(~is_policy, F.col("__claims"))).alias("severity_rows_without_matching_policy"),
         _rows(F.when(is_policy, F.col("__claims"))).alias("claim_rows_used_for_severity_model"),
     )
-    severity_rows = claims.agg(F.count(F.lit(1)).alias("severity_rows"))
-    return counted.crossJoin(severity_rows).select(  # one row each
+    return counted.select(
         "frequency_rows", "severity_rows", "policies_with_claims", "policies_with_paid_amounts",
         "positive_claim_count_without_paid_amount", "severity_rows_without_matching_policy",
         "claim_rows_used_for_severity_model",

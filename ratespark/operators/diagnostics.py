@@ -13,7 +13,7 @@ from ..config import RANDOM_SEED
 from ..functions.cleaning import safe_ratio
 from .ranking import exact_quantiles, prefix_sums, with_approx_bucket, with_quantile_bucket
 from .sampling import seeded_sample
-from .validate import DataValidationError, prediction_pairs
+from .validate import UnusableDataError, prediction_pairs
 
 DEFAULT_BINS = 40
 
@@ -129,7 +129,7 @@ def comparison_rmse_of(spark: SparkSession, runs: Mapping[str, Any]) -> DataFram
     """:func:`comparison_rmse` for a handful of runs held as a mapping."""
     frame = comparison_rmse(spark.createDataFrame([(json.dumps(runs),)], "payload string"))
     if frame.isEmpty():
-        raise DataValidationError("No successful run has an RMSE.")
+        raise UnusableDataError("No successful run has an RMSE.")
     return frame
 
 

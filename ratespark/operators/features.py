@@ -43,8 +43,9 @@ def canonical_columns(df: DataFrame) -> DataFrame:
 
 
 def fill_policy_ids(df: DataFrame, missing_ids: str = "position") -> DataFrame:
-    """Whole-number ids. Missing ones get their 1-based position, a hash, or stay null.
+    """Whole-number ids. Missing ones get a 1-based number, a hash, or stay null.
 
+    Numbers follow the order in which Spark reads the input: file order for one file, any order among several.
     ``position`` looks for a missing id in the id column and, only when there is one, numbers all
     rows, which writes the frame once; ``hash`` needs no job and is the only choice for a stream;
     ``keep`` is for frames whose ids are known to be complete.
@@ -131,7 +132,7 @@ def build_inference_frame(
     check_rows: bool = True,
     check_values: bool = True,
     batch_defaults: bool = True,
-    missing_ids: str = "position",
+    missing_ids: str = "hash",
 ) -> DataFrame:
     """Rows ready for scoring. The two checks cost a job each; a stream switches them off."""
     require_pricing_columns(df)

@@ -39,6 +39,7 @@ from ..config import (
 )
 from ..functions.cleaning import clip
 from .metrics import frequency_metrics, severity_metrics
+from .stats import numeric_medians
 
 FREQUENCY_MODELS = ("poisson", "random_forest", "xgboost", "gbt")
 SEVERITY_MODELS = ("gamma", "random_forest", "xgboost", "gbt")
@@ -47,7 +48,8 @@ _TARGET, _WEIGHT, _FEATURES = "__target", "__weight", "__features"
 
 
 def preprocessing_stages(
-    numeric: list[str] = MODEL_NUMERIC, categorical: list[str] = MODEL_CATEGORICAL, drop_reference: bool = False
+    training: DataFrame, numeric: list[str] = MODEL_NUMERIC, categorical: list[str] = MODEL_CATEGORICAL,
+    drop_reference: bool = False,
 ) -> list:
     """Median impute + standardise numbers, one-hot categories; unknown categories are all zero.
 
@@ -60,7 +62,7 @@ def preprocessing_stages(
     if numeric:
         filled = [f"__num_{c}" for c in numeric]
         stages += [
-            Imputer(inputCols=numeric, outputCols=filled, strategy="median", relativeError=0.001),
+            _median_imputer(training, numeric, filled),
             VectorAssembler(inputCols=filled, outputCol="__numbers"),
             StandardScaler(inputCol="__numbers", outputCol="__scaled", withMean=True, withStd=True),
         ]
@@ -79,6 +81,14 @@ def preprocessing_stages(
     return [*stages, VectorAssembler(inputCols=blocks, outputCol=_FEATURES)]
 
 
+def _median_imputer(training: DataFrame, columns: list[str], outputs: list[str]) -> ImputerModel:
+    """An imputer with the exact medians: it is fitted on the one row that holds them."""
+    found = {r.feature: r.value for r in numeric_medians(training, columns).collect()}  # one row per column
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in columns])
+    row = training.sparkSession.createDataFrame([tuple(float(found.get(c, 0.0)) for c in columns)], schema)
+    return Imputer(inputCols=columns, outputCols=outputs, strategy="median").fit(row)
+
+
 @dataclass(frozen=True)
 class Role:
     """What differs between the two model roles."""
@@ -130,10 +140,6 @@ class FittedModel:
         self.pipeline.write().overwrite().save(path)
 
 
-# Beyond this many levels a literal lookup is no faster than the encoder.
-MAX_FORMULA_LEVELS = 500
-
-
 def glm_formula(pipeline: PipelineModel) -> Column | None:
     """exp(intercept + sum of effects) of a fitted log-link model, or None for other models."""
     *encoder, fitted = pipeline.stages
@@ -152,7 +158,7 @@ def glm_formula(pipeline: PipelineModel) -> Column | None:
                 terms.append((value - F.lit(float(mean))) / F.lit(float(deviation)) * F.lit(weight))
     if StringIndexerModel in by_kind:
         indexer = by_kind[StringIndexerModel]
-        if indexer.getHandleInvalid() != "keep" or sum(map(len, indexer.labelsArray)) > MAX_FORMULA_LEVELS:
+        if indexer.getHandleInvalid() != "keep":
             return None
         for name, levels in zip(indexer.getInputCols(), indexer.labelsArray):
             pairs = [F.lit(part) for level in levels for part in (level, float(next(weights)))]
@@ -163,16 +169,6 @@ def glm_formula(pipeline: PipelineModel) -> Column | None:
     return F.exp(total)
 
 
-def spread_if_narrow(cached: DataFrame) -> DataFrame:
-    """Rows over all cores when a persisted frame has fewer partitions than that.
-
-    A few small files arrive as a few partitions, and an iterative fit would leave most cores
-    idle. Large inputs have more partitions than cores and are left alone.
-    """
-    cores = cached.sparkSession.sparkContext.defaultParallelism
-    return cached.repartition(cores) if cached.rdd.getNumPartitions() < cores else cached
-
-
 def frequency_training_frame(df: DataFrame) -> DataFrame:
     """Target claims per year, weight exposure."""
     exposure = clip(F.col(EXPOSURE), EXPOSURE_FLOOR)
@@ -200,15 +196,18 @@ def train_model(
     chosen = model_name(role, name, settings)
     role_settings = settings.frequency if role is FREQUENCY else settings.severity
     training = frequency_training_frame(df) if role is FREQUENCY else severity_training_frame(df)
-    training_cache = training.select(*numeric, *categorical, _TARGET, _WEIGHT).persist()
+    # Placed by content over a configured number of partitions: forests draw their bags by partition,
+    # so the fitted model is the same on any cluster.
+    columns = [*numeric, *categorical, _TARGET, _WEIGHT]
+    training_cache = training.select(*columns).repartition(settings.fit_partitions, *columns).persist()
     try:
         if training_cache.count() == 0:  # also fills the cache, which every later pass reads
             raise ValueError(f"{role.name.title()} training data is empty after filtering.")
-        needed = spread_if_narrow(training_cache)
-        regressor = _regressor(needed, role, chosen, role_settings, alpha, max_iter)
-        encoder = Pipeline(stages=preprocessing_stages(numeric, categorical, drop_reference)).fit(needed)
+        regressor = _regressor(training_cache, role, chosen, role_settings, alpha, max_iter)
+        stages = preprocessing_stages(training_cache, numeric, categorical, drop_reference)
+        encoder = Pipeline(stages=stages).fit(training_cache)
         # The regressor reads its input once per iteration: keep the encoded rows, not the recipe.
-        encoded = encoder.transform(needed).select(_FEATURES, _TARGET, _WEIGHT).persist()
+        encoded = encoder.transform(training_cache).select(_FEATURES, _TARGET, _WEIGHT).persist()
         try:
             fitted = regressor.fit(encoded)
         finally:
@@ -240,7 +239,7 @@ def _regressor(
         forest = settings.forest
         return RandomForestRegressor(
             numTrees=forest.trees, maxDepth=forest.max_depth, minInstancesPerNode=forest.min_leaf,
-            seed=RANDOM_SEED, cacheNodeIds=True, **shared,
+            seed=RANDOM_SEED, cacheNodeIds=True, bootstrap=forest.bootstrap, **shared,
         )
     if name == "gbt":
         boost = settings.boost

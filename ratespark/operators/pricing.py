@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..config import EXPOSURE, POLICY_ID, RISK_BANDS, PricingConfig
 from ..functions.cleaning import clip, safe_ratio, to_number
 from ..functions.rating import priced_exposure, risk_band, technical_premium
-from ..runtime import local_if_small
 
 BASELINE_KEYS = ["annual_frequency", "claim_severity", "annualized_expected_loss"]
 
@@ -117,8 +116,8 @@ def segment_rates(policies: DataFrame, claims: DataFrame, segment: str = "Area")
 
 
 def with_segment_rates(policies: DataFrame, rates: DataFrame, segment: str = "Area") -> DataFrame:
-    """Policies with the rates of their segment."""
-    return policies.join(local_if_small(rates), segment, "left")
+    """Policies with the rates of their segment; adaptive execution broadcasts the rates if they turn out small."""
+    return policies.join(rates, segment, "left")
 
 
 def risk_band_counts(scored: DataFrame) -> DataFrame:

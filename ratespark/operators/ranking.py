@@ -47,7 +47,7 @@ def global_rank(
 
 
 def dense_ids(df: DataFrame, alias: str) -> DataFrame:
-    """1..n in arrival order (file order for a file scan)."""
+    """1..n in the order in which Spark deals out the input: file order within one file, any order among several."""
     return _numbered(in_arrival_order(df), alias)
 
 

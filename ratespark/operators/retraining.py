@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..config import CLAIM_AMOUNT, CLAIM_COUNT, OUTCOME_COLUMNS, POLICY_ID, RATING_COLUMNS
 from ..functions.cleaning import to_number
 from ..schemas import canonical_case
+from .datasets import data_quality
 from .features import engineer_features
-from .validate import DataValidationError, has_min_rows
+from .validate import UnusableDataError, has_min_rows
 
 MIN_ROWS = 200
 
@@ -77,7 +78,7 @@ def claim_records(records: DataFrame, legacy_zero_as_missing: bool = False) -> D
 
 def require_min_rows(records: DataFrame, minimum: int = MIN_ROWS) -> None:
     if not has_min_rows(records, minimum):
-        raise DataValidationError(f"Refusing to retrain: fewer than {minimum} policy rows.")
+        raise UnusableDataError(f"Refusing to retrain: fewer than {minimum} policy rows.")
 
 
 def retraining_frames(
@@ -99,14 +100,7 @@ def retraining_frames(
 
 
 def retraining_quality(policies: DataFrame, claims: DataFrame) -> DataFrame:
-    """Counters of a retraining set; paid premiums and paid claims are told apart."""
-    counted = policies.agg(
-        F.count(F.lit(1)).alias("frequency_rows"),
-        F.count_if(F.col(CLAIM_COUNT) > 0).alias("policies_with_claims"),
-        F.count_if(F.col("premium_paid") > 0).alias("policies_with_paid_premium"),
-    )
-    rows = claims.agg(
-        F.count(F.lit(1)).alias("severity_rows"),
-        F.count_if(F.col(CLAIM_AMOUNT) > 0).alias("claim_rows_used_for_severity_model"),
-    )
-    return counted.crossJoin(rows)  # one row each
+    """The seven counters of :func:`data_quality` for a retraining set, and the policies with a paid premium."""
+    premiums = policies.agg(F.count_if(F.col("premium_paid") > 0).alias("policies_with_paid_premium"))
+    paid = claims.where(F.col(CLAIM_AMOUNT) > 0)
+    return data_quality(policies, paid).crossJoin(premiums)  # one row each

@@ -1,25 +1,21 @@
 """Seeded samples and train/test splits that do not depend on partitioning.
 
 A row's place is its md5 of (key, seed), so the same rows are chosen on any cluster and by any
-engine. An exact number of rows is reached through a cutoff hash: the frame is then filtered in
-place, and no task ever gathers the sample.
+engine. An exact number of rows is reached through a cutoff hash per stratum: the frame is then
+filtered in place, and no task ever gathers the sample.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RANDOM_SEED, TEST_SIZE
 from ..functions.rating import md5_order
-from .ranking import prefix_sums
-from .validate import DataValidationError
 
-MAX_STRATA = 1000
-_MARGIN = 8.0  # standard deviations of a binomial share; checked, not assumed
+BINS = 1 << 16
 
 
 def hash_share(order: Column) -> Column:
@@ -36,71 +32,51 @@ def hash_split(
 
 
 def hash_cutoffs(
-    df: DataFrame, key: Column, quota: Callable[[int], int], by: str | None = None, seed: int = RANDOM_SEED
-) -> dict:
-    """Per stratum, the hash up to which exactly ``quota(rows)`` rows lie.
+    df: DataFrame, key: Column, quota: Callable[[Column], Column], by: str | None = None, seed: int = RANDOM_SEED
+) -> DataFrame:
+    """(__stratum, __cutoff): the hash up to which exactly ``quota(rows)`` rows of the stratum lie.
 
-    Counts the strata, then ranks only the narrow band of hashes around the expected cutoff.
-    A band that turns out not to hold the cutoff is widened to the whole stratum.
+    Rows are counted by stratum and hash bin before anything moves; running sums over the bins name the one bin that
+    holds a stratum's cutoff, and only that bin's rows, one in ``BINS``, are ranked. A stratum with quota 0 has no row.
     """
     stratum = F.col(by) if by else F.lit(0)
-    keyed = df.select(stratum.alias("__by"), md5_order(key, seed).alias("__order"))
-    counted = keyed.groupBy("__by").agg(F.count(F.lit(1)).alias("n")).limit(MAX_STRATA + 1).collect()
-    if len(counted) > MAX_STRATA:
-        raise DataValidationError(f"More than {MAX_STRATA} strata: choose a coarser column.")
-    wanted = {r["__by"]: min(quota(r.n), r.n) for r in counted}
-    bands = {r["__by"]: _band(wanted[r["__by"]], r.n) for r in counted if wanted[r["__by"]] > 0}
-    if not bands:
-        return {name: "" for name in wanted}
-
-    share = hash_share(F.col("__order"))
-    below, inside = _band_counts(keyed, share, bands)
-    for name in bands:
-        if not 0 < wanted[name] - below[name] <= inside[name]:
-            bands[name], below[name] = (0.0, 1.0), 0
-    near = keyed.where(_per_stratum({s: share.between(*band) for s, band in bands.items()}, F.lit(False)))
-    ranked = prefix_sums(near, [F.col("__by"), F.col("__order")], {"__rank": F.lit(1)}, by=["__by"])
-    at_cutoff = _per_stratum({s: F.col("__rank") == wanted[s] - below[s] for s in bands}, F.lit(False))
-    found = {r["__by"]: r["__order"] for r in ranked.where(at_cutoff).collect()}  # one row per stratum
-    return {name: found.get(name, "") for name in wanted}
-
-
-def _band(wanted: int, rows: int) -> tuple[float, float]:
-    centre = wanted / rows
-    margin = _MARGIN * math.sqrt(max(centre * (1 - centre), 1 / rows) / rows)
-    return max(centre - margin, 0.0), min(centre + margin, 1.0)
-
-
-def _band_counts(keyed: DataFrame, share: Column, bands: dict) -> tuple[dict, dict]:
-    low = _per_stratum({s: F.lit(band[0]) for s, band in bands.items()}, F.lit(0.0))
-    high = _per_stratum({s: F.lit(band[1]) for s, band in bands.items()}, F.lit(0.0))
-    rows = keyed.groupBy("__by").agg(
-        F.count_if(share < low).alias("below"), F.count_if(share.between(low, high)).alias("inside")
-    ).collect()
-    return {r["__by"]: r.below for r in rows}, {r["__by"]: r.inside for r in rows}
-
-
-def _per_stratum(values: dict, default: Column) -> Column:
-    out = default
-    for name, value in values.items():
-        out = F.when(F.col("__by").eqNullSafe(F.lit(name)), value).otherwise(out)
-    return out
-
-
-def _up_to(key: Column, seed: int, cutoffs: dict, by: str | None) -> Column:
     order = md5_order(key, seed)
-    chosen = F.lit(False)
-    for name, cutoff in cutoffs.items():
-        here = F.col(by).eqNullSafe(F.lit(name)) if by else F.lit(True)
-        chosen = chosen | (here & (order <= F.lit(cutoff)))
-    return F.coalesce(chosen, F.lit(False))
-
-
-def sample_size(rows: int, fraction: float, max_rows: int) -> int:
-    target = rows
+    keyed = df.select(
+        stratum.alias("__stratum"), order.alias("__order"), F.floor(hash_share(order) * BINS).cast("int").alias("__bin")
+    )
+    counts = keyed.groupBy("__stratum", "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy("__stratum")
+    upto = F.sum("__n").over(whole.orderBy("__bin"))
+    placed = counts.withColumns({"__before": upto - F.col("__n"), "__rows": F.sum("__n").over(whole)})
+    rank = F.least(quota(F.col("__rows")), F.col("__rows")) - F.col("__before")
+    cuts = placed.withColumn("__rank", rank).where("__rank > 0 AND __rank <= __n").select(
+        F.col("__stratum").alias("__s"), F.col("__bin").alias("__b"), "__rank"
+    )
+    near = keyed.join(cuts, F.col("__stratum").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b")))
+    at = F.row_number().over(whole.orderBy("__order"))
+    ranked = near.withColumn("__at", at).where(F.col("__at") == F.col("__rank"))
+    return ranked.select("__stratum", F.col("__order").alias("__cutoff"))
+
+
+def _chosen(df: DataFrame, key: Column, quota: Callable[[Column], Column], by: str | None, seed: int) -> DataFrame:
+    """``df`` with ``__chosen``."""
+    cutoffs = hash_cutoffs(df, key, quota, by, seed)
+    if by is None:
+        joined = df.join(F.broadcast(cutoffs), F.lit(True), "left")  # one row at most
+    else:
+        joined = df.join(cutoffs, F.col(by).eqNullSafe(F.col("__stratum")), "left")
+    chosen = F.coalesce(md5_order(key, seed) <= F.col("__cutoff"), F.lit(False))
+    return joined.withColumn("__chosen", chosen).drop("__stratum", "__cutoff")
+
+
+def sample_size(rows: Column, fraction: float, max_rows: int) -> Column:
+    """The smallest of all rows, the wanted share (at least one row) and the limit; zero switches a limit off."""
+    limits = [rows]
     if 0.0 < fraction < 1.0:
-        target = min(target, max(1, int(rows * fraction)))
-    return min(target, max_rows) if max_rows > 0 else target
+        limits.append(F.greatest(F.floor(rows * fraction), F.lit(1)))
+    if max_rows > 0:
+        limits.append(F.lit(max_rows))
+    return F.least(*limits) if len(limits) > 1 else rows
 
 
 def experiment_sample(
@@ -110,8 +86,8 @@ def experiment_sample(
 
     ``key`` must tell rows apart; then the number of rows is exact.
     """
-    cutoffs = hash_cutoffs(df, key, lambda rows: sample_size(rows, fraction, max_rows), seed=seed)
-    return df.where(_up_to(key, seed, cutoffs, None))
+    chosen = _chosen(df, key, lambda rows: sample_size(rows, fraction, max_rows), None, seed)
+    return chosen.where("__chosen").drop("__chosen")
 
 
 def seeded_sample(df: DataFrame, key: Column, n: int, seed: int = RANDOM_SEED) -> DataFrame:
@@ -123,8 +99,8 @@ def stratified_split_labels(
     df: DataFrame, key: Column, stratum: str, test_size: float = TEST_SIZE, seed: int = RANDOM_SEED
 ) -> DataFrame:
     """Add ``is_test``: exactly ceil(test_size x rows) of every stratum."""
-    cutoffs = hash_cutoffs(df, key, lambda rows: math.ceil(round(rows * test_size, 9)), stratum, seed)
-    return df.withColumn("is_test", _up_to(key, seed, cutoffs, stratum))
+    wanted = lambda rows: F.ceil(F.round(rows * test_size, 9))
+    return _chosen(df, key, wanted, stratum, seed).withColumnRenamed("__chosen", "is_test")
 
 
 def stratified_split(

@@ -11,9 +11,6 @@ from ..config import CATEGORICAL_DEFAULTS, COLUMN_ALIASES, MODEL_CATEGORICAL, NU
 from ..config import SIMULATED_ALIASES
 from ..functions.cleaning import strip
 from .ranking import approx_quantiles, exact_quantiles, modes, unpivot
-from .validate import DataValidationError
-
-MAX_OPTIONS = 10_000
 
 
 def numeric_medians(df: DataFrame, columns: Sequence[str] = tuple(RATED_NUMERIC), exact: bool = True) -> DataFrame:
@@ -60,24 +57,17 @@ def default_values(df: DataFrame, numeric: Sequence[str], categorical: Sequence[
 
 
 def build_metadata(policies: DataFrame, exact: bool = True, **sections) -> dict:
-    """Everything inference needs, as a JSON-ready dict; ``sections`` are added unchanged."""
+    """Everything inference needs, as a JSON-ready dict; ``sections`` are added unchanged.
+
+    The category options, of which there may be any number, are a table of their own (:func:`categorical_options`),
+    which ``save_artifacts`` stores beside the metadata.
+    """
     ranges = {r.feature: {"min": r.min_value, "max": r.max_value} for r in numeric_ranges(policies).collect()}
     return {
         "numeric_defaults": default_values(policies, RATED_NUMERIC, [], exact),
         "categorical_defaults": default_values(policies, [], MODEL_CATEGORICAL),
         "supported_input_aliases": COLUMN_ALIASES,
         "optional_simulated_features": list(SIMULATED_ALIASES),
-        "categorical_options": _options_dict(policies),
         "numeric_ranges": ranges,
         **sections,
     }
-
-
-def _options_dict(policies: DataFrame) -> dict[str, list[str]]:
-    limit = MAX_OPTIONS * len(MODEL_CATEGORICAL)
-    rows = categorical_options(policies).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise DataValidationError(
-            f"More than {limit} distinct categories; use categorical_options() as a table instead."
-        )
-    return {c: sorted(r.option for r in rows if r.feature == c) for c in MODEL_CATEGORICAL}

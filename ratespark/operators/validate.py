@@ -11,14 +11,14 @@ from ..config import COLUMN_ALIASES, RATING_COLUMNS
 from ..functions.cleaning import to_number
 
 
-class DataValidationError(ValueError):
+class UnusableDataError(ValueError):
     """Input does not meet the contract of an operator."""
 
 
 def require_columns(df: DataFrame, required: Sequence[str], dataset: str) -> None:
     missing = [name for name in required if name not in df.columns]
     if missing:
-        raise DataValidationError(
+        raise UnusableDataError(
             f"{dataset}: missing required columns {missing}; present are {df.columns}"
         )
 
@@ -27,14 +27,14 @@ def require_pricing_columns(df: DataFrame) -> None:
     """Every rating factor must be there under its own name or an accepted alias."""
     missing = [name for name in RATING_COLUMNS if not set(COLUMN_ALIASES[name]) & set(df.columns)]
     if missing:
-        raise DataValidationError(
+        raise UnusableDataError(
             f"Input: missing required pricing columns {missing}, also under their aliases."
         )
 
 
 def require_rows(df: DataFrame) -> None:
     if df.isEmpty():
-        raise DataValidationError("The input is empty; at least one policy row is needed.")
+        raise UnusableDataError("The input is empty; at least one policy row is needed.")
 
 
 def has_min_rows(df: DataFrame, minimum: int) -> bool:
@@ -80,14 +80,14 @@ def validate_schema(
     profile = value_profile(df, required, numeric).collect()  # one row per column
     unusable = [r.column_name for r in profile if r.numeric_ok == 0 and r.non_null > 0]
     if unusable:
-        raise DataValidationError(f"{dataset}: nothing but non-numeric values in {unusable}")
+        raise UnusableDataError(f"{dataset}: nothing but non-numeric values in {unusable}")
     gaps = {
         r.column_name: r.missing
         for r in profile
         if r.missing > 0 and r.column_name in required and r.column_name not in allow_missing
     }
     if gaps:
-        raise DataValidationError(
+        raise UnusableDataError(
             f"{dataset}: missing values per column {gaps}; fill or drop them first"
         )
 
@@ -142,8 +142,8 @@ def prediction_columns(df: DataFrame, actual: str | None = None, predicted: str
         if set(pair) <= set(df.columns):
             return pair
     if actual and predicted:
-        raise DataValidationError(f"The frame lacks '{actual}' or '{predicted}'.")
-    raise DataValidationError("No known pair of actual and predicted columns; name the pair.")
+        raise UnusableDataError(f"The frame lacks '{actual}' or '{predicted}'.")
+    raise UnusableDataError("No known pair of actual and predicted columns; name the pair.")
 
 
 def prediction_pairs(
@@ -159,5 +159,5 @@ def prediction_pairs(
         *keep, to_number(actual_name).alias("actual"), to_number(predicted_name).alias("predicted")
     ).dropna(subset=["actual", "predicted"])
     if check and pairs.isEmpty():
-        raise DataValidationError("No row has both a numeric actual and a numeric predicted value.")
+        raise UnusableDataError("No row has both a numeric actual and a numeric predicted value.")
     return pairs.withColumn("error", F.col("actual") - F.col("predicted"))

@@ -603,18 +603,17 @@ SELECT round(lo-greatest((hi-lo)*0.05,1),4) AS axis_low, round(hi+greatest((hi-l
 @query("diagnostic_sample")
 def diagnostic_sample(spark, folder):
     key = F.concat_ws("-", F.col("IDpol").cast("string"), F.col("claim_seq").cast("string"))
-    sample = diagnostics.diagnostic_pairs(_claim_predictions(spark, folder), key, sample_size=500)
+    sample = diagnostics.diagnostic_pairs(_claim_predictions(spark, folder), key, sample_size=5000)
     return _round(sample, 4, "actual", "predicted", "error")
 
 
 sql("diagnostic_sample", f"""WITH {CLAIM_PREDICTIONS} SELECT round(ClaimAmount,4) AS actual,
 round(predicted_claim_severity,4) AS predicted, round(error,4) AS error FROM cp
-ORDER BY md5(concat(IDpol,'-',claim_seq,':42')) LIMIT 500""")
+ORDER BY md5(concat(IDpol,'-',claim_seq,':42')) LIMIT 5000""")
 
 
-@query("comparison_rmse_frame")
-def comparison_rmse_frame(spark, folder):
-    """Run results written as JSON per order priority, unpivoted to RMSE rows."""
+def comparison_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Run results as JSON documents (``payload``), one per order priority and status."""
     orders = sample_book.table(spark, folder, "orders")
     runs = orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.stddev_pop("o_totalprice").alias("spread"))
     status = F.when(F.col("o_orderstatus") == "P", "skipped").otherwise("success")
@@ -629,7 +628,13 @@ def comparison_rmse_frame(spark, folder):
             ).alias("metrics"),
         )),
     ))
-    return diagnostics.comparison_rmse(runs.select(body.alias("payload")))
+    return runs.select(body.alias("payload"))
+
+
+@query("comparison_rmse_frame")
+def comparison_rmse_frame(spark, folder):
+    """Run results unpivoted to RMSE rows."""
+    return diagnostics.comparison_rmse(comparison_payloads(spark, folder))
 
 
 sql("comparison_rmse_frame", """WITH r AS (SELECT o_orderpriority AS p, o_orderstatus AS s, round(stddev_pop(o_totalprice),3) AS x

@@ -79,6 +79,7 @@ def run_model_comparison(
     config: ExperimentConfig = ExperimentConfig(),
     models: ModelConfig = ModelConfig(),
     scoring: DataFrame | None = None,
+    pricing: PricingConfig = PricingConfig(),
 ) -> tuple[dict[str, Any], DataFrame]:
     """(results per pair, premium table of the scoring frame or the frequency test set)."""
     settings = comparison_model_config(models, config)
@@ -101,7 +102,10 @@ def run_model_comparison(
         run_key(f, s): _combined(f, s, attempts["frequency", f], attempts["severity", s])
         for f, s in product(config.frequency_models, config.severity_models)
     }
-    return results, premium_table(frequency_test if scoring is None else scoring, attempts)
+    for role, names, _ in plan:
+        if all(attempts[role.name, name].status == "failed" for name in names):
+            raise RuntimeError(f"No {role.name} model could be fitted: {attempts[role.name, names[0]].error}")
+    return results, premium_table(frequency_test if scoring is None else scoring, attempts, pricing)
 
 
 def _combined(frequency_name: str, severity_name: str, frequency: Attempt, severity: Attempt) -> dict[str, Any]:

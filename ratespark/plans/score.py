@@ -7,8 +7,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..config import PricingConfig
-from ..operators.features import build_inference_frame
+from ..config import POLICY_ID, PricingConfig
+from ..operators.features import build_inference_frame, canonical_columns, fill_policy_ids
 from ..operators.pricing import calculate_premium
 from ..operators.scenarios import scenario_report, scored_scenarios
 from ..sources.artifacts import load_artifacts, write_csv_report
@@ -31,9 +31,9 @@ def price(prepared: DataFrame, artifacts: Mapping[str, Any]) -> DataFrame:
 
 
 def predict_premiums(
-    df: DataFrame, artifacts: Mapping[str, Any], check: bool = True, missing_ids: str = "position"
+    df: DataFrame, artifacts: Mapping[str, Any], check: bool = True, missing_ids: str = "hash"
 ) -> DataFrame:
-    """Arbitrary policy rows -> priced rows."""
+    """Arbitrary policy rows -> priced rows; rows without an id get a stable one below zero unless positions are asked for."""
     prepared = build_inference_frame(
         df, artifacts["metadata"], check_rows=check, check_values=check, missing_ids=missing_ids
     )
@@ -54,13 +54,17 @@ def scorer(artifacts: Mapping[str, Any]) -> Callable[[DataFrame], DataFrame]:
 def score_csv(spark: SparkSession, source: str, target: str, models: str) -> DataFrame:
     """Score a CSV into a CSV report; returns the malformed input rows."""
     policies, malformed = read_scoring_csv(spark, source)
-    write_csv_report(predict_premiums(policies, load_artifacts(spark, models)), target)
+    # Input without any ids is numbered; a gap in given ids gets a hash, which costs no pass over the rows.
+    missing = "hash" if POLICY_ID in canonical_columns(policies).columns else "position"
+    write_csv_report(predict_premiums(policies, load_artifacts(spark, models), missing_ids=missing), target)
     return malformed
 
 
 def scenario_csv(spark: SparkSession, source: str, target: str, models: str) -> DataFrame:
     """Scenario report for every policy of a CSV; returns the malformed input rows."""
     policies, malformed = read_scoring_csv(spark, source)
+    # Numbered once, before the variants are made, so that all variants of a policy share its id.
+    policies = fill_policy_ids(canonical_columns(policies), "position")
     scored = scored_scenarios(policies, scorer(load_artifacts(spark, models)))
     write_csv_report(scenario_report(scored), target, decimals=6)
     return malformed

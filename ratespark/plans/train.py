@@ -26,7 +26,7 @@ from ..operators.models import train_frequency_model, train_severity_model
 from ..operators.pricing import baselines_dict, calculate_premium, portfolio_baselines, risk_thresholds, top_premiums
 from ..operators.retraining import MIN_ROWS, combine_records, require_min_rows, retraining_frames, retraining_quality
 from ..operators.sampling import stratified_split
-from ..operators.stats import build_metadata
+from ..operators.stats import build_metadata, categorical_options
 from ..runtime import materialise
 from ..sources.artifacts import record_run, save_artifacts, write_csv_report, write_json
 from ..sources.readers import load_frequency_data, load_severity_data, table_fingerprint
@@ -93,7 +93,7 @@ def run_training(
         }
         if experiments.enabled:
             results, premiums = run_model_comparison(
-                train_p, test_p, train_c, test_c, policy_key(), claim_key(), experiments, models
+                train_p, test_p, train_c, test_c, policy_key(), claim_key(), experiments, models, pricing=pricing
             )
             write_json(spark, results, f"{out}/evaluation/model_comparison")
             write_csv_report(premiums, f"{out}/reports/model_comparison", decimals=6)
@@ -120,7 +120,7 @@ def run_training(
             dataset_summary={"policy_rows": policies.count(), "claim_rows": claims.count()},
             data_quality=quality,
         )
-        save_artifacts(spark, f"{out}/models", frequency, severity, metadata, metrics)
+        save_artifacts(spark, f"{out}/models", frequency, severity, metadata, metrics, categorical_options(policies))
         run_id = record_run(
             spark, f"{out}/runs", model_parameters=asdict(models), evaluation_metrics=metrics,
             dataset_version=dataset_version or {}, dataset_summary=metadata["dataset_summary"],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -38,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that every executor can reach.")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="ratespark-"))
@@ -61,13 +64,3 @@ def materialise(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(directory)
     return df.checkpoint(eager=True)
-
-
-def local_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """``df`` as a local table when it has at most ``max_rows`` rows, else unchanged.
-
-    Meant for aggregates that are expected to be small. A local table has a known size, so the
-    optimizer broadcasts it by its own threshold; a larger one takes the ordinary shuffle join.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    return df if head.num_rows > max_rows else df.sparkSession.createDataFrame(head, df.schema)

@@ -27,13 +27,22 @@ def read_json(spark: SparkSession, path: str) -> Any:
 
 
 def save_artifacts(
-    spark: SparkSession, root: str, frequency: FittedModel, severity: FittedModel, metadata: dict, metrics: dict
+    spark: SparkSession, root: str, frequency: FittedModel, severity: FittedModel, metadata: dict, metrics: dict,
+    options: DataFrame | None = None,
 ) -> None:
+    """Both models, metadata, metrics and, as a table, the category options."""
     names = {"frequency_model": frequency.name, "severity_model": severity.name}
     frequency.save(f"{root}/frequency_model")
     severity.save(f"{root}/severity_model")
     write_json(spark, {**metadata, "fitted_models": names}, f"{root}/metadata")
     write_json(spark, metrics, f"{root}/metrics")
+    if options is not None:
+        options.write.mode("overwrite").parquet(f"{root}/categorical_options")
+
+
+def load_options(spark: SparkSession, root: str) -> DataFrame:
+    """(feature, option): the categories seen in training."""
+    return spark.read.schema("feature string, option string").parquet(f"{root}/categorical_options")
 
 
 def load_artifacts(spark: SparkSession, root: str) -> dict[str, Any]:

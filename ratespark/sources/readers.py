@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from ..config import CLAIM_AMOUNT, CLAIM_COUNT, FREQUENCY_COLUMNS, POLICY_ID, RATED_NUMERIC, SEVERITY_COLUMNS
 from ..operators.validate import require_pricing_columns, validate_schema
@@ -17,7 +18,6 @@ MISSING_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-MAX_HASHED_BYTES = 256 * 1024 * 1024
 
 
 def read_csv_text(spark: SparkSession, path: str, sep: str = ",", keep_corrupt: bool = False) -> DataFrame:
@@ -82,8 +82,14 @@ def read_spanish_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_requests(requests: DataFrame) -> DataFrame:
-    """One row per policy of the batch requests, each with its request's consent."""
-    return requests.select(
+    """One row per policy of the batch requests, each with its request's consent.
+
+    A request without policies fails the query when its row is reached, as it is an error of the sender.
+    """
+    filled = F.when(F.size("policies") > 0, F.col("policies")).otherwise(
+        F.raise_error(F.lit("A batch request needs at least one policy."))
+    )
+    return requests.withColumn("policies", filled).select(
         F.coalesce("consent", F.lit(False)).alias("consent"), F.explode("policies").alias("policy")
     ).select("policy.*", "consent")
 
@@ -99,17 +105,32 @@ def read_comparison_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_versions(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size_bytes, modified_utc, sha256) per input file.
+    """(path, exists, size_bytes, modified_utc, fingerprint) per input file, for files of any size.
 
-    The digest needs a whole file in one task, so only files up to ``MAX_HASHED_BYTES`` get one
-    (the size filter reaches the file listing); use :func:`table_fingerprint` for large tables.
+    The fingerprint is the sum of the hashes of the file's lines, so a file is
+    hashed in pieces by many tasks and folded before it is sent. A path without files gives one row with ``exists``
+    false.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    digests = files.where(F.col("length") <= MAX_HASHED_BYTES).select("path", F.sha2("content", 256).alias("sha256"))
+    try:
+        # The listing only: no content is read for these columns.
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).drop("content")
+        present = not files.isEmpty()
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" not in str(problem.getCondition()):
+            raise
+        present = False
+    if not present:
+        return spark.createDataFrame([(path, False)], "path string, exists boolean").select(
+            "path", "exists", F.lit(None).cast("long").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified_utc"),
+            F.lit(None).cast("decimal(38,0)").alias("fingerprint"),
+        )
     listing = files.select(
-        "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_utc")
+        "path", F.lit(True).alias("exists"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_utc")
     )
-    return listing.join(digests, "path", "left")
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    counted = lines.select(F.col("_metadata.file_path").alias("path"), F.xxhash64("value").alias("line"))
+    hashed = counted.groupBy("path").agg(F.sum(F.col("line").cast("decimal(38,0)")).alias("fingerprint"))
+    return listing.join(hashed, "path", "left")
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:

@@ -16,11 +16,8 @@ from ..functions.cleaning import to_number
 from ..schemas import TABLES, conform
 from .readers import read_csv_text
 
-PARTITIONS = {
-    "quotes": ["created_date", "batch_id"],
-    "training_data": ["created_date", "batch_id"],
-    "b2b_portfolios": ["portfolio_name", "batch_id"],
-}
+# Below the batch id, which is always the outermost folder.
+PARTITIONS = {"quotes": "created_date", "training_data": "created_date", "b2b_portfolios": "portfolio_name"}
 
 
 def payload(df: DataFrame, columns: list[str]) -> list[Column]:
@@ -46,17 +43,22 @@ def quote_rows(scored: DataFrame, source: str | Column = "single", consent: bool
 
 
 def write_table(df: DataFrame, root: str, table: str, batch_id: str) -> None:
-    """Write one batch of a table; writing the same batch again replaces it."""
+    """Write one batch of a table into its own folder; writing the same batch again replaces the folder as a whole.
+
+    Dates and ids made anew by the second attempt therefore cannot leave rows of the first behind.
+    """
+    inner = PARTITIONS[table]
     stamped = df.withColumn("batch_id", F.lit(batch_id))
-    if "created_date" in PARTITIONS[table]:
-        stamped = stamped.withColumn("created_date", F.to_date("created_at"))
+    if inner == "created_date":
+        stamped = stamped.withColumn(inner, F.to_date("created_at"))
     # Rows of one folder are brought together, or each task would leave a file in every folder;
     # adaptive execution splits a folder that is too large for one task.
-    gathered = conform(stamped, TABLES[table]).hint("rebalance", PARTITIONS[table][0])
-    (
-        gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS[table]).parquet(f"{root}/{table}")
-    )
+    gathered = conform(stamped, TABLES[table]).drop("batch_id").hint("rebalance", inner)
+    gathered.write.mode("overwrite").partitionBy(inner).parquet(_batch_path(root, table, batch_id))
+
+
+def _batch_path(root: str, table: str, batch_id: str) -> str:
+    return f"{root}/{table}/batch_id={batch_id}"
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -64,6 +66,12 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}")
 
 
+def read_batch(spark: SparkSession, root: str, table: str, batch_id: str) -> DataFrame:
+    """One batch, found by its own path: nothing else of the table is listed."""
+    reader = spark.read.schema(TABLES[table]).option("basePath", f"{root}/{table}")
+    return reader.parquet(_batch_path(root, table, batch_id))
+
+
 def save_quotes(
     scored: DataFrame, root: str, source: str | Column = "single", consent: bool | Column = False,
     batch_id: str | None = None,
@@ -75,8 +83,7 @@ def save_quotes(
     """
     batch = batch_id or uuid.uuid4().hex
     write_table(quote_rows(scored, source, consent), root, "quotes", batch)
-    stored = read_table(scored.sparkSession, root, "quotes").where(F.col("batch_id") == batch)
-    write_table(consented(stored), root, "training_data", batch)
+    write_table(consented(read_batch(scored.sparkSession, root, "quotes", batch)), root, "training_data", batch)
     return batch
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import PricingConfig
 from ..operators.features import build_inference_frame
 from ..operators.pricing import calculate_premium
-from ..sources.store import consented, quote_rows, read_table, write_table
+from ..sources.store import consented, quote_rows, read_batch, write_table
 
 EVENT_TIME = "created_at"
 
@@ -76,14 +76,13 @@ def store_quotes(
 ) -> StreamingQuery:
     """Write every quote, and consented quotes to training data, exactly once per micro-batch.
 
-    A micro-batch owns its ``batch_id`` partitions in both tables: when it is replayed after a
-    failure it overwrites them, whichever of the two writes had been done.
+    A micro-batch owns its ``batch_id`` folder in both tables: when it is replayed after a failure
+    it replaces both folders, whichever of the two writes had been done and whatever the date.
     """
     def write(batch: DataFrame, number: int) -> None:
         name = f"stream-{number:012d}"
         write_table(quote_rows(batch, source, consent), root, "quotes", name)
-        stored = read_table(batch.sparkSession, root, "quotes").where(F.col("batch_id") == name)
-        write_table(consented(stored), root, "training_data", name)
+        write_table(consented(read_batch(batch.sparkSession, root, "quotes", name)), root, "training_data", name)
 
     writer = scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

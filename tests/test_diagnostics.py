@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratespark.operators import book, diagnostics
-from ratespark.operators.validate import DataValidationError
+from ratespark.operators.validate import UnusableDataError
 
 RUNS = {
     "poisson_gamma": {
@@ -24,7 +24,7 @@ def test_comparison_frame_takes_successes_only(spark):
     rows = {(r.run_name, r.component): r for r in diagnostics.comparison_rmse_of(spark, RUNS).collect()}
     assert set(rows) == {("poisson_gamma", "Frequency"), ("poisson_gamma", "Severity"), ("rf_rf", "Frequency")}
     assert rows["poisson_gamma", "Severity"]["combo_label"] == "poisson + gamma"
-    with pytest.raises(DataValidationError, match="No successful run"):
+    with pytest.raises(UnusableDataError, match="No successful run"):
         diagnostics.comparison_rmse_of(spark, {"a": {"status": "failed"}})
 
 

@@ -15,7 +15,7 @@ from ratespark.operators.datasets import (
 )
 from ratespark.operators.features import build_inference_frame, engineer_features, fill_policy_ids
 from ratespark.operators.validate import (
-    DataValidationError,
+    UnusableDataError,
     has_min_rows,
     prediction_columns,
     prediction_pairs,
@@ -27,17 +27,17 @@ METADATA = {"numeric_defaults": NUMERIC_DEFAULTS, "categorical_defaults": CATEGO
 
 
 def test_missing_column_is_reported(raw_policies):
-    with pytest.raises(DataValidationError, match="missing required columns"):
+    with pytest.raises(UnusableDataError, match="missing required columns"):
         clean_frequency_data(raw_policies.drop("VehPower"))
 
 
 def test_missing_pricing_columns_are_reported(raw_policies):
-    with pytest.raises(DataValidationError, match="missing required pricing columns"):
+    with pytest.raises(UnusableDataError, match="missing required pricing columns"):
         build_inference_frame(raw_policies.select("Exposure", "VehPower", "VehAge", "DrivAge"))
 
 
 def test_empty_input_is_reported(raw_policies):
-    with pytest.raises(DataValidationError, match="empty"):
+    with pytest.raises(UnusableDataError, match="empty"):
         build_inference_frame(raw_policies.where("false"))
 
 
@@ -114,9 +114,9 @@ def test_claim_count_and_exposure_cleaning(spark, raw_policies):
 
 def test_validation_messages(spark):
     df = spark.createDataFrame([("a", None), ("b", "1")], "x string, y string")
-    with pytest.raises(DataValidationError, match="non-numeric"):
+    with pytest.raises(UnusableDataError, match="non-numeric"):
         validate_schema(df, "T", ["x"], ["x"])
-    with pytest.raises(DataValidationError, match="missing values"):
+    with pytest.raises(UnusableDataError, match="missing values"):
         validate_schema(df, "T", ["y"], ["y"])
     validate_schema(df, "T", ["y"], ["y"], allow_missing={"y"})
 
@@ -137,9 +137,9 @@ def test_prediction_columns(spark):
     assert prediction_columns(df) == ("y_true", "y_pred")
     rows = prediction_pairs(df).collect()
     assert len(rows) == 1 and rows[0]["error"] == pytest.approx(-0.1)
-    with pytest.raises(DataValidationError, match="No known pair"):
+    with pytest.raises(UnusableDataError, match="No known pair"):
         prediction_columns(df.drop("y_pred"))
-    with pytest.raises(DataValidationError, match="numeric actual"):
+    with pytest.raises(UnusableDataError, match="numeric actual"):
         prediction_pairs(df.where("y_true = 'x'"))
 
 

@@ -66,7 +66,8 @@ def test_saved_models_score_alike(spark, trained, tmp_path):
     assert [r.IDpol for r in rows] == ["1", "2", "3"] and all(float(r.final_premium) >= 100 for r in rows)
     assert rows[2].VehBrand == loaded["metadata"]["categorical_defaults"]["VehBrand"]
     score.scenario_csv(spark, f"{tmp_path}/in.csv", f"{tmp_path}/scenarios", f"{root}/out/models")
-    assert spark.read.option("header", True).csv(f"{tmp_path}/scenarios").count() == 21
+    report = spark.read.option("header", True).csv(f"{tmp_path}/scenarios")
+    assert report.count() == 21 and report.select("policy_id").distinct().count() == 3
 
 
 def test_missing_artifacts(spark, tmp_path):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ratespark.config import CATEGORICAL_DEFAULTS, NUMERIC_DEFAULTS
 from ratespark.operators import drift, pricing, retraining
 from ratespark.operators.features import engineer_features
-from ratespark.operators.validate import DataValidationError
+from ratespark.operators.validate import UnusableDataError
 from ratespark.schemas import QUOTES, conform
 from ratespark.sources import readers, store
 from ratespark.streaming import quotes as streams
@@ -73,6 +73,25 @@ def test_csv_readers(spark, tmp_path):
     assert readers.read_spanish_csv(spark, f"{tmp_path}/s.csv").columns == ["ID", "Premium"]
 
 
+def test_request_without_policies_is_an_error(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"policies": [], "consent": true}')
+    with pytest.raises(Exception, match="at least one policy"):
+        readers.read_batch_requests(spark, f"{tmp_path}/r.json").collect()
+
+
+def test_replayed_batch_replaces_all_dates_and_lists_its_own_path_only(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2024-01-31 23:59:00"), ("b", "2024-01-31 23:59:30")], "id string, t string")
+    quotes = rows.select("id", F.col("t").cast("timestamp").alias("created_at"))
+    root = str(tmp_path)
+    for shift in (0, 1):
+        store.save_quotes(quotes.withColumn("created_at", F.col("created_at") + F.expr(f"INTERVAL {shift} DAYS")), root, consent=True, batch_id="x")
+    store.save_quotes(quotes, root, batch_id="y")
+    for name, count in (("quotes", 4), ("training_data", 2)):
+        assert store.read_table(spark, root, name).count() == count
+    batch = store.read_batch(spark, root, "quotes", "x")
+    assert batch.count() == 2 and all("batch_id=x" in f for f in batch.inputFiles())
+
+
 def test_json_requests(spark, tmp_path):
     policy = {"Exposure": 1, "VehPower": 6, "VehBrand": "B12"}
     (tmp_path / "r.json").write_text(json.dumps({"policies": [policy, policy], "consent": True}) + "\n" + json.dumps({"policies": [policy]}))
@@ -81,11 +100,13 @@ def test_json_requests(spark, tmp_path):
 
 
 def test_file_versions_and_fingerprint(spark, tmp_path):
-    import hashlib
-
-    (tmp_path / "a.csv").write_text("hello")
-    row = readers.file_versions(spark, str(tmp_path)).first()
-    assert row["size_bytes"] == 5 and row["sha256"] == hashlib.sha256(b"hello").hexdigest()
+    for name, text in (("a.csv", "hello\nthere"), ("b.csv", "hello\nthere"), ("c.csv", "hello\nThere")):
+        (tmp_path / name).write_text(text)
+    rows = readers.file_versions(spark, str(tmp_path)).orderBy("path").collect()
+    assert [(r["exists"], r["size_bytes"]) for r in rows] == [(True, 11)] * 3
+    assert rows[0]["fingerprint"] == rows[1]["fingerprint"] != rows[2]["fingerprint"]
+    absent = readers.file_versions(spark, str(tmp_path / "none")).collect()
+    assert [(r["exists"], r["fingerprint"]) for r in absent] == [(False, None)]
     df = spark.range(100)
     one, two = (readers.table_fingerprint(d).first() for d in (df, df.repartition(5)))
     assert one == two and readers.table_fingerprint(df.where("id > 0")).first() != one
@@ -114,7 +135,7 @@ def test_records_become_training_rows(spark):
     assert legacy[7]["VehAge"] == 6.0 and legacy[7]["Density"] == 500.0
     claims = retraining.claim_records(records).collect()
     assert [c.ClaimAmount for c in claims] == [80.0] and claims[0].IDpol in plain
-    with pytest.raises(DataValidationError, match="fewer than 200"):
+    with pytest.raises(UnusableDataError, match="fewer than 200"):
         retraining.require_min_rows(records)
 
 
