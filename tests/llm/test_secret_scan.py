@@ -1,0 +1,57 @@
+import hashlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from llm_helpers import prose
+from ratespark.llm import secret_scan as ss
+
+
+def hexed(i, n):
+    return hashlib.sha512(f"secret {i}".encode()).hexdigest()[:n]
+
+
+@pytest.fixture(scope="module")
+def corpus(make_docs):
+    return make_docs([(i, " ".join(["the", "and", "token", "of", "commit", "with", "thereby", "about"] + prose(i, 30)) + f" x{i}") for i in range(300)]).cache()
+
+
+def test_candidates_have_exact_places():
+    text = 'é token = "%s" and AKIA%s -----BEGIN RSA PRIVATE KEY----- plain words only' % (hexed(1, 40), hexed(2, 16).upper())
+    raw = text.encode()
+    found = {raw[a:b].decode(): kind for a, b, kind, _ in ss.candidates(raw)}
+    assert found == {hexed(1, 40): "hex", "AKIA" + hexed(2, 16).upper(): "aws_key", "-----BEGIN RSA PRIVATE KEY-----": "private_key"}
+    assert ss.candidates(b"") == [] and ss.candidates("nothing: here at all".encode()) == []
+
+
+def test_secrets_are_found_and_false_findings_removed(spark, make_docs, corpus):
+    secret = [(1000 + i, " ".join(prose(i, 9)) + f' token = "{hexed(i, 40)}" ' + " ".join(prose(i, 5))) for i in range(20)]
+    other = [(2000 + i, " ".join(prose(i, 9)) + f" commit {hexed(50 + i, 40)} " + " ".join(prose(i, 5))) for i in range(20)]
+    docs = corpus.unionByName(make_docs(secret + other))
+    got = {r.doc_id: r for r in ss.secrets(docs).where("doc_id >= 1000").collect()}
+    assert sum(got[i].is_secret for i, _ in secret) >= 19 and sum(got[i].is_secret for i, _ in other) <= 1
+    for i, text in secret:
+        at = text.index(hexed(i - 1000, 40))
+        assert (got[i].start, got[i].length, got[i].value_sha256) == (at, 40, hashlib.sha256(hexed(i - 1000, 40).encode()).hexdigest())
+
+
+def test_held_out_findings_are_told_apart(spark, corpus):
+    words = ss.common_dictionary(corpus)
+    findings = ss.found_candidates(ss.labelled_findings(corpus), words, ["id", "label"]).cache()
+    assert {r.label for r in findings.select("label").distinct().collect()} == {0.0, 1.0}
+    model = ss.fit_forest(findings.where("id % 3 > 0"))
+    held = model.transform(findings.where("id % 3 = 0"))
+    assert held.agg(F.avg((F.col("__prediction") == F.col("label")).cast("int"))).first()[0] > 0.95
+
+
+def test_dictionary_covers_words():
+    words = ss.Dictionary([("there", 10), ("about", 5)])
+    assert words.covered("thereabout1") == (10 / 11, 5) and words.covered("") == (0.0, 0)
+    assert words.transitions("there") < words.transitions("xq7z")
+
+
+def test_odd_rows_and_empty_table(spark, make_docs, odd_rows):
+    got = ss.secrets(make_docs(odd_rows + [(50, f"key: {hexed(3, 32)}", None)])).collect()
+    assert Counter(r.doc_id for r in got)[50] == 1
+    assert ss.secrets(make_docs([])).collect() == []
