@@ -180,18 +180,13 @@ SELECT IDpol, CAST(ClaimNb AS INT) AS ClaimNb, Exposure, VehPower, VehAge, DrivA
 
 @query("policy_dense_ids")
 def policy_dense_ids(spark, folder):
-    """Surrogate ids 1..n: every number is given once."""
-    raw = sample_book.raw_policies(spark, folder).select(*RATING_COLUMNS)
-    numbered = features.fill_policy_ids(raw, "position")
-    return numbered.agg(
-        F.count(F.lit(1)).alias("rows"), F.min("IDpol").alias("first_id"), F.max("IDpol").alias("last_id"),
-        F.sum("IDpol").alias("id_sum"),
-    )
+    """Surrogate ids 1..n: every number is given once; rows that arrive in order are numbered in order."""
+    raw = sample_book.raw_policies(spark, folder).withColumnRenamed("IDpol", "order_key").coalesce(1).sortWithinPartitions("order_key")
+    return features.fill_policy_ids(raw, "position").select("order_key", "IDpol")
 
 
-sql("policy_dense_ids", """SELECT count(*) AS rows, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id,
-CAST(count(*)*(count(*)+1)/2 AS BIGINT) AS id_sum FROM orders JOIN customer ON c_custkey=o_custkey
-JOIN nation ON n_nationkey=c_nationkey""")
+sql("policy_dense_ids", """SELECT o_orderkey AS order_key, row_number() OVER (ORDER BY o_orderkey) AS IDpol FROM orders
+JOIN customer ON c_custkey=o_custkey JOIN nation ON n_nationkey=c_nationkey""")
 
 
 @query("claims_clean_severity")
@@ -794,16 +789,17 @@ SELECT IDpol, Area FROM r, n WHERE rk <= k""")
 
 @query("plain_claim_split")
 def plain_claim_split(spark, folder):
-    """Hash split of the claims: share of each side."""
+    """Hash split of the claims: the side of every claim."""
     claims = _claims(spark, folder)
     key = F.concat_ws("-", F.col("IDpol").cast("string"), F.col("claim_seq").cast("string"))
     train, test = sampling.hash_split(claims, key)
-    return store.table_counts({"train": train, "test": test})
+    sides = [df.select(F.lit(side).alias("side"), "IDpol", "claim_seq") for side, df in (("train", train), ("test", test))]
+    return sides[0].unionByName(sides[1])
 
 
 sql("plain_claim_split", f"""WITH {POL}, h AS (SELECT
-('0x'||substr(md5(concat(IDpol,'-',claim_seq,':42')),1,12))::BIGINT/281474976710656.0::DOUBLE < 0.2 AS t FROM sev)
-SELECT 'test' AS table_name, count(*) FILTER (t) AS rows FROM h UNION ALL SELECT 'train', count(*) FILTER (NOT t) FROM h""")
+('0x'||substr(md5(concat(IDpol,'-',claim_seq,':42')),1,12))::BIGINT/281474976710656.0::DOUBLE < 0.2 AS t, IDpol, claim_seq FROM sev)
+SELECT CASE WHEN t THEN 'test' ELSE 'train' END AS side, IDpol, claim_seq FROM h""")
 
 
 # ---- foreign portfolios -----------------------------------------------------------------------------------------
@@ -1065,27 +1061,43 @@ def _quote_stream(spark: SparkSession, folder: str) -> DataFrame:
     return sample_book.quotes_from_events(events)
 
 
+def _closing_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The quote stream with a heartbeat three days behind the last event of each type.
+
+    The heartbeat carries the watermark past all events, so every window, session and unmatched quote comes out. Its own
+    rows belong to user -1 and stay open in windows and sessions.
+    """
+    events = sample_book.table(spark, folder, "events")
+    last = events.agg(F.max("ts").alias("last"))
+    beats = events.select("event_type").distinct().crossJoin(F.broadcast(last)).select(  # one row
+        F.lit(None).cast("long").alias("event_id"), (F.col("last") + F.expr("INTERVAL 3 DAYS")).alias("ts"),
+        F.lit(-1).cast("long").alias("user_id"), "event_type", F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"),
+    )
+    path = scratch_path(spark, "heartbeat")
+    beats.coalesce(1).write.parquet(path)
+    stream = streams.read_parquet_stream(spark, folder, sample_book.EVENT_SCHEMA, "events.parquet")
+    return sample_book.quotes_from_events(stream.unionByName(streams.read_parquet_stream(spark, path, sample_book.EVENT_SCHEMA)))
+
+
 def _run(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
     return streams.run_to_table(stream, scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint"))
 
 
 @query("stream_daily_quotes")
 def stream_daily_quotes(spark, folder):
-    daily = _run(spark, streams.volume_by_window(_quote_stream(spark, folder)), "daily")
+    daily = _run(spark, streams.volume_by_window(_closing_stream(spark, folder)), "daily")
     return _round(daily.drop("window_end"), 3, "total_value").withColumn(
         "window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
     )
 
 
-CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 sql("stream_daily_quotes", f"""SELECT strftime(date_trunc('day',ts),'%Y-%m-%d %H:%M:%S') AS window_start, event_type AS source,
-count(*) AS quotes, round(sum(value),3) AS total_value FROM events
-WHERE date_trunc('day',ts) + INTERVAL 1 DAY <= {CLOSED} GROUP BY 1,2""")
+count(*) AS quotes, round(sum(value),3) AS total_value FROM events GROUP BY 1,2""")
 
 
 @query("stream_sliding_quotes")
 def stream_sliding_quotes(spark, folder):
-    sliding = streams.volume_by_window(_quote_stream(spark, folder), "1 day", "12 hours")
+    sliding = streams.volume_by_window(_closing_stream(spark, folder), "1 day", "12 hours")
     return _run(spark, sliding, "sliding").select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "source", "quotes"
     )
@@ -1093,7 +1105,7 @@ def stream_sliding_quotes(spark, folder):
 
 sql("stream_sliding_quotes", f"""WITH s AS (SELECT event_type AS source, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01') - k*INTERVAL 12 HOUR AS w
 FROM events, (VALUES (0),(1)) t(k))
-SELECT strftime(w,'%Y-%m-%d %H:%M:%S') AS window_start, source, count(*) AS quotes FROM s WHERE w + INTERVAL 1 DAY <= {CLOSED} GROUP BY 1,2""")
+SELECT strftime(w,'%Y-%m-%d %H:%M:%S') AS window_start, source, count(*) AS quotes FROM s GROUP BY 1,2""")
 
 
 @query("stream_consent_fanout")
@@ -1104,11 +1116,16 @@ def stream_consent_fanout(spark, folder):
         scored, root, scratch_path(spark, "fanout-checkpoint"), F.col("source"), F.col("consent"), available_now=True
     )
     running.awaitTermination()
-    return store.table_counts({n: store.read_table(spark, root, n) for n in ("quotes", "training_data")})
+    parts = [
+        store.read_table(spark, root, n).select(F.lit(n).alias("table_name"), "id", "source", "consent", F.round("exposure", 4).alias("exposure"))
+        for n in ("quotes", "training_data")
+    ]
+    return parts[0].unionByName(parts[1])
 
 
-sql("stream_consent_fanout", """SELECT 'quotes' AS table_name, count(*) AS rows FROM events UNION ALL
-SELECT 'training_data', count(*) FROM events WHERE event_id%3=0""")
+sql("stream_consent_fanout", """WITH e AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS source, event_id%3=0 AS consent,
+round(CAST(1+user_id%100 AS DOUBLE)/100,4) AS exposure FROM events)
+SELECT 'quotes' AS table_name, * FROM e UNION ALL SELECT 'training_data', * FROM e WHERE consent""")
 
 
 @query("stream_dedup")
@@ -1123,50 +1140,42 @@ sql("stream_dedup", "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS sourc
 
 @query("stream_outcome_match")
 def stream_outcome_match(spark, folder):
-    """Views followed by a purchase of the same user within two hours; unmatched views once settled."""
-    stream = _quote_stream(spark, folder)
-    viewed = stream.where(F.col("source") == "view").select("id", "user_id", "created_at")
-    bought = _quote_stream(spark, folder).where(F.col("source") == "purchase").select(
+    """Every view with the purchases of the same user within two hours, or with none."""
+    viewed = _closing_stream(spark, folder).where(F.col("source") == "view").select("id", "user_id", "created_at")
+    bought = _closing_stream(spark, folder).where(F.col("source") == "purchase").select(
         F.col("id").alias("outcome_id"), "user_id", "created_at"
     )
-    matched = _run(spark, streams.match_outcomes(viewed, bought, "user_id"), "match")
-    events = sample_book.table(spark, folder, "events")
-    last = events.where(F.col("event_type").isin("view", "purchase")).groupBy("event_type").agg(
-        F.max("ts").cast("timestamp").alias("t")
-    ).agg((F.min("t") - F.expr("INTERVAL 4 HOURS")).alias("settled"))
-    return matched.crossJoin(F.broadcast(last)).where(  # one row
-        F.col("outcome_id").isNotNull() | (F.col("created_at") < F.col("settled"))
-    ).select("id", "user_id", "outcome_id")
+    matched = _run(spark, streams.match_outcomes(viewed, bought, "user_id"), "match").where("user_id >= 0")
+    return matched.select("id", "user_id", "outcome_id")
 
 
-sql("stream_outcome_match", """WITH v AS (SELECT * FROM events WHERE event_type='view'), p AS (SELECT * FROM events WHERE event_type='purchase'),
-lim AS (SELECT least((SELECT max(ts) FROM v),(SELECT max(ts) FROM p)) - INTERVAL 4 HOUR AS t)
+sql("stream_outcome_match", """WITH v AS (SELECT * FROM events WHERE event_type='view'), p AS (SELECT * FROM events WHERE event_type='purchase')
 SELECT CAST(v.event_id AS VARCHAR) AS id, v.user_id, CAST(p.event_id AS VARCHAR) AS outcome_id
-FROM v LEFT JOIN p ON p.user_id=v.user_id AND p.ts>=v.ts AND p.ts<=v.ts + INTERVAL 2 HOUR, lim WHERE p.event_id IS NOT NULL OR v.ts < lim.t""")
+FROM v LEFT JOIN p ON p.user_id=v.user_id AND p.ts>=v.ts AND p.ts<=v.ts + INTERVAL 2 HOUR""")
 
 
 @query("stream_sessions")
 def stream_sessions(spark, folder):
-    sessions = _run(spark, streams.quoting_sessions(_quote_stream(spark, folder)), "sessions")
+    sessions = _run(spark, streams.quoting_sessions(_closing_stream(spark, folder)), "sessions")
     return sessions.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "quotes")
 
 
 sql("stream_sessions", f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE
 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
 a AS (SELECT user_id, k, min(ts) AS st, max(ts) + INTERVAL 30 MINUTE AS en, count(*) AS quotes FROM s GROUP BY 1,2)
-SELECT user_id, strftime(st,'%Y-%m-%d %H:%M:%S') AS session_start, quotes FROM a WHERE en <= {CLOSED}""")
+SELECT user_id, strftime(st,'%Y-%m-%d %H:%M:%S') AS session_start, quotes FROM a""")
 
 
 @query("stream_windowed_drift")
 def stream_windowed_drift(spark, folder):
-    """Observed value against a fixed prediction per day."""
-    stream = _quote_stream(spark, folder).withColumn("predicted", F.lit(50.0))
+    """Observed value against a prediction by user, per day."""
+    stream = _closing_stream(spark, folder).withColumn("predicted", F.lit(40.0) + F.col("user_id") % 21)
     out = _run(spark, streams.windowed_drift(stream, "value", "predicted"), "drift")
     return _round(out, 5, "ratio").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 sql("stream_windowed_drift", f"""SELECT strftime(date_trunc('day',ts),'%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS matched,
-round(sum(value)/(50.0*count(*)),5) AS ratio FROM events WHERE date_trunc('day',ts) + INTERVAL 1 DAY <= {CLOSED} GROUP BY 1""")
+round(sum(value)/sum(40.0::DOUBLE+user_id%21),5) AS ratio FROM events GROUP BY 1""")
 
 
 @query("stream_scoring")
