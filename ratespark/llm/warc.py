@@ -37,7 +37,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ID_HEADER = "X-Page-Id"
 LENGTH_HEADER = "WARC-X-Payload-Length"
 RECORD_NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of addresses
-DATE = re.compile(rb"\d{8,14}")
+DATE = re.compile(rb"\d{4,14}")
 
 ARC_SCHEMA = (
     "file string, position long, version int, url string, ip string, date string, mime string, status string, "

@@ -27,7 +27,7 @@ def edited(rng, w, share):
 
 def brute_classes(rows):
     """Components of all pairs whose longest common subsequence of labelled runs reaches the threshold."""
-    texts = {i: t for i, t in rows if i is not None and t is not None}
+    texts = {i: t for i, t, *_ in rows if i is not None and t is not None}
     parent = {i: i for i in texts}
 
     def find(x):
