@@ -39,22 +39,25 @@ def calibration(
     )
 
 
-def histogram(df: DataFrame, column: str, bins: int = DEFAULT_BINS, log10: bool = False) -> DataFrame:
+def histogram(
+    df: DataFrame, column: str, bins: int = DEFAULT_BINS, log10: bool = False, mean: str | None = None
+) -> DataFrame:
     """(bin, bin_low, bin_high, rows) over equal-width bins, empty bins included.
 
     ``log10`` makes the bins equal on a log axis (positive values only). A constant column
-    gets a unit-wide range around its value.
+    gets a unit-wide range around its value. ``mean`` names a column for the mean of all values.
+    The rows are read twice, as the edges depend on the extremes; the mean comes with these.
     """
     value = F.log10(column) if log10 else F.col(column).cast("double")
     values = df.select(value.alias("v")).where(F.col("v").isNotNull())
-    extremes = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).select(
+    extremes = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean")).select(
         F.when(F.col("lo") == F.col("hi"), F.col("lo") - F.lit(0.5)).otherwise(F.col("lo")).alias("lo"),
-        F.when(F.col("lo") == F.col("hi"), F.col("hi") + F.lit(0.5)).otherwise(F.col("hi")).alias("hi"),
+        F.when(F.col("lo") == F.col("hi"), F.col("hi") + F.lit(0.5)).otherwise(F.col("hi")).alias("hi"), "mean",
     )
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     slot = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
     counts = values.crossJoin(F.broadcast(extremes)).groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
-    edges = extremes.select("lo", width.alias("width"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    edges = extremes.select("lo", "mean", width.alias("width"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
 
     def edge(index: Column) -> Column:
         at = F.col("lo") + index * F.col("width")
@@ -65,6 +68,7 @@ def histogram(df: DataFrame, column: str, bins: int = DEFAULT_BINS, log10: bool
         edge(F.col("bin")).alias("bin_low"),
         edge(F.col("bin") + F.lit(1)).alias("bin_high"),
         F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
+        *([F.col("mean").alias(mean)] if mean else []),
     )
 
 
@@ -74,8 +78,7 @@ def premium_histogram(scored: DataFrame, bins: int = DEFAULT_BINS, log10: bool =
 
 def residual_histogram(pairs: DataFrame, bins: int = DEFAULT_BINS) -> DataFrame:
     """Histogram of ``error``, with the mean error on each row."""
-    mean = pairs.agg(F.avg("error").alias("mean_error"))
-    return histogram(pairs, "error", bins).crossJoin(F.broadcast(mean))  # one row
+    return histogram(pairs, "error", bins, mean="mean_error")
 
 
 def diagnostic_pairs(

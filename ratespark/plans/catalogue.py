@@ -640,11 +640,7 @@ UNION ALL SELECT p||'_'||s, p||' + gamma', 'Severity', 2.5::DOUBLE FROM r WHERE
 
 @query("poisson_deviance")
 def poisson_deviance(spark, folder):
-    scored = _scored(spark, folder)
-    out = None
-    for basis in metrics.BASES:
-        row = metrics.frequency_metrics(scored, basis=basis).select(F.lit(basis).alias("basis"), "*")
-        out = row if out is None else out.unionByName(row)
+    out = metrics.frequency_metrics_by_basis(_scored(spark, folder))
     return _round(out, 5, "rmse", "observed_mean", "predicted_mean", "poisson_deviance")
 
 
