@@ -7,8 +7,10 @@ A candidate pair is linked if an alignment of the two sequences of runs, restric
 allows, matches m of them with m / (n1 + n2 - m) >= 0.8. Classes are the connected components of the links.
 
 Pairs are compared without listing a bucket's pairs: texts equal in their words are folded first; every text of a bucket
-is then compared with the bucket's most connected text; only texts of one bucket that are still in different classes
-are compared with each other, and of those only pairs whose lengths can reach the threshold. Nothing is capped.
+is then compared with the bucket's most connected text. Texts of one bucket that are still in different classes are the
+rest. In a bucket of few texts these are compared with each other. In larger buckets an exact filter comes first: two
+texts that reach the threshold must share a run among the rarest of each, so many as their lengths allow to differ; a
+text changed in too many places has only runs of its own there and meets nobody. Nothing is capped.
 
 Defined cases: a null text and a null id are in no class but their own, rows with a null id get a null class; texts
 without words are alike if they are equal; texts of fewer than five words are alike if their words are equal; repeated
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratespark.llm.text import WordHashes, mixed, ngrams, stored, words_of
@@ -32,6 +34,8 @@ THRESHOLD = 0.8
 #: With 4 picks in 24 sketches a pair at the threshold shares no key once in 300,000.
 SKETCHES = 24
 RUNS = 4
+#: Buckets of up to so many texts list the pairs of their rest; larger ones filter by rare runs first.
+FEW = 8
 #: Hashes held at once for one text, whatever its length.
 HASHED_AT_ONCE = 1 << 20
 SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -191,6 +195,37 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def pairs_by_rare_runs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (``a`` < ``b``) of ``nodes`` (node, runs, root) with different roots that may reach the threshold.
+
+    Runs are ordered from rare to frequent, the same way in every text. Texts of n1 and n2 runs that share
+    need = 4/9 (n1 + n2) of them share one of the first n1 - need + 1 of the one and n2 - need + 1 of the other; so only
+    these are joined. Runs that occur once are counted but never sent on.
+    """
+    schema = pa.schema([("node", pa.int64()), ("run", pa.int64())])
+
+    def list_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for node, text in zip(batch["node"], batch["text"]):
+                runs = labelled_runs(words_of(text.as_py()), hashes).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), node.as_py())), pa.array(runs)], schema=schema)
+
+    owners = texts.select(F.col("doc_id").alias("node"), "text").join(nodes.select("node"), "node", "left_semi")
+    runs = stored(owners.mapInArrow(list_runs, "node long, run long").distinct())
+    common = runs.groupBy("run").agg(F.count("*").alias("frequency")).where("frequency > 1")
+    own = Window.partitionBy("node")
+    placed = runs.join(common, "run").select(
+        "node", "run", F.row_number().over(own.orderBy("frequency", "run")).alias("at"), F.count("*").over(own).alias("shared")
+    )
+    placed = placed.join(nodes, "node").withColumn("at", F.col("runs") - F.col("shared") + F.col("at") - 1)
+    first = placed.where(f"at <= runs - {THRESHOLD} * runs + 1e-9").select("run", "node", "runs", "root", "at")
+    other = first.select("run", *(F.col(c).alias(f"{c}_b") for c in ("node", "runs", "root", "at")))
+    need = f"({THRESHOLD / (1 + THRESHOLD)} * (runs + runs_b) - 1e-9)"
+    joined = first.join(other, "run").where("node < node_b AND root != root_b").where(_comparable("runs", "runs_b"))
+    return joined.where(f"at <= runs - {need} AND at_b <= runs_b - {need}").select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and class_id for every row of ``docs``."""
     rows = stored(sketches(docs, doc_id, text))
@@ -198,7 +233,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     nodes = rows.select(F.col("doc_id").alias("node"), "print", "runs", "keys").join(prints, ["print", "node"], "left_semi")
     buckets = nodes.select("node", "runs", F.explode(F.array_distinct("keys")).alias("key"))
     crowded = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live = stored(buckets.join(crowded, "key"))
+    live = stored(buckets.join(crowded, "key").select("key", "n", "node", "runs"))
 
     degrees = live.groupBy("node").agg(F.sum("n").alias("degree"))
     leaders = live.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", -F.col("node"), "runs")).alias("l"))
@@ -214,14 +249,16 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     links = stored(linked(stars, texts))
     roots = components(links)
 
-    placed = live.join(roots, "node", "left").select("key", "node", "runs", F.coalesce("root", "node").alias("root"))
+    placed = live.join(roots, "node", "left").select("key", "n", "node", "runs", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    open_ = stored(placed.join(split.select("key"), "key", "left_semi"))
-    other = open_.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "runs", "root")))
-    apart = (
-        open_.join(other, "key").where("node < node_b AND root != root_b").where(_comparable("runs", "runs_b"))
-        .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
-    )
+    rest = stored(placed.join(split.select("key"), "key", "left_semi"))
+    few = rest.where(f"n <= {FEW}").select("key", "node", "runs", "root")
+    other = few.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "runs", "root")))
+    listed = few.join(other, "key").where("node < node_b AND root != root_b").where(_comparable("runs", "runs_b"))
+    many = rest.where(f"n > {FEW}").select("node", "runs", "root").distinct()
+    filtered = pairs_by_rare_runs(many, texts)
+    apart = listed.select(F.col("node").alias("a"), F.col("node_b").alias("b")).union(filtered).distinct()
+
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = linked(apart.join(tried, ["a", "b"], "left_anti"), texts)
     final = components(links.union(more))

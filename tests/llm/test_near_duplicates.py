@@ -101,6 +101,24 @@ def test_hot_copies_and_odd_rows(spark, make_docs, odd_rows):
     assert Counter(r.doc_id for r in kept) == Counter([None, None, 1, 2, 3, 4, 5, 7, 9, 10, 90])
 
 
+def test_large_bucket_of_copies_of_copies(spark, make_docs):
+    """More texts than a bucket lists pairs for, most of them too far from the common origin."""
+    rng = random.Random(2)
+    base = prose(8, 90)
+    rows = [(1, " ".join(base))]
+    for i in range(60):
+        w = list(base)
+        for k in rng.sample(range(90), rng.randrange(1, 9)):
+            w[k] = f"z{i}n{k}"
+        rows.append((2 + 2 * i, " ".join(w)))
+        if i % 4 == 0:
+            w[rng.randrange(90)] = f"again{i}"
+            rows.append((3 + 2 * i, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in nd.near_duplicate_classes(make_docs(rows)).collect()}
+    want = brute_classes(rows)
+    assert 5 < len(set(want.values())) < len(rows) and got == want
+
+
 def test_empty_table(spark, make_docs):
     assert nd.near_duplicate_classes(make_docs([])).collect() == []
     assert nd.drop_near_duplicates(make_docs([])).collect() == []
