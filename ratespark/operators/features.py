@@ -22,7 +22,7 @@ from ..config import (
     SIMULATED_ALIASES,
     SIMULATED_NUMERIC,
 )
-from ..functions.cleaning import clip, text_or, to_number, whole_id
+from ..functions.cleaning import clip, strip, text_or, to_number, whole_id
 from .ranking import dense_ids
 from .stats import default_values
 from .validate import require_pricing_columns, require_rows, validate_schema
@@ -100,10 +100,12 @@ def _resolve_defaults(df: DataFrame, given: Mapping[str, object], batch_defaults
     open_names = [name for name in constants if name not in given and name in df.columns]
     from_batch: dict = {}
     if batch_defaults and open_names:
+        # One pass finds the columns with gaps; only these need a median or mode, and most have none.
+        gap = {n: F.col(n) if n in RATED_NUMERIC else F.nullif(strip(n), F.lit("")) for n in open_names}
+        gaps = df.agg(*[F.count_if(value.isNull()).alias(n) for n, value in gap.items()]).first()
+        needed = [n for n in open_names if gaps[n] > 0]
         from_batch = default_values(
-            df,
-            [n for n in RATED_NUMERIC if n in open_names],
-            [n for n in MODEL_CATEGORICAL if n in open_names],
+            df, [n for n in RATED_NUMERIC if n in needed], [n for n in MODEL_CATEGORICAL if n in needed]
         )
     return {**constants, **from_batch, **given}
 

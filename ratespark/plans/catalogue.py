@@ -478,9 +478,10 @@ eff AS (SELECT *, CASE WHEN changed_feature='VehPower' THEN changed_value ELSE v
 fs AS (SELECT *, 0.05::DOUBLE+0.004::DOUBLE*evp+0.001::DOUBLE*abs(eda-45)+0.0005::DOUBLE*ebm AS f,
   800::DOUBLE+25::DOUBLE*evp+0.5::DOUBLE*ebm AS s FROM eff),
 pr AS (SELECT *, greatest(f*Exposure*s*1.3::DOUBLE+30,100) AS final_premium FROM fs),
-rep AS (SELECT pr.*, pr.final_premium-b.final_premium AS premium_delta,
-  (pr.final_premium-b.final_premium)/greatest(b.final_premium,1e-9)*100 AS premium_delta_pct
-  FROM pr JOIN pr b ON b.IDpol=pr.IDpol AND b.scenario_name='baseline')"""
+bp AS (SELECT *, greatest((0.05::DOUBLE+0.004::DOUBLE*vp+0.001::DOUBLE*abs(da-45)+0.0005::DOUBLE*bm)*Exposure
+  *(800::DOUBLE+25::DOUBLE*vp+0.5::DOUBLE*bm)*1.3::DOUBLE+30,100) AS base_premium FROM pr),
+rep AS (SELECT *, final_premium-base_premium AS premium_delta,
+  (final_premium-base_premium)/greatest(base_premium,1e-9)*100 AS premium_delta_pct FROM bp)"""
 
 
 @query("scenario_report")

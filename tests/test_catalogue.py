@@ -19,7 +19,8 @@ CHECKED = [
     "row_contract_violations", "defaults_metadata", "premium_scoring", "top_premiums", "scenario_report",
     "frequency_calibration_deciles", "premium_histogram_log", "glm_frequency_onefactor", "stratified_split",
     "spanish_portfolio", "retrain_policy_frame", "drift_severity", "stream_outcome_match", "stream_dedup", "lorenz_gini",
-    "segment_guidance", "psi",
+    "segment_guidance", "psi", "load_policy_csv", "dutch_csv_job", "raising_checks", "quote_store_replay_two_days",
+    "ingest_portfolio_csv", "scenario_report_without_ids", "stream_consent_fanout", "retraining_counters", "single_tree_rates",
 ]
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="sample tables are absent")
 
