@@ -23,6 +23,8 @@ SOURCE_WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
 BUCKETS = 1 << 16
+#: Parts of a source when its documents meet its plan, so that no source is one join key.
+SALTS = 64
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
@@ -85,7 +87,9 @@ def mix(rows: DataFrame, seed: int = 17, **rules) -> DataFrame:
         .withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
         .withColumn("__rest", rest)
     )
-    placed = keyed.join(_renamed(plan, "source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    copies = _renamed(plan, "source").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    part = F.col("__bucket") % SALTS
+    placed = keyed.join(copies, F.col("source").eqNullSafe(F.col("__source")) & (part == F.col("__salt"))).drop("__source", "__salt")
     at = F.col("__bucket") - F.coalesce(F.col("__cut.__bucket"), F.lit(BUCKETS))
     within = Window.partitionBy("source").orderBy("__key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(
         Window.unboundedPreceding, -1
@@ -94,9 +98,9 @@ def mix(rows: DataFrame, seed: int = 17, **rules) -> DataFrame:
     once_more = F.col("__sum") + F.col("size") / 2 <= F.col("__rest")
     ends = ends.withColumn("__more", F.when(once_more, 1).otherwise(0)).drop("__sum")
     others = placed.where(at != 0).withColumn("__more", F.when(at < 0, 1).otherwise(0))
-    copies = F.when(F.col("size") > 0, F.col("__epochs") + F.when(F.col("__rest") > 0, F.col("__more")).otherwise(0)).otherwise(0)
+    taken = F.when(F.col("size") > 0, F.col("__epochs") + F.when(F.col("__rest") > 0, F.col("__more")).otherwise(0)).otherwise(0)
     kept = [c for c in rows.columns if c not in ("source_size", "target", "copies")]
-    return others.unionByName(ends).select(*kept, "source_size", "target", copies.cast("int").alias("copies"))
+    return others.unionByName(ends).select(*kept, "source_size", "target", taken.cast("int").alias("copies"))
 
 
 def _renamed(df: DataFrame, name: str) -> DataFrame:
