@@ -31,10 +31,14 @@ COUNTED_WORDS = 300_000
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``word`` (bytes) and ``n`` over all of ``docs``; tasks add up their own words before anything moves."""
+    """``word`` (bytes) and ``n`` over all of ``docs``; tasks add up their own words before anything moves.
+
+    The empty word, which no text has, stands for all words, so that totals take no second pass.
+    """
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def rows(counts: Counter) -> pa.RecordBatch:
+        counts[b""] = counts.total()
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +81,10 @@ class Vocabulary:
 
 
 def common_words(docs: DataFrame, share: float = SHARE, text: str = "text") -> list[bytes]:
-    """The words with at least ``share`` of all words; at most 1 / share."""
-    counts = word_counts(docs, text)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return [bytes(row.word) for row in counts.where(F.col("n") >= share * total).select("word").collect()]
+    """The words with at least ``share`` of all words; as there are at most 1 / share, the most frequent suffice."""
+    rows = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(int(1 / share) + 1).collect()
+    total = max((row.n for row in rows), default=0)
+    return [bytes(row.word) for row in rows if row.word and row.n >= share * total]
 
 
 def pair_counts(marked: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +153,8 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(
         F.min(F.when((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good")
     )
-    marked = docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).join(good, F.col("doc_id") == F.col("__id"), "left")
+    marked = docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).join(
+        good.hint("merge"), F.col("doc_id") == F.col("__id"), "left"  # labels grow with the documents: never broadcast
+    )
     background, target = pair_counts(marked.select("text", F.coalesce("good", F.lit(0)).alias("target")), words)
     return scored(docs, words, background, target)
