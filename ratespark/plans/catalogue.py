@@ -948,10 +948,13 @@ def retrain_union(spark, folder):
 
 sql("retrain_union", f"""WITH {RECORDS}, pos AS (SELECT count(*) AS c FROM claims_src WHERE ClaimAmount>0),
 a AS (SELECT count(*) AS n, count(*) FILTER (ClaimNb>0) AS w, count(*) FILTER (premium_paid>0) AS pp,
-  count(*) FILTER (coalesce(claim_amount,0)>0) AS c FROM recpol),
-b AS (SELECT count(*) AS n, count(*) FILTER (ClaimNb>0) AS w FROM policies_src)
+  count(*) FILTER (coalesce(claim_amount,0)>0) AS c, count(*) FILTER (ClaimNb>0 AND coalesce(claim_amount,0)<=0) AS u FROM recpol),
+paid AS (SELECT DISTINCT IDpol FROM claims_src WHERE ClaimAmount>0),
+b AS (SELECT count(*) AS n, count(*) FILTER (ClaimNb>0) AS w, count(paid.IDpol) AS k,
+  count(*) FILTER (ClaimNb>0 AND paid.IDpol IS NULL) AS u FROM policies_src p LEFT JOIN paid ON paid.IDpol=p.IDpol)
 SELECT a.n+b.n AS frequency_rows, a.w+b.w AS policies_with_claims, a.pp AS policies_with_paid_premium, a.c+pos.c AS severity_rows,
-a.c+pos.c AS claim_rows_used_for_severity_model FROM a, b, pos""")
+a.c+pos.c AS claim_rows_used_for_severity_model, a.c+b.k AS policies_with_paid_amounts, a.u+b.u AS positive_claim_count_without_paid_amount,
+0::BIGINT AS severity_rows_without_matching_policy FROM a, b, pos""")
 
 
 def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
