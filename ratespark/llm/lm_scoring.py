@@ -1,10 +1,15 @@
 """Cross-entropy difference: documents scored by two matched bigram models.
 
 A target model (documents labelled good) and a background model (all documents) have the same order, smoothing and
-vocabulary. A word is in the vocabulary if its share of all words reaches ``SHARE``, so there are at most 1 / SHARE
-words and the two tables that go to the tasks have at most (1 / SHARE + 9)^2 cells, whatever the corpus. Other words are
-told apart by length and alphabet. All counts are over all documents and are summed in Spark. A document's score is the
-mean over its words of the loss under the target less the loss under the background: the lower, the more target-like.
+vocabulary: every word of the documents. Both are counted over all documents; a pair that a model lacks falls back on its
+word frequencies. A document's score is the mean over its words of the loss under the target less the loss under the
+background: the lower, the more target-like.
+
+Words with a share of at least ``SHARE`` of all words, at most 1 / SHARE of them, only steer the plan: pairs of two such
+words are the ones that many documents share, so their counts are added up in tables of at most (1 / SHARE + 9)^2 cells,
+whatever the corpus, and go to the tasks. Every other pair becomes a row, dealt by its rarer-than-``SHARE`` word (its second if
+both are); that task has all rows of the word, so it counts the word and its pairs and gives each row its losses. These
+rows grow with the corpus and never reach the driver. Words are told apart by 63 bits of their hash there.
 
 Defined cases: null and wordless texts have no losses and a null score; repeated documents and labels: each document row
 counts, labels are folded by id first (good only if no label says otherwise); without a target both models rest on the
@@ -18,16 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratespark.llm.text import REMEMBERED_WORDS, WORD_BYTES
+from ratespark.llm.text import REMEMBERED_WORDS, WORD_BYTES, stored
 
 SHARE = 1 / 2000
 SHAPES = 8
 #: Pseudo-counts that the word frequencies add to each context.
 SMOOTHING = 50.0
 COUNTED_WORDS = 300_000
+#: Added to a frequent word that stands after a rare one, so that it is no word before it.
+AFTER = 1 << 40
+#: Rows that a task holds, besides those of one word, before it works out their losses.
+HELD_ROWS = 200_000
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -80,15 +90,36 @@ class Vocabulary:
         return np.concatenate([[0], numbers[:-1]]) * self.size + numbers
 
 
+class WordKeys:
+    """Numbers of listed words, and hashes below zero of all others."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.listed = Vocabulary(words).listed
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > REMEMBERED_WORDS:
+            known.clear()
+        for word in set(words).difference(known):
+            known[word] = self.listed.get(word) or -1 - (xxhash.xxh3_64_intdigest(word) >> 1)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
 def common_words(docs: DataFrame, share: float = SHARE, text: str = "text") -> list[bytes]:
     """The words with at least ``share`` of all words; as there are at most 1 / share, the most frequent suffice."""
-    rows = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(int(1 / share) + 1).collect()
+    return most_common(word_counts(docs, text), share)
+
+
+def most_common(counts: DataFrame, share: float = SHARE) -> list[bytes]:
+    """``common_words`` from the counts."""
+    rows = counts.orderBy(F.desc("n"), "word").limit(int(1 / share) + 1).collect()
     total = max((row.n for row in rows), default=0)
     return [bytes(row.word) for row in rows if row.word and row.n >= share * total]
 
 
 def pair_counts(marked: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of word pairs in all rows of ``marked`` (``text``, ``target``) and in those of the target."""
+    """Tables of listed and shaped word pairs in all rows of ``marked`` (``text``, ``target``) and in those of the target."""
     shared = marked.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,46 +146,139 @@ def pair_counts(marked: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.n
     return everything.reshape(size, size), target.reshape(size, size)
 
 
-def losses(counts: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    """Minus log of p(word | word before): counts with the smoothed word frequencies as prior."""
-    words = counts.sum(axis=0) + 0.5
-    frequencies = words / words.sum()
-    contexts = counts.sum(axis=1, keepdims=True)
-    return -np.log((counts + smoothing * frequencies) / (contexts + smoothing)).astype(np.float32)
+class Model:
+    """The part of a model that rests on the listed words: their frequencies, contexts and pairs."""
+
+    def __init__(self, counts: np.ndarray, listed: int, size: int, smoothing: float = SMOOTHING) -> None:
+        self.smoothing, self.total, self.size = smoothing, counts.sum(), size
+        self.priors = smoothing * self.frequency(counts.sum(axis=0)[: listed + 1])
+        self.contexts = np.log(counts.sum(axis=1)[: listed + 1] + smoothing)
+        #: Minus log of p(word | word before) of listed words.
+        self.losses = (self.contexts[:, None] - np.log(counts[: listed + 1, : listed + 1] + self.priors)).astype(np.float32)
+
+    def frequency(self, n: np.ndarray) -> np.ndarray:
+        return (n + 0.5) / (self.total + 0.5 * self.size)
 
 
-def scored(docs: DataFrame, words: list[bytes], background: np.ndarray, target: np.ndarray) -> DataFrame:
-    """doc_id, n_words, both mean losses and their difference for every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, losses(background).ravel(), losses(target).ravel()))
+def pair_rows(marked: DataFrame, words: list[bytes], models: tuple[Model, Model]) -> DataFrame:
+    """Per document a row with ``own`` (its id, words, and what the listed words add to its losses), and a row per pair with other words.
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, background, target = shared.value
-        vocabulary = Vocabulary(words)
+    ``key`` is the other word, ``beside`` the word before it, or the listed word after it plus ``AFTER``. ``tag`` is the
+    document's row times 4, plus 2 in the target, plus 1 if the word has a next one.
+    """
+    shared = marked.sparkSession.sparkContext.broadcast((words, [(m.losses, m.contexts) for m in models]))
+    number = dict(marked.dtypes)["doc_id"]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, tables = shared.value
+        keys = WordKeys(words)
         for batch in batches:
-            rows = []
-            for value in batch["text"]:
-                tokens = (value.as_py() or b"").translate(WORD_BYTES).split()
-                pairs = vocabulary.pairs(tokens) if tokens else []
-                rows.append((len(tokens), *((float(target[pairs].mean(dtype=float)), float(background[pairs].mean(dtype=float))) if tokens else (None, None))))
-            counts, of_target, of_background = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(of_target, pa.float64()), pa.array(of_background, pa.float64())],
-                names=["doc_id", "n_words", "target_loss", "background_loss"],
+            tokens = [(value.as_py() or b"").translate(WORD_BYTES).split() for value in batch["text"]]
+            sizes = np.array([len(t) for t in tokens], np.int64)
+            word = np.concatenate([*(keys(t) for t in tokens), np.empty(0, np.int64)])
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            first = np.ones(len(word), bool)
+            first[1:] = doc[1:] != doc[:-1]
+            before = np.where(first, 0, np.roll(word, 1))
+            follows = ~np.roll(first, -1)
+            own = []
+            listed, opens = (word >= 0) & (before >= 0), (word < 0) & (before >= 0)
+            for losses, contexts in tables:
+                own.append(
+                    np.bincount(doc[listed], losses[before[listed], word[listed]], len(sizes)) + np.bincount(doc[opens], contexts[before[opens]], len(sizes))
+                )
+            rows = batch["row"].to_numpy()
+            tags = rows * 4 + 2 * batch["target"].to_numpy()
+            at, after = np.flatnonzero(word < 0), np.flatnonzero((word >= 0) & (before < 0))
+            n = len(at) + len(after)
+            struct = pa.StructArray.from_arrays(
+                [batch["doc_id"], pa.array(sizes), pa.array(own[0], pa.float64()), pa.array(own[1], pa.float64())], ["doc_id", "n", "background", "target"]
             )
-
-    rows = docs.select("doc_id", F.encode("text", "UTF-8").alias("text"))
-    result = rows.mapInArrow(score, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, target_loss double, background_loss double")
-    return result.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+            names = ["tag", "key", "beside", "own"]
+            yield pa.RecordBatch.from_arrays([pa.array(tags), pa.array(rows), pa.array(np.zeros_like(rows)), struct], names=names)
+            for i in range(0, n, HELD_ROWS):
+                part = np.concatenate([at, after])[i : i + HELD_ROWS]
+                second = word[part] < 0
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(tags[doc[part]] + (second & follows[part])), pa.array(np.where(second, word[part], before[part])),
+                        pa.array(np.where(second, before[part], word[part] + AFTER)), pa.nulls(len(part), struct.type),
+                    ],
+                    names=names,
+                )
+
+    return marked.mapInArrow(find, f"tag long, key long, beside long, own struct<doc_id: {number}, n: long, background: double, target: double>")
+
+
+def pair_losses(rows: DataFrame, models: tuple[Model, Model], number: str) -> DataFrame:
+    """Parts of the documents' losses: ``row``, ``doc_id`` and ``n`` (once per document), ``background`` and ``target``."""
+    shared = rows.sparkSession.sparkContext.broadcast([(m.smoothing, m.priors, m.total, m.size) for m in models])
+
+    def losses(tag: np.ndarray, key: np.ndarray, beside: np.ndarray, model: tuple, weights: np.ndarray) -> np.ndarray:
+        """Of rows in order of ``key`` and ``beside``, with all rows of their keys."""
+        smoothing, priors, total, size = model
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        word = np.cumsum(new) - 1
+        new[1:] |= beside[1:] != beside[:-1]
+        pair = np.cumsum(new) - 1
+        second = beside < AFTER
+        count = np.bincount(word, weights * second)[word]
+        context = np.log(np.bincount(word, weights * (tag & 1))[word] + smoothing)
+        prior = np.where(second, smoothing * (count + 0.5) / (total + 0.5 * size), priors[np.where(second, 0, beside - AFTER)])
+        # The word's own context belongs to the pair after it.
+        return (tag & 1) * context - np.log(np.bincount(pair, weights)[pair] + prior)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        names = ["row", "doc_id", "n", "background", "target"]
+
+        def parts(held: list[np.ndarray]) -> pa.RecordBatch:
+            order = np.lexsort((held[2], held[1]))
+            tag, key, beside = (column[order] for column in held)
+            both = [losses(tag, key, beside, m, w) for m, w in zip(models, (np.ones(len(tag)), (tag >> 1 & 1).astype(float)))]
+            row, at = np.unique(tag >> 2, return_inverse=True)
+            sums = [pa.array(np.bincount(at, b, len(row)).astype(np.float32)) for b in both]
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), kind), pa.nulls(len(row), pa.int64()), *sums], names=names)
+
+        held: list[list[np.ndarray]] = [[], [], []]
+        for batch in batches:
+            own = batch.filter(batch["own"].is_valid())
+            kind = batch.schema.field("own").type[0].type
+            if len(own):
+                doc_id, n, *sums = own["own"].flatten()
+                yield pa.RecordBatch.from_arrays([own["key"], doc_id, n, *(s.cast(pa.float32()) for s in sums)], names=names)
+            for column, name in zip(held, ("tag", "key", "beside")):
+                column.append(batch.filter(batch["own"].is_null())[name].to_numpy())
+            if sum(map(len, held[1])) > HELD_ROWS:
+                whole = [np.concatenate(column) for column in held]
+                end = np.searchsorted(whole[1], whole[1][-1])  # the last word may go on
+                if end:
+                    yield parts([column[:end] for column in whole])
+                held = [[column[end:]] for column in whole]
+        if held[1] and sum(map(len, held[1])):
+            yield parts([np.concatenate(column) for column in held])
+
+    dealt = rows.repartition("key").sortWithinPartitions("key")  # a single whole number sorts by its bits
+    return dealt.mapInArrow(work, f"row long, doc_id {number}, n long, background float, target float")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of ``docs``, the target being the documents that ``labels`` call good (quality 1, toxic 0)."""
-    words = common_words(docs)
+    counts = stored(word_counts(docs))
+    words = most_common(counts)
+    size = counts.where("length(word) > 0").count() + 1 + SHAPES
     good = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(
         F.min(F.when((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good")
     )
-    marked = docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).join(
-        good.hint("merge"), F.col("doc_id") == F.col("__id"), "left"  # labels grow with the documents: never broadcast
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.encode("text", "UTF-8").alias("text"))
+    joined = rows.join(good.hint("merge"), F.col("doc_id") == F.col("__id"), "left")  # labels grow with the documents: never broadcast
+    marked = joined.select("row", "doc_id", "text", F.coalesce("good", F.lit(0)).alias("target"))
+    models = tuple(Model(table, len(words), size) for table in pair_counts(marked.select("text", "target"), words))
+    parts = pair_losses(pair_rows(marked, words, models), models, dict(docs.dtypes)["doc_id"])
+    summed = parts.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.sum("target").alias("target"), F.sum("background").alias("background")
     )
-    background, target = pair_counts(marked.select("text", F.coalesce("good", F.lit(0)).alias("target")), words)
-    return scored(docs, words, background, target)
+    # A wordless text has no losses.
+    scores = summed.select("doc_id", "n_words", *((F.col(side) / F.when(F.col("n_words") > 0, F.col("n_words"))).alias(f"{side}_loss") for side in ("target", "background")))
+    return scores.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -77,3 +77,23 @@ def test_odd_rows_and_empty_tables(spark, make_docs, odd_rows):
     none = spark.createDataFrame([], LABELS)
     assert lm.cross_entropy_difference(make_docs(odd_rows), none).count() == len(odd_rows)
     assert lm.cross_entropy_difference(make_docs([]), none).collect() == []
+
+
+def test_rare_words_are_told_apart(spark, make_docs, monkeypatch):
+    # Two rare words of the same length and alphabet, each in one document of its own.
+    docs = [(i, " ".join(["the", "of"][(i + k) % 2] for k in range(40)) + (" remedy" if i < 5 else " poison") + (f" once{i:02}" if i % 2 else "")) for i in range(10)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3)], LABELS)
+    expected = brute(docs, {0, 1, 2}, sorted({w for _, t in docs for w in words(t)}))
+    monkeypatch.setattr(lm, "most_common", lambda counts: [b"of", b"the"])
+    for held in (lm.HELD_ROWS, 2):
+        monkeypatch.setattr(lm, "HELD_ROWS", held)
+        got = {r.doc_id: r for r in lm.cross_entropy_difference(make_docs(docs), labels).collect()}
+        for i, (target, background) in expected.items():
+            assert abs(got[i].target_loss - target) < 1e-4 and abs(got[i].background_loss - background) < 1e-4
+    assert got[4].score < got[8].score
+
+
+def test_words_below_the_share_keep_their_own_counts(spark, make_docs):
+    docs = [(i, " ".join(["the"] * 3000) + (" remedy" if i < 2 else " poison")) for i in range(4)]
+    got = {r.doc_id: r.score for r in lm.cross_entropy_difference(make_docs(docs), spark.createDataFrame([(0, 1, 0)], LABELS)).collect()}
+    assert got[1] < got[3]
