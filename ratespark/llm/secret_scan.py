@@ -44,8 +44,9 @@ FORMATS = (
 )
 KINDS = re.compile(b"|".join(b"(?P<%s>%s)" % (name.encode(), pattern) for name, pattern in FORMATS))
 PRIVATE_KEY = re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
-UNBROKEN = re.compile(rb"[0-9A-Za-z+/_.=~-]{16,}")
-ASSIGNED = re.compile(rb"[0-9A-Za-z_\]-][\"']?[ \t]*[:=]+[ \t]*[\"']?([^\s\"',;]{6,200})")
+#: Ends at an assignment sign; signs that fill up a code at its end belong to it.
+UNBROKEN = re.compile(rb"[0-9A-Za-z+/_.~-]{16,}(?:={1,2}(?![0-9A-Za-z+/_.=~-]))?")
+ASSIGNED = re.compile(rb"[0-9A-Za-z_\]-][\"']?[ \t]*[:=]+[ \t]*[\"']?([^\s\"',;]{6,})")
 SECRET_WORDS = frozenset(
     "token secret password passwd pwd passphrase apikey api key auth bearer credential credentials private access".split()
 )
@@ -55,12 +56,14 @@ HARMLESS_WORDS = frozenset(
 )
 HARMLESS_PATHS = ("test", "example", "sample", "doc", "mock", "fixture")
 AROUND = 48
-DICTIONARY_WORDS = 5000
+#: Least share of all words that makes a word common; at most 1 / share words reach the driver and the tasks.
+DICTIONARY_SHARE = 1 / 100_000
 #: Documents from which labelled findings are derived.
 LABELLED_DOCUMENTS = 2000
 FEATURES = [
     "length", "entropy", "digits", "capitals", "marks", "class_changes", "transitions", "dictionary", "longest_word",
     "known_format", "is_hex", "is_number", "is_uuid", "assigned", "quoted", "secret_word", "harmless_word", "harmless_path",
+    "secret_name", "harmless_name",
 ]
 CANDIDATE_SCHEMA = "start long, length long, kind string, value_sha256 string, " + ", ".join(f"f_{f} double" for f in FEATURES)
 
@@ -99,10 +102,10 @@ class Dictionary:
 
 
 def candidates(raw: bytes) -> list[tuple[int, int, str, bool]]:
-    """(start, end, kind, assigned) of the candidates in a text; overlapping ones are joined into the first."""
+    """(start, end, kind, assigned) of the candidates in a text; overlapping ones are joined, up to the longest end."""
     found = [(m.start(), m.end(), "private_key", False) for m in PRIVATE_KEY.finditer(raw)]
     for m in ASSIGNED.finditer(raw):
-        if any(c in b"0123456789" for c in m[1]) or any(w in SECRET_WORDS for w in _words(raw[max(0, m.start() - AROUND) : m.start(1)])):
+        if any(c in b"0123456789" for c in m[1]) or any(w in SECRET_WORDS for w in _words(raw[max(0, m.start() - AROUND) : m.start(1)])) or _kind(m[1]):
             found.append((m.start(1), m.end(1), _kind(m[1]) or "assigned", True))
     for m in UNBROKEN.finditer(raw):
         if (kind := _kind(m[0])) or any(c in b"0123456789" for c in m[0]):
@@ -111,6 +114,8 @@ def candidates(raw: bytes) -> list[tuple[int, int, str, bool]]:
     for start, end, kind, assigned in sorted(found, key=lambda f: (f[0], not f[3], f[1])):
         if not out or start >= out[-1][1]:
             out.append((start, end, kind, assigned))
+        elif end > out[-1][1]:
+            out[-1] = (out[-1][0], end, _kind(raw[out[-1][0] : end]) or kind, assigned or out[-1][3])
     return out
 
 
@@ -129,7 +134,8 @@ def features(value: bytes, before: bytes, after: bytes, path: str | None, kind:
     size = len(text)
     classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "m" for c in text]
     covered, longest = words.covered(text.lower())
-    beside = _words(before)[-4:] + _words(after)[:2]
+    names = _words(before)
+    beside = names[-4:] + _words(after)[:2]
     return [
         size, -sum(n / size * math.log2(n / size) for n in counts.values()), classes.count("d") / size, classes.count("u") / size,
         classes.count("m") / size, sum(a != b for a, b in zip(classes, classes[1:])) / size, words.transitions(text.lower()), covered, longest,
@@ -137,13 +143,16 @@ def features(value: bytes, before: bytes, after: bytes, path: str | None, kind:
         float(kind == "hex"), float(kind == "number"), float(kind == "uuid"), float(assigned), float(before[-1:] in (b'"', b"'")),
         float(any(w in SECRET_WORDS for w in beside)), float(any(w in HARMLESS_WORDS for w in beside)),
         float(any(h in (path or "").lower() for h in HARMLESS_PATHS)),
+        float(names[-1:] != [] and names[-1] in SECRET_WORDS), float(names[-1:] != [] and names[-1] in HARMLESS_WORDS),
     ]
 
 
-def common_dictionary(docs: DataFrame, text: str = "text") -> list[tuple[str, int]]:
-    """The ``DICTIONARY_WORDS`` most frequent words of four letters and more, with their counts over all of ``docs``."""
-    counts = word_counts(docs, text).select(F.decode("word", "UTF-8").alias("word"), "n").where("word RLIKE '^[a-z]{4,}$' AND length(word) <= 20")
-    return [(row.word, row.n) for row in counts.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()]
+def common_dictionary(docs: DataFrame, share: float = DICTIONARY_SHARE, text: str = "text") -> list[tuple[str, int]]:
+    """The words of four letters and more with at least ``share`` of all words of ``docs``, with their counts."""
+    counts = stored(word_counts(docs, text).select(F.decode("word", "UTF-8").alias("word"), "n"))
+    total = sum(row.n for row in counts.where("word = ''").collect())
+    rows = counts.where("word RLIKE '^[a-z]{4,}$' AND length(word) <= 20").where(F.col("n") >= share * total)
+    return [(row.word, row.n) for row in rows.orderBy(F.desc("n"), "word").collect()]
 
 
 def found_candidates(docs: DataFrame, words: list[tuple[str, int]], keep: list[str]) -> DataFrame:
