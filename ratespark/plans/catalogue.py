@@ -181,7 +181,7 @@ SELECT IDpol, CAST(ClaimNb AS INT) AS ClaimNb, Exposure, VehPower, VehAge, DrivA
 @query("policy_dense_ids")
 def policy_dense_ids(spark, folder):
     """Surrogate ids 1..n: every number is given once; rows that arrive in order are numbered in order."""
-    raw = sample_book.raw_policies(spark, folder).withColumnRenamed("IDpol", "order_key").coalesce(1).sortWithinPartitions("order_key")
+    raw = sample_book.raw_policies(spark, folder).withColumnRenamed("IDpol", "order_key").repartitionByRange("order_key").sortWithinPartitions("order_key")
     return features.fill_policy_ids(raw, "position").select("order_key", "IDpol")
 
 

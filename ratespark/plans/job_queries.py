@@ -248,7 +248,7 @@ def score_csv_job(spark, folder):
     spark.createDataFrame([(header,)], "value string").coalesce(1).write.text(source)
     rows = text.select("value").union(broken)
     # Every file of a CSV folder starts with the header.
-    headed = rows.coalesce(4).withColumn("first", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0)
+    headed = rows.withColumn("first", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0)
     headed.select(F.when(F.col("first"), F.concat(F.lit(header + "\n"), F.col("value"))).otherwise(F.col("value")).alias("value")).write.mode(
         "append").text(source)
     malformed = score.score_csv(spark, source, target, _saved_models(spark, folder))
