@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from ratespark.llm import (
-    decontamination, license_scan, lm_scoring, mixing, near_duplicates, quality, secret_scan, sharding, url_reputation, warc,
+    conversation_trie, decontamination, filter_audit, license_scan, lm_scoring, mixing, near_duplicates, quality, secret_scan,
+    sharding, token_counts, url_reputation, warc,
 )
 from ratespark.runtime import scratch_path
 
@@ -62,11 +63,24 @@ def op10_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(_table(spark, folder, "documents"))
 
 
+def op11_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.interactions(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_table(spark, folder, "conversations")).drop("ref_conv", "ref_pos")
+
+
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_quality_cascade, op2_warc_conversion, op3_source_mixing, op4_near_duplicates, op5_decontamination, op6_secret_scan,
         op7_license_scan, op8_url_reputation, op9_cross_entropy_difference, op10_hilbert_sharding,
+        op11_filter_interactions, op12_conversation_trie, op13_token_counts,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -216,10 +230,75 @@ SELECT page_id, host, path, rule,
 FROM r
 """
 
+FILTER_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+f AS (
+  SELECT part, doc_id, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) AS c,
+    regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e,
+    coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good,
+    coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false) AS toxic
+  FROM d),
+m AS (
+  SELECT part, CAST(a AS INT) + 2 * CAST(b AS INT) + 4 * CAST(c AS INT) + 8 * CAST(d AS INT) + 16 * CAST(e AS INT) AS mask,
+    count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY ALL),
+l AS (SELECT chr(CAST(65 + i AS INT)) AS l, CAST(1 << i AS INT) AS bit FROM range(5) t(i)),
+o AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM l a, l b, l c, l d, l e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (
+  SELECT filter_order, CAST(k AS INT) AS step, bits[k] AS bit, CAST(coalesce(list_sum(bits[1:k - 1]), 0) AS INT) AS earlier
+  FROM o, range(1, 6) t(k)),
+x AS (
+  SELECT part, filter_order, step, bit,
+    CAST(coalesce(sum(n) FILTER (mask & (earlier | bit) = 0), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & earlier = 0), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & earlier > 0), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n_good) FILTER (mask & bit > 0 AND mask & earlier = 0), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(n_toxic) FILTER (mask & bit > 0 AND mask & earlier = 0), 0) AS BIGINT) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM x
+"""
+
+TRIE_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS turns,
+    list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+        lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))) AS crc
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, conv_id - conv_id % 20 AS base, xor(crc, CAST(4294967295 AS BIGINT)) % 4 AS head FROM t),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.head], []), h.turns[h.head + 1:]) AS seq
+  FROM h LEFT JOIN t b ON b.conv_id = h.base),
+p AS (SELECT conv_id, seq, CAST(d AS BIGINT) AS depth, seq[1:d] AS key FROM (SELECT *, unnest(range(len(seq) + 1)) AS d FROM r)),
+g AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(len(seq)) = depth AS leaf,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(seq) = depth), '')) AS ends_sha256,
+    CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(any_value(key)[depth].text, '{WORD}')) END AS words
+  FROM p GROUP BY depth, key),
+u AS (
+  SELECT key[1:d] AS key, CAST(d AS BIGINT) AS depth, sum(CAST(leaf AS INT)) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens,
+    count(*) FILTER (depth = d + 1) AS n_children
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM g) GROUP BY 1, 2)
+SELECT g.conv_id, g.depth, q.conv_id AS parent_conv_id, g.n_convs, u.n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves,
+  CAST(u.saved_tokens AS BIGINT) AS saved_tokens, g.ends_sha256
+FROM g JOIN u ON u.depth = g.depth AND u.key = g.key
+LEFT JOIN g q ON q.depth = g.depth - 1 AND q.key = g.key[1:g.depth - 1]
+"""
+
 SQL: dict[str, str] = {
     "op1_quality_cascade": QUALITY_SQL,
     "op2_warc_conversion": WARC_SQL,
     "op3_source_mixing": MIXING_SQL,
     "op5_decontamination": DECONTAMINATION_SQL,
     "op8_url_reputation": REPUTATION_SQL,
+    "op11_filter_interactions": FILTER_SQL,
+    "op12_conversation_trie": TRIE_SQL,
 }

@@ -94,3 +94,17 @@ def stored(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, share: int = 1000) -> DataFrame:
+    """``rows`` left-joined with ``facts`` (one row per key), whose ``weight`` says at most how many rows have the key.
+
+    Keys with more than 1/``share`` of the weight, fewer than ``share`` of them whatever the data, are broadcast; all
+    others are joined by a shuffle in which no key is large. Both inputs are read twice. ``weight`` is dropped.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * F.lit(share) > F.lit(total)
+    heavy, light = F.broadcast(facts.where(hot).drop(weight)), facts.where(~hot).drop(weight)
+    few = rows.join(heavy, keys)
+    many = rows.join(F.broadcast(facts.where(hot).select(*keys)), keys, "left_anti").join(light, keys, "left")
+    return few.unionByName(many)
