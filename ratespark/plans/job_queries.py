@@ -317,8 +317,8 @@ def premium_comparison(spark, folder):
     )
 
 
-sql("premium_comparison", f"""WITH {AREA_PRICED} SELECT IDpol AS policy_id, round(f,3) AS glm_predicted_frequency, round(s,3) AS glm_predicted_severity,
-round(final_premium,3) AS glm_premium, CAST(NULL AS DOUBLE) AS rf_premium, CAST(NULL AS DOUBLE) AS xgb_premium FROM ap""")
+sql("premium_comparison", f"""WITH {AREA_PRICED} SELECT IDpol AS policy_id, round(round(f,6),3) AS glm_predicted_frequency, round(round(s,6),3) AS glm_predicted_severity,
+round(round(final_premium,6),3) AS glm_premium, CAST(NULL AS DOUBLE) AS rf_premium, CAST(NULL AS DOUBLE) AS xgb_premium FROM ap""")
 
 
 @query("top_premiums_file")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import make_claims, make_policies
+from book_helpers import make_claims, make_policies
 from ratespark.config import BoostConfig, ExperimentConfig, ForestConfig, ModelConfig, RoleConfig
 from ratespark.operators.diagnostics import comparison_rmse
 from ratespark.operators.portfolios import dutch_portfolio, portfolio_summary, spanish_portfolio

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import make_claims, make_policies
+from book_helpers import make_claims, make_policies
 from ratespark.config import MODEL_CATEGORICAL, MODEL_NUMERIC, BoostConfig, ForestConfig, ModelConfig, RoleConfig
 from ratespark.operators import models
 from ratespark.operators.datasets import clean_frequency_data
