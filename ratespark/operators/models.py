@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import json
 from dataclasses import dataclass
 from typing import Any
 
@@ -38,11 +39,12 @@ from ..config import (
     RoleConfig,
 )
 from ..functions.cleaning import clip
+from .boosting import BoostedTrees, fit_boosted
 from .metrics import frequency_metrics, severity_metrics
 from .stats import numeric_medians
 
-FREQUENCY_MODELS = ("poisson", "random_forest", "xgboost", "gbt")
-SEVERITY_MODELS = ("gamma", "random_forest", "xgboost", "gbt")
+FREQUENCY_MODELS = ("poisson", "random_forest", "xgboost", "boosted", "gbt")
+SEVERITY_MODELS = ("gamma", "random_forest", "xgboost", "boosted", "gbt")
 GLM_TOLERANCE = 1e-10
 _TARGET, _WEIGHT, _FEATURES = "__target", "__weight", "__features"
 
@@ -140,6 +142,34 @@ class FittedModel:
         self.pipeline.write().overwrite().save(path)
 
 
+class BoostedModel(FittedModel):
+    """Boosted trees of one role, scored by a column expression like a generalised linear model."""
+
+    def __init__(self, role: Role, trees: BoostedTrees):
+        super().__init__(role, "boosted", PipelineModel([]))
+        self.trees = trees
+
+    def transform(self, df: DataFrame, output: str | None = None) -> DataFrame:
+        name = output or self.role.output
+        kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+        return df.select(*kept, clip(self.trees.mean(), PREDICTION_FLOOR).alias(name))
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps(self.trees.to_dict()),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, role: Role, path: str) -> "BoostedModel":
+        return cls(role, BoostedTrees.from_dict(json.loads(spark.read.text(path, wholetext=True).first()[0])))
+
+
+def load_model(spark: SparkSession, role: Role, name: str, path: str) -> FittedModel:
+    """A model written by ``save``."""
+    if name == "boosted":
+        return BoostedModel.load(spark, role, path)
+    return FittedModel(role, name, PipelineModel.load(path))
+
+
 def glm_formula(pipeline: PipelineModel) -> Column | None:
     """exp(intercept + sum of effects) of a fitted log-link model, or None for other models."""
     *encoder, fitted = pipeline.stages
@@ -203,6 +233,10 @@ def train_model(
     try:
         if training_cache.count() == 0:  # also fills the cache, which every later pass reads
             raise ValueError(f"{role.name.title()} training data is empty after filtering.")
+        if chosen == "boosted":
+            medians = {r.feature: r.value for r in numeric_medians(training_cache, numeric).collect()} if numeric else {}
+            trees = fit_boosted(training_cache, role.glm, role_settings.boost, _TARGET, _WEIGHT, numeric, categorical, medians)
+            return BoostedModel(role, trees)
         regressor = _regressor(training_cache, role, chosen, role_settings, alpha, max_iter)
         stages = preprocessing_stages(training_cache, numeric, categorical, drop_reference)
         encoder = Pipeline(stages=stages).fit(training_cache)
@@ -308,6 +342,10 @@ def feature_names(model: FittedModel) -> list[str]:
 
 def feature_importance(model: FittedModel, spark: SparkSession, top_n: int | None = None) -> DataFrame | None:
     """(feature, importance), largest first; None for a model without importances."""
+    if isinstance(model, BoostedModel):
+        rows = list(model.trees.importances().items())  # at most one per split
+        frame = spark.createDataFrame(rows, _IMPORTANCE_SCHEMA).orderBy(F.desc("importance"), "feature")
+        return frame if top_n is None else frame.limit(top_n)
     values = getattr(model.pipeline.stages[-1], "featureImportances", None)
     if values is None:
         return None
@@ -322,7 +360,7 @@ def feature_importance(model: FittedModel, spark: SparkSession, top_n: int | Non
 
 def glm_relativities(model: FittedModel, spark: SparkSession) -> DataFrame | None:
     """(feature, coefficient, relativity): multiplicative effects of a log-link model."""
-    fitted = model.pipeline.stages[-1]
+    fitted = model.pipeline.stages[-1] if model.pipeline.stages else None
     if not hasattr(fitted, "coefficients"):
         return None
     names, values = feature_names(model), fitted.coefficients.toArray()

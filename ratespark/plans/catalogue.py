@@ -8,6 +8,7 @@ have no SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -693,6 +694,34 @@ def glm_severity_onefactor(spark, folder):
 sql("glm_severity_onefactor", f"WITH {SCORED} SELECT Area, round(rate_severity,3) AS severity FROM rs")
 
 
+def _area_boosting() -> ModelConfig:
+    """Full steps on depth-1 trees over all rows and features."""
+    full = {"trees": 120, "learning_rate": 1.0, "max_depth": 1, "subsample": 1.0, "colsample_bytree": 1.0, "reg_lambda": 0.0}
+    base = ModelConfig()
+    return replace(
+        base, frequency=replace(base.frequency, boost=replace(base.frequency.boost, **full)),
+        severity=replace(base.severity, boost=replace(base.severity.boost, **full)),
+    )
+
+
+@query("boosted_rates")
+def boosted_rates(spark, folder):
+    """Boosted depth-1 trees on one factor end at its observed frequencies and mean claims."""
+    policies = _policies(spark, folder).select("IDpol", "Area", "ClaimNb", "Exposure")
+    claims = datasets.claims_with_factors(_claims(spark, folder), policies).select("Area", "ClaimAmount")
+    config = _area_boosting()
+    frequency = models.train_frequency_model(policies, "boosted", config=config, numeric=[], categorical=["Area"])
+    severity = models.train_severity_model(claims, "boosted", config=config, numeric=[], categorical=["Area"])
+    scored = severity.transform(frequency.transform(policies.select("Area").distinct()))
+    return scored.select(
+        "Area", F.round("predicted_annual_frequency", 4).alias("frequency"), F.round("predicted_claim_severity", 2).alias("severity")
+    )
+
+
+sql("boosted_rates", f"""WITH {SCORED} SELECT Area, round(rate_frequency,4) AS frequency, round(rate_severity,2) AS severity
+FROM rf JOIN rs USING (Area)""")
+
+
 def _fit_pair(spark: SparkSession, folder: str, frequency: str, severity: str, config: ModelConfig | None = None):
     policies, claims = _policies(spark, folder), _claims(spark, folder)
     by_claim = datasets.claims_with_factors(claims, policies)
@@ -706,8 +735,6 @@ def _fit_pair(spark: SparkSession, folder: str, frequency: str, severity: str, c
 def _small_forest() -> ModelConfig:
     config = ExperimentConfig(forest_trees=20)
     base = experiments.comparison_model_config(ModelConfig(), config)
-    from dataclasses import replace
-
     return replace(
         base,
         frequency=replace(base.frequency, forest=replace(base.frequency.forest, max_depth=6)),

@@ -17,7 +17,7 @@ from ..operators.models import FREQUENCY, SEVERITY, FittedModel, Role, train_mod
 from ..operators.sampling import experiment_sample
 
 # --- Fixed values: run-key abbreviations and the families of the premium table ----------------------
-SHORT_NAMES = {"random_forest": "rf", "xgboost": "xgb"}
+SHORT_NAMES = {"random_forest": "rf", "xgboost": "xgb", "boosted": "boost"}
 FAMILIES = {
     "glm": ("poisson", "gamma"),
     "rf": ("random_forest", "random_forest"),

@@ -7,13 +7,12 @@ from dataclasses import asdict, is_dataclass
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.models import FREQUENCY, SEVERITY, FittedModel
+from ..operators.models import FREQUENCY, SEVERITY, FittedModel, load_model
 
 
 def write_json(spark: SparkSession, value: Any, path: str) -> None:
@@ -50,8 +49,8 @@ def load_artifacts(spark: SparkSession, root: str) -> dict[str, Any]:
     try:
         metadata = read_json(spark, f"{root}/metadata")
         names = metadata["fitted_models"]
-        frequency = PipelineModel.load(f"{root}/frequency_model")
-        severity = PipelineModel.load(f"{root}/severity_model")
+        frequency = load_model(spark, FREQUENCY, names["frequency_model"], f"{root}/frequency_model")
+        severity = load_model(spark, SEVERITY, names["severity_model"], f"{root}/severity_model")
     except Exception as problem:  # the reader's error class depends on which part is missing
         raise FileNotFoundError(f"No complete set of models under {root}.") from problem
     try:
@@ -59,8 +58,8 @@ def load_artifacts(spark: SparkSession, root: str) -> dict[str, Any]:
     except AnalysisException:
         metrics = {}
     return {
-        "frequency_model": FittedModel(FREQUENCY, names["frequency_model"], frequency),
-        "severity_model": FittedModel(SEVERITY, names["severity_model"], severity),
+        "frequency_model": frequency,
+        "severity_model": severity,
         "metadata": metadata,
         "metrics": metrics,
     }
