@@ -29,7 +29,7 @@ def calibration(
         F.col(key).alias("__key"), F.col(actual).alias("__actual"), F.col(predicted).alias("__predicted")
     )
     if exact:
-        placed = with_quantile_bucket(narrow, [F.col("__predicted"), F.col("__key")], buckets)
+        placed = with_quantile_bucket(narrow, ["__predicted", "__key"], buckets)
     else:
         placed = with_approx_bucket(narrow, "__predicted", buckets)
     return placed.groupBy("bucket").agg(
@@ -143,7 +143,7 @@ def lorenz_points(df: DataFrame, predicted: str, loss: str, exposure: str, key:
         F.col(loss).alias("loss"), F.col(exposure).alias("exposure"),
     )
     return prefix_sums(
-        narrow, [F.col("risk"), F.col("key")],
+        narrow, ["risk", "key"],
         {"cum_loss": F.col("loss"), "cum_exposure": F.col("exposure")},
         totals={"cum_loss": "total_loss", "cum_exposure": "total_exposure"},
     )

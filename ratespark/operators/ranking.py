@@ -1,14 +1,18 @@
-"""Exact global order statistics without a one-partition window.
+"""Exact global order statistics without a one-partition window and without a written copy.
 
-The building block is :func:`in_global_order`: one range shuffle on the full sort key, a local
-sort, and a written copy that records each row's (partition, position). Range bounds are taken
-on the whole key, so a value shared by a third of all rows is still spread over many partitions
-as long as the key ends in an id. Everything else needs only one small row per partition.
+Ranks and running sums: a hash sample of the rows fixes range bounds on the whole sort key as literals, so a row's part is an
+expression of the row alone, the same after any recomputation. One aggregate counts (or sums) the parts, and one exchange
+brings each part together; what lies in earlier parts is a small row per part. A value shared by a third of all rows is
+spread over many parts as long as the key ends in an id.
+
+Quantiles: values are counted in bins, and only the bins that hold a wanted position are cut further, until such a bin
+holds one value. No row is moved or sorted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,86 +22,141 @@ from ..runtime import materialise
 _PLACE = "__place"
 _PART = "__part"
 _SLOT_BITS = 33  # monotonically_increasing_id keeps the partition above 33 position bits
+#: Sampled rows for each part; parts for each shuffle partition.
+SAMPLE_PER_PART, PARTS_PER_TASK = 16, 2
+#: Bins into which an interval is cut in one pass, and the accuracy of the sketch that gives the first intervals.
+BINS, SKETCH_ACCURACY = 2048, 10_000
+_LARGEST = 1.7976931348623157e308
 
 
-def in_global_order(df: DataFrame, order_by: Sequence[Column]) -> DataFrame:
-    """Range-partitioned, locally sorted and materialised copy with ``__part`` and ``__place``."""
-    ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    return _placed(ordered)
-
-
-def in_arrival_order(df: DataFrame) -> DataFrame:
-    """Materialised copy with the partition and position at which rows arrived (no shuffle)."""
-    return _placed(df)
+def _sort(order_by: Sequence[str]) -> list[Column]:
+    """Column names, with a leading minus for descending order; nulls come first, or last when descending."""
+    return [F.desc(k[1:]) if k.startswith("-") else F.asc(k) for k in order_by]
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    stored = materialise(df.withColumn(_PLACE, F.monotonically_increasing_id()))
-    return stored.withColumn(_PART, F.shiftright(_PLACE, _SLOT_BITS).cast("int"))
+def range_bounds(df: DataFrame, order_by: Sequence[str], parts: int) -> list[tuple]:
+    """Up to ``parts`` - 1 sort keys in order that cut ``df`` into about equal parts.
 
-
-def global_rank(
-    df: DataFrame, order_by: Sequence[Column], alias: str = "rank", rows_alias: str | None = None
-) -> DataFrame:
+    The sample is the row of least hash in each of a fixed number of hash groups: one pass, a bounded number of rows
+    (``SAMPLE_PER_PART`` for each part), and the same rows however the input is partitioned.
+    """
+    keys = [k.lstrip("-") for k in order_by]
+    hashed = F.xxhash64(*keys)
+    one = F.min_by(F.struct(*keys), F.col("__h")).alias("key")
+    groups = F.pmod("__h", F.lit(parts * SAMPLE_PER_PART))
+    sample = df.select(*keys, hashed.alias("__h")).groupBy(groups.alias("__g")).agg(one).select("key.*")
+    rows = [tuple(r) for r in sample.orderBy(*_sort(order_by)).collect()]
+    picks = sorted({len(rows) * i // parts for i in range(1, parts)} - {0})
+    return [rows[i] for i in picks if i < len(rows)]
+
+
+def _before(order_by: Sequence[str], bound: tuple) -> Column:
+    """Whether a row sorts before ``bound``."""
+    result = F.lit(False)
+    for name, value in reversed(list(zip(order_by, bound))):
+        column, limit = F.col(name.lstrip("-")), F.lit(value)
+        if name.startswith("-"):
+            less = column.isNotNull() if value is None else F.coalesce(column > limit, F.lit(False))
+        else:
+            less = F.lit(False) if value is None else F.coalesce(column < limit, F.lit(True))
+        result = less | (column.eqNullSafe(limit) & result)
+    return result
+
+
+def range_part(order_by: Sequence[str], bounds: Sequence[tuple]) -> Column:
+    """Number of bounds that do not sort after the row, found by bisection."""
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(_before(order_by, bounds[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+
+    return search(0, len(bounds))
+
+
+def with_range_part(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """``df`` with ``__part``: the parts follow one another in the order of ``order_by``."""
+    parts = max(2, PARTS_PER_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.withColumn(_PART, range_part(order_by, range_bounds(df, order_by, parts)))
+
+
+def global_rank(df: DataFrame, order_by: Sequence[str], alias: str = "rank", rows_alias: str | None = None) -> DataFrame:
     """Exact ``row_number() over (order by ...)`` from 1, with ``order_by`` unique per row.
 
     ``rows_alias`` also adds the number of rows, at no extra cost.
     """
-    return _numbered(in_global_order(df, order_by), alias, rows_alias)
-
-
-def dense_ids(df: DataFrame, alias: str) -> DataFrame:
-    """1..n in the order in which Spark deals out the input: file order within one file, any order among several."""
-    return _numbered(in_arrival_order(df), alias)
+    parted = with_range_part(df, order_by)
+    local = F.row_number().over(Window.partitionBy(_PART).orderBy(*_sort(order_by)))
+    added = {alias: F.col("__start") + local}
+    if rows_alias:
+        added[rows_alias] = F.col("__total")
+    return parted.join(F.broadcast(_starts(parted)), _PART).withColumns(added).drop(_PART, "__start", "__total")
 
 
-def _numbered(placed: DataFrame, alias: str, rows_alias: str | None = None) -> DataFrame:
-    per_part = placed.groupBy(_PART).agg(F.count(F.lit(1)).alias("__n"))
+def _starts(parted: DataFrame) -> DataFrame:
+    """(__part, __start, __total): rows in earlier parts and in all; one row per part."""
+    per_part = parted.groupBy(_PART).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_part.select(
+    return per_part.select(
         _PART,
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"),
         F.sum("__n").over(Window.partitionBy()).alias("__total"),
     )
+
+
+def dense_ids(df: DataFrame, alias: str) -> DataFrame:
+    """1..n in the order in which Spark deals out the input: file order within one file, any order among several."""
+    placed = materialise(df.withColumn(_PLACE, F.monotonically_increasing_id()))
+    placed = placed.withColumn(_PART, F.shiftright(_PLACE, _SLOT_BITS).cast("int"))
     slot = F.col(_PLACE).bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
-    # ``starts`` has one row per partition of ``placed``, so its size is bounded by the cluster.
-    added = {alias: F.col("__start") + slot + F.lit(1)}
-    if rows_alias:
-        added[rows_alias] = F.col("__total")
-    return (
-        placed.join(F.broadcast(starts), _PART).withColumns(added).drop(_PART, _PLACE, "__start", "__total")
-    )
+    # one row per partition of ``placed``, so the broadcast is bounded by the cluster
+    numbered = placed.join(F.broadcast(_starts(placed)), _PART).withColumn(alias, F.col("__start") + slot + F.lit(1))
+    return numbered.drop(_PART, _PLACE, "__start", "__total")
 
 
 def prefix_sums(
     df: DataFrame,
-    order_by: Sequence[Column],
+    order_by: Sequence[str],
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
     totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add running totals (inclusive) of ``sums`` in global order, restarted per ``by`` group.
 
-    ``by`` columns must lead ``order_by``. Only the part inside one range partition is a window
-    over rows. ``totals`` maps names of ``sums`` to columns that receive the group total.
+    ``by`` columns must lead ``order_by``, which must be unique per row. ``totals`` maps names of ``sums`` to columns that
+    receive the group total. Sums of earlier parts are needed only for groups that lie in several parts; each part has at
+    most two of these, which bounds the broadcast.
     """
-    placed = in_global_order(df, order_by)
-    per_part = placed.groupBy(*by, _PART).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
+    parted = with_range_part(df, order_by)
     group = Window.partitionBy(*by)
     earlier = group.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select(
+    per_part = parted.groupBy(*by, _PART).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
+    spread = per_part.select(
         *by,
         _PART,
-        # nothing precedes the first partition of a group: the empty sum is null
+        F.count(F.lit(1)).over(group).alias("__parts"),
+        # nothing precedes the first part of a group: the empty sum is null
         *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__before_{n}") for n in sums],
-        *[F.sum(f"__t_{n}").over(group).alias(alias) for n, alias in (totals or {}).items()],
-    )
-    local = Window.partitionBy(*by, _PART).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, 0)
-    # No hint: the offsets are tiny with few groups, and adaptive execution then broadcasts them.
-    return (
-        placed.join(offsets, [*by, _PART])
-        .withColumns({n: F.col(f"__before_{n}") + F.sum(v).over(local) for n, v in sums.items()})
-        .drop(_PART, _PLACE, *[f"__before_{n}" for n in sums])
+        *[F.sum(f"__t_{n}").over(group).alias(f"__total_{n}") for n in sums],
+    ).where("__parts > 1").drop("__parts")
+    keys = {k: f"__by_{i}" for i, k in enumerate([*by, _PART])}
+    spread = F.broadcast(spread.withColumnsRenamed(keys))
+    same = [F.col(k).eqNullSafe(F.col(other)) for k, other in keys.items()]
+    # a group lies inside its part as it does in the exchange: one exchange serves both windows
+    gathered = parted.repartition(F.col(_PART))
+    inside = Window.partitionBy(_PART, *by)
+    local = inside.orderBy(*_sort(order_by)).rowsBetween(Window.unboundedPreceding, 0)
+    summed = gathered.withColumns({
+        **{f"__l_{n}": F.sum(v).over(local) for n, v in sums.items()},
+        **{f"__g_{n}": F.sum(sums[n]).over(inside) for n in (totals or {})},
+    })
+    condition = same[0]
+    for other in same[1:]:
+        condition = condition & other
+    added = {n: F.coalesce(F.col(f"__before_{n}"), F.lit(0)) + F.col(f"__l_{n}") for n in sums}
+    added |= {alias: F.coalesce(F.col(f"__total_{n}"), F.col(f"__g_{n}")) for n, alias in (totals or {}).items()}
+    return summed.join(spread, condition, "left").withColumns(added).drop(
+        _PART, *keys.values(), *[f"__{kind}_{n}" for n in sums for kind in ("l", "g", "before", "total")]
     )
 
 
@@ -109,7 +168,7 @@ def quantile_bucket(rank: Column, rows: Column, buckets: int) -> Column:
 
 
 def with_quantile_bucket(
-    df: DataFrame, order_by: Sequence[Column], buckets: int = 10, alias: str = "bucket"
+    df: DataFrame, order_by: Sequence[str], buckets: int = 10, alias: str = "bucket"
 ) -> DataFrame:
     """Exact equal-count buckets over the whole frame; ``order_by`` must be unique per row."""
     ranked = global_rank(df, order_by, "__rank", "__rows")
@@ -132,39 +191,105 @@ def unpivot(df: DataFrame, columns: Sequence[str], name: str = "feature", value:
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles of several numeric columns: one row per column.
+    """Exact linear-interpolated quantiles of several numeric columns: one row per column that has a value.
 
-    Equal values are first folded into counts (map-side), so a hot value costs one row and a
-    bounded domain such as driver age shrinks to a handful; the counts are then ranked globally.
+    A sketch of all columns gives a first interval around each wanted position. Each following pass counts all columns at
+    once, an interval in bins and the rest in one bin each, and goes on with the bins that hold a wanted position, until
+    they hold one value (nearly always the second or third pass). Values below an interval are counted anew in each pass,
+    so a sketch that is off costs a pass, never the result. A pass returns at most ``BINS`` rows per interval.
     """
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    counts = unpivot(doubles, columns).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    spots = prefix_sums(
-        counts, [F.col("feature"), F.col("value")], {"upto": F.col("n")}, by=["feature"], totals={"upto": "rows"}
-    )
-
-    def value_at(position: Column) -> Column:
-        # The value whose cumulative count first exceeds a 0-based position.
-        return F.min(F.when(F.col("upto") > position, F.col("value")))
-
-    picks = []
-    for label, share in shares.items():
-        exact = (F.col("rows") - F.lit(1)) * F.lit(float(share))
-        picks += [value_at(F.floor(exact)).alias(f"__lo_{label}"), value_at(F.ceil(exact)).alias(f"__hi_{label}")]
-    found = spots.groupBy("feature", "rows").agg(*picks)
-    return found.select(
-        "feature",
-        "rows",
-        *[
-            _interpolate(F.col(f"__lo_{label}"), F.col(f"__hi_{label}"), (F.col("rows") - F.lit(1)) * F.lit(float(share)))
-            .alias(label)
-            for label, share in shares.items()
-        ],
+    spark = df.sparkSession
+    doubles = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    sizes, intervals = _first_intervals(doubles, len(columns), list(shares.values()))
+    wanted = {
+        i: sorted({spot for share in shares.values() for spot in (math.floor((n - 1) * share), math.ceil((n - 1) * share))})
+        for i, n in enumerate(sizes) if n
+    }
+    found: dict[tuple[int, int], float] = {}
+    while any(wanted.values()):
+        bins: dict[int, list] = {}
+        for row in _count_bins(doubles, {i: intervals[i] for i, spots in wanted.items() if spots}).collect():
+            bins.setdefault(row.feature, []).append(row)
+        for i, rows in bins.items():
+            rows.sort(key=lambda r: r.bin)
+            following, left = [], []
+            for spot in wanted[i]:
+                row = _bin_at(rows, spot)
+                if row.low == row.high or row.low != row.low:
+                    found[i, spot] = row.low
+                else:
+                    left.append(spot)
+                    following.append((row.low, row.high))
+            wanted[i], intervals[i] = left, sorted(set(following))
+    schema = ", ".join(["feature string", "rows long", *[f"`{label}` double" for label in shares]])
+    return spark.createDataFrame([
+        (columns[i], n, *[_between(found, i, (n - 1) * share) for share in shares.values()]) for i, n in enumerate(sizes) if n
+    ], schema)
+
+
+def _between(found: Mapping[tuple[int, int], float], column: int, position: float) -> float:
+    low, high = found[column, math.floor(position)], found[column, math.ceil(position)]
+    return low + (high - low) * (position - math.floor(position))
+
+
+def _first_intervals(doubles: DataFrame, columns: int, shares: Sequence[float]) -> tuple[list[int], dict[int, list[tuple]]]:
+    """Values per column, and intervals that hold the wanted positions unless the sketch is off."""
+    margin = 2.0 / SKETCH_ACCURACY
+    edges = F.array(*[F.lit(min(1.0, max(0.0, s + d))) for s in shares for d in (-margin, margin)])
+    names = [f"c{i}" for i in range(columns)]
+    row = doubles.agg(
+        *[F.count(c).alias(f"n_{c}") for c in names], *[F.percentile_approx(c, edges, SKETCH_ACCURACY).alias(f"q_{c}") for c in names]
+    ).first()
+    intervals = {i: _disjoint(zip(*[iter(row[f"q_{c}"] or [])] * 2)) for i, c in enumerate(names)}
+    return [row[f"n_{c}"] for c in names], intervals
+
+
+def _disjoint(intervals: Iterable[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Sorted finite intervals, overlapping ones joined."""
+    out: list[tuple[float, float]] = []
+    finite = [tuple(max(-_LARGEST, min(_LARGEST, x if x == x else _LARGEST)) for x in pair) for pair in intervals]
+    for low, high in sorted(finite):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _count_bins(doubles: DataFrame, intervals: Mapping[int, Sequence[tuple[float, float]]]) -> DataFrame:
+    """(feature, bin, n, low, high): values per bin with their extremes; bins are numbered in the order of the values."""
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("feature"), _bin_of(F.col(f"c{i}"), spans).alias("bin"), F.col(f"c{i}").alias("value"))
+        for i, spans in intervals.items()
+    ])
+    rows = doubles.select(F.inline(entries)).where(F.col("value").isNotNull())
+    return rows.groupBy("feature", "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
 
 
-def _interpolate(low: Column, high: Column, position: Column) -> Column:
-    return low + (high - low) * (position - F.floor(position))
+def _bin_of(value: Column, intervals: Sequence[tuple[float, float]]) -> Column:
+    """Gaps between intervals are a bin each; infinities and NaN have bins of their own."""
+    step = BINS + 2
+    out = F.when(value == F.lit(float("-inf")), F.lit(-1))
+    for k, (low, high) in enumerate(intervals):
+        width = high / 2 - low / 2  # halves, for the full range of a double would overflow
+        if width > 0:
+            place = F.floor((value / 2 - F.lit(low / 2)) / F.lit(width) * F.lit(float(BINS))).cast("int")
+        else:  # one value, or neighbours whose halves agree
+            place = F.when(value > F.lit(low), F.lit(1)).otherwise(F.lit(0))
+        out = out.when(value < F.lit(low), F.lit(k * step)).when(value <= F.lit(high), F.lit(k * step + 1) + place)
+    last = len(intervals) * step
+    return out.when(value < F.lit(float("inf")), F.lit(last)).when(F.isnan(value), F.lit(last + 2)).otherwise(F.lit(last + 1))
+
+
+def _bin_at(rows: Sequence, spot: int):
+    """The bin that holds the value at a 0-based position."""
+    for row in rows:
+        if spot < row.n:
+            return row
+        spot -= row.n
+    raise RuntimeError("The input changed while its quantiles were being found.")
 
 
 def approx_quantiles(df: DataFrame, columns: Sequence[str], shares: Mapping[str, float]) -> DataFrame:

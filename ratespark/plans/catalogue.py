@@ -381,7 +381,7 @@ round(quantile_cont(ClaimAmount,0.99),4) AS p99 FROM sev""")
 @query("global_premium_rank")
 def global_premium_rank(spark, folder):
     raw = sample_book.raw_policies(spark, folder).select("IDpol", "premium_paid")
-    return _round(ranking.global_rank(raw, [F.desc("premium_paid"), F.col("IDpol")], "premium_rank"), 6, "premium_paid")
+    return _round(ranking.global_rank(raw, ["-premium_paid", "IDpol"], "premium_rank"), 6, "premium_paid")
 
 
 sql("global_premium_rank", f"""WITH {POLICIES_SRC} SELECT IDpol, round(premium_paid,6) AS premium_paid,
@@ -696,7 +696,7 @@ sql("glm_severity_onefactor", f"WITH {SCORED} SELECT Area, round(rate_severity,3
 
 def _area_boosting() -> ModelConfig:
     """Full steps on depth-1 trees over all rows and features."""
-    full = {"trees": 120, "learning_rate": 1.0, "max_depth": 1, "subsample": 1.0, "colsample_bytree": 1.0, "reg_lambda": 0.0}
+    full = {"trees": 120, "learning_rate": 1.0, "max_depth": 1, "subsample": 1.0, "colsample_bytree": 1.0, "reg_lambda": 0.0, "min_gain": 1e-13}
     base = ModelConfig()
     return replace(
         base, frequency=replace(base.frequency, boost=replace(base.frequency.boost, **full)),
@@ -707,7 +707,7 @@ def _area_boosting() -> ModelConfig:
 @query("boosted_rates")
 def boosted_rates(spark, folder):
     """Boosted depth-1 trees on one factor end at its observed frequencies and mean claims."""
-    policies = _policies(spark, folder).select("IDpol", "Area", "ClaimNb", "Exposure")
+    policies = _policies(spark, folder)
     claims = datasets.claims_with_factors(_claims(spark, folder), policies).select("Area", "ClaimAmount")
     config = _area_boosting()
     frequency = models.train_frequency_model(policies, "boosted", config=config, numeric=[], categorical=["Area"])
