@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import safe_ratio, to_number
@@ -12,6 +12,11 @@ UPPER, LOWER = 1.2, 0.8
 _SHARES = {"p10_ratio": 0.10, "median_ratio": 0.50, "p90_ratio": 0.90}
 
 
+def ratio_status(median: Column) -> Column:
+    """The verdict on a median of actual / predicted."""
+    return F.when(median > UPPER, "under_predicted").when(median < LOWER, "over_predicted").otherwise("within_band")
+
+
 def severity_drift(outcomes: DataFrame, exact: bool = True) -> DataFrame:
     """One row: matched claims, spread of actual/predicted and the verdict.
 
@@ -24,12 +29,7 @@ def severity_drift(outcomes: DataFrame, exact: bool = True) -> DataFrame:
     means = ratios.agg(F.count(F.lit(1)).alias("matched_claims"), F.avg("ratio").alias("mean_ratio"))
     quantiles = (exact_quantiles if exact else approx_quantiles)(ratios, ["ratio"], _SHARES).select(*_SHARES)
     joined = means.join(quantiles, F.lit(True), "left")  # one row each
-    status = (
-        F.when(F.col("matched_claims") == 0, "no_data")
-        .when(F.col("median_ratio") > UPPER, "under_predicted")
-        .when(F.col("median_ratio") < LOWER, "over_predicted")
-        .otherwise("within_band")
-    )
+    status = F.when(F.col("matched_claims") == 0, "no_data").otherwise(ratio_status(F.col("median_ratio")))
     return joined.select("matched_claims", "median_ratio", "mean_ratio", "p10_ratio", "p90_ratio", status.alias("status"))
 
 

@@ -23,7 +23,7 @@ from ..config import (
     SIMULATED_NUMERIC,
 )
 from ..functions.cleaning import clip, strip, text_or, to_number, whole_id
-from .ranking import dense_ids
+from .ranking import dense_ids, in_file_order
 from .stats import default_values
 from .validate import require_pricing_columns, require_rows, validate_schema
 
@@ -45,15 +45,17 @@ def canonical_columns(df: DataFrame) -> DataFrame:
 def fill_policy_ids(df: DataFrame, missing_ids: str = "position") -> DataFrame:
     """Whole-number ids. Missing ones get a 1-based number, a hash, or stay null.
 
-    Numbers follow the order in which Spark reads the input: file order for one file, any order among several.
+    ``position`` numbers follow the order in which rows arrive: file order for one file, any order among several. ``file``
+    numbers follow the files' paths and the rows in each; the frame must come straight from a reader, and nothing is written.
     ``position`` looks for a missing id in the id column and, only when there is one, numbers all
     rows, which writes the frame once; ``hash`` needs no job and is the only choice for a stream;
     ``keep`` is for frames whose ids are known to be complete.
     """
     known = whole_id(df, POLICY_ID) if POLICY_ID in df.columns else F.lit(None).cast("long")
-    complete = missing_ids == "position" and POLICY_ID in df.columns and df.select(known.alias("k")).where("k IS NULL").isEmpty()
-    if missing_ids == "position" and not complete:
-        numbered = dense_ids(df.withColumn(POLICY_ID, known), "__position")
+    numbers = {"position": dense_ids, "file": in_file_order}.get(missing_ids)
+    complete = numbers and POLICY_ID in df.columns and df.select(known.alias("k")).where("k IS NULL").isEmpty()
+    if numbers and not complete:
+        numbered = numbers(df.withColumn(POLICY_ID, known), "__position")
         return numbered.withColumn(POLICY_ID, F.coalesce(POLICY_ID, "__position")).drop("__position")
     if missing_ids == "hash":
         known = F.coalesce(known, negative_hash(*[F.col(f"`{c}`") for c in df.columns]))

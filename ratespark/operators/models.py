@@ -46,28 +46,26 @@ from .stats import numeric_medians
 FREQUENCY_MODELS = ("poisson", "random_forest", "xgboost", "boosted", "gbt")
 SEVERITY_MODELS = ("gamma", "random_forest", "xgboost", "boosted", "gbt")
 GLM_TOLERANCE = 1e-10
-_TARGET, _WEIGHT, _FEATURES = "__target", "__weight", "__features"
+_TARGET, _WEIGHT, _FEATURES, _ROWS = "__target", "__weight", "__features", "__rows"
 
 
 def preprocessing_stages(
     training: DataFrame, numeric: list[str] = MODEL_NUMERIC, categorical: list[str] = MODEL_CATEGORICAL,
-    drop_reference: bool = False,
+    drop_reference: bool = False, count: str | None = None,
 ) -> list:
     """Median impute + standardise numbers, one-hot categories; unknown categories are all zero.
 
     Indexers keep a spare slot for unseen values and the encoder drops just that slot, so every
     known level has its own column. ``drop_reference`` drops the last known level instead, which
-    an unpenalised model needs.
+    an unpenalised model needs. ``count`` names how many rows a training row stands for.
     """
     stages: list = []
     blocks: list[str] = []
     if numeric:
         filled = [f"__num_{c}" for c in numeric]
-        stages += [
-            _median_imputer(training, numeric, filled),
-            VectorAssembler(inputCols=filled, outputCol="__numbers"),
-            StandardScaler(inputCol="__numbers", outputCol="__scaled", withMean=True, withStd=True),
-        ]
+        imputer = _median_imputer(training, numeric, filled, count)
+        assembler = VectorAssembler(inputCols=filled, outputCol="__numbers")
+        stages += [imputer, assembler, _scaler(assembler, imputer.transform(training), filled, count)]
         blocks.append("__scaled")
     if categorical:
         indexed = [f"__idx_{c}" for c in categorical]
@@ -83,9 +81,22 @@ def preprocessing_stages(
     return [*stages, VectorAssembler(inputCols=blocks, outputCol=_FEATURES)]
 
 
-def _median_imputer(training: DataFrame, columns: list[str], outputs: list[str]) -> ImputerModel:
+def _scaler(assembler: VectorAssembler, filled: DataFrame, columns: list[str], count: str | None) -> StandardScalerModel:
+    """A scaler with means and sample deviations from one aggregate: it is fitted on two rows that have both."""
+    copies = (F.col(count) if count else F.lit(1)).cast("double")
+    n = F.sum(copies).alias("n")
+    means = filled.agg(n, *[(F.sum(copies * F.col(c)) / F.sum(copies)).alias(c) for c in columns]).first()
+    squares = filled.agg(*[F.sum(copies * (F.col(c) - F.lit(means[c])) * (F.col(c) - F.lit(means[c]))).alias(c) for c in columns]).first()
+    half = [(max(squares[c], 0.0) / max(means.n - 1, 1) / 2) ** 0.5 for c in columns]
+    rows = [tuple(means[c] + sign * h for c, h in zip(columns, half)) for sign in (-1, 1)]
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in columns])
+    two = assembler.transform(filled.sparkSession.createDataFrame(rows, schema))
+    return StandardScaler(inputCol="__numbers", outputCol="__scaled", withMean=True, withStd=True).fit(two)
+
+
+def _median_imputer(training: DataFrame, columns: list[str], outputs: list[str], count: str | None) -> ImputerModel:
     """An imputer with the exact medians: it is fitted on the one row that holds them."""
-    found = {r.feature: r.value for r in numeric_medians(training, columns).collect()}  # one row per column
+    found = {r.feature: r.value for r in numeric_medians(training, columns, count=count).collect()}  # one row per column
     schema = T.StructType([T.StructField(c, T.DoubleType()) for c in columns])
     row = training.sparkSession.createDataFrame([tuple(float(found.get(c, 0.0)) for c in columns)], schema)
     return Imputer(inputCols=columns, outputCols=outputs, strategy="median").fit(row)
@@ -210,6 +221,18 @@ def severity_training_frame(df: DataFrame) -> DataFrame:
     return positive.withColumns({_WEIGHT: F.lit(1.0), _TARGET: F.col("ClaimAmount")})
 
 
+def fold_equal_rows(training: DataFrame, factors: list[str]) -> DataFrame:
+    """Rows with equal factors as one: summed weight, weighted mean target and number of rows.
+
+    With a log link, the score equations of Poisson and Gamma models depend on such rows only through these, so coefficients
+    stay as they are while every iteration reads one row per cell.
+    """
+    return training.groupBy(*factors).agg(
+        (F.sum(F.col(_WEIGHT) * F.col(_TARGET)) / F.sum(_WEIGHT)).alias(_TARGET), F.sum(_WEIGHT).alias(_WEIGHT),
+        F.count(F.lit(1)).alias(_ROWS),
+    )
+
+
 def train_model(
     df: DataFrame,
     role: Role,
@@ -226,10 +249,14 @@ def train_model(
     chosen = model_name(role, name, settings)
     role_settings = settings.frequency if role is FREQUENCY else settings.severity
     training = frequency_training_frame(df) if role is FREQUENCY else severity_training_frame(df)
-    # Placed by content over a configured number of partitions: forests draw their bags by partition,
-    # so the fitted model is the same on any cluster.
+    # A generalised linear model is fitted on cells of equal rows. All others see rows placed by content over a configured
+    # number of partitions: forests draw their bags by partition, so the fitted model is the same on any cluster.
     columns = [*numeric, *categorical, _TARGET, _WEIGHT]
-    training_cache = training.select(*columns).repartition(settings.fit_partitions, *columns).persist()
+    if chosen == role.glm:
+        training_cache = fold_equal_rows(training, [*numeric, *categorical]).persist()
+    else:
+        training_cache = training.select(*columns).repartition(settings.fit_partitions, *columns).persist()
+    counted = _ROWS if chosen == role.glm else None
     try:
         if training_cache.count() == 0:  # also fills the cache, which every later pass reads
             raise ValueError(f"{role.name.title()} training data is empty after filtering.")
@@ -238,7 +265,7 @@ def train_model(
             trees = fit_boosted(training_cache, role.glm, role_settings.boost, _TARGET, _WEIGHT, numeric, categorical, medians)
             return BoostedModel(role, trees)
         regressor = _regressor(training_cache, role, chosen, role_settings, alpha, max_iter)
-        stages = preprocessing_stages(training_cache, numeric, categorical, drop_reference)
+        stages = preprocessing_stages(training_cache, numeric, categorical, drop_reference, counted)
         encoder = Pipeline(stages=stages).fit(training_cache)
         # The regressor reads its input once per iteration: keep the encoded rows, not the recipe.
         encoded = encoder.transform(training_cache).select(_FEATURES, _TARGET, _WEIGHT).persist()

@@ -114,6 +114,26 @@ def dense_ids(df: DataFrame, alias: str) -> DataFrame:
     return numbered.drop(_PART, _PLACE, "__start", "__total")
 
 
+FILE_ORDER = ["__file", "__block", "__place"]
+
+
+def with_file_key(df: DataFrame) -> DataFrame:
+    """A table straight from a file reader with each row's file, the start of its block and its place in the reading task."""
+    return df.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__place"),
+    )
+
+
+def in_file_order(df: DataFrame, alias: str = "row_number") -> DataFrame:
+    """1..n by the paths of the files and the order of the rows in each, for a table straight from a file reader.
+
+    Only filters and computed columns may lie in between. The keys follow from the files and the reader's blocks, so they
+    are the same when a task is run again, and blocks of any size give the same numbers.
+    """
+    return global_rank(with_file_key(df), FILE_ORDER, alias).drop(*FILE_ORDER)
+
+
 def prefix_sums(
     df: DataFrame,
     order_by: Sequence[str],
@@ -190,17 +210,21 @@ def unpivot(df: DataFrame, columns: Sequence[str], name: str = "feature", value:
     return df.select(*columns).unpivot([], list(columns), name, value).where(F.col(value).isNotNull())
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], shares: Mapping[str, float], count: str | None = None
+) -> DataFrame:
     """Exact linear-interpolated quantiles of several numeric columns: one row per column that has a value.
 
     A sketch of all columns gives a first interval around each wanted position. Each following pass counts all columns at
     once, an interval in bins and the rest in one bin each, and goes on with the bins that hold a wanted position, until
     they hold one value (nearly always the second or third pass). Values below an interval are counted anew in each pass,
     so a sketch that is off costs a pass, never the result. A pass returns at most ``BINS`` rows per interval.
+    ``count`` names a column that says how many equal rows a row stands for; the first interval is then the whole range.
     """
     spark = df.sparkSession
-    doubles = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    sizes, intervals = _first_intervals(doubles, len(columns), list(shares.values()))
+    copies = F.col(count) if count else F.lit(1)
+    doubles = df.select(copies.cast("long").alias("copies"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    sizes, intervals = (_whole_ranges if count else _first_intervals)(doubles, len(columns), list(shares.values()))
     wanted = {
         i: sorted({spot for share in shares.values() for spot in (math.floor((n - 1) * share), math.ceil((n - 1) * share))})
         for i, n in enumerate(sizes) if n
@@ -244,6 +268,17 @@ def _first_intervals(doubles: DataFrame, columns: int, shares: Sequence[float])
     return [row[f"n_{c}"] for c in names], intervals
 
 
+def _whole_ranges(doubles: DataFrame, columns: int, shares: Sequence[float]) -> tuple[list[int], dict[int, list[tuple]]]:
+    """Copies of values per column, and one interval from the smallest to the largest value."""
+    names = [f"c{i}" for i in range(columns)]
+    row = doubles.agg(
+        *[F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("copies"))), F.lit(0)).alias(f"n_{c}") for c in names],
+        *[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.min, F.max)],
+    ).first()
+    ranges = {i: [] if row[f"min_{c}"] is None else _disjoint([(row[f"min_{c}"], row[f"max_{c}"])]) for i, c in enumerate(names)}
+    return [row[f"n_{c}"] for c in names], ranges
+
+
 def _disjoint(intervals: Iterable[tuple[float, float]]) -> list[tuple[float, float]]:
     """Sorted finite intervals, overlapping ones joined."""
     out: list[tuple[float, float]] = []
@@ -262,9 +297,9 @@ def _count_bins(doubles: DataFrame, intervals: Mapping[int, Sequence[tuple[float
         F.struct(F.lit(i).alias("feature"), _bin_of(F.col(f"c{i}"), spans).alias("bin"), F.col(f"c{i}").alias("value"))
         for i, spans in intervals.items()
     ])
-    rows = doubles.select(F.inline(entries)).where(F.col("value").isNotNull())
+    rows = doubles.select("copies", F.inline(entries)).where(F.col("value").isNotNull())
     return rows.groupBy("feature", "bin").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+        F.sum("copies").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
 
 

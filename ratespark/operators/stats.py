@@ -13,10 +13,12 @@ from ..functions.cleaning import strip
 from .ranking import approx_quantiles, exact_quantiles, modes, unpivot
 
 
-def numeric_medians(df: DataFrame, columns: Sequence[str] = tuple(RATED_NUMERIC), exact: bool = True) -> DataFrame:
-    """(feature, value): median per column."""
-    quantiles = exact_quantiles if exact else approx_quantiles
-    return quantiles(df, columns, {"median": 0.5}).select("feature", F.col("median").alias("value"))
+def numeric_medians(
+    df: DataFrame, columns: Sequence[str] = tuple(RATED_NUMERIC), exact: bool = True, count: str | None = None
+) -> DataFrame:
+    """(feature, value): median per column; ``count`` names how many rows a row stands for (exact medians only)."""
+    found = exact_quantiles(df, columns, {"median": 0.5}, count) if exact else approx_quantiles(df, columns, {"median": 0.5})
+    return found.select("feature", F.col("median").alias("value"))
 
 
 def categorical_modes(df: DataFrame, columns: Sequence[str] = tuple(MODEL_CATEGORICAL)) -> DataFrame:

@@ -1181,6 +1181,39 @@ SELECT CAST(v.event_id AS VARCHAR) AS id, v.user_id, CAST(p.event_id AS VARCHAR)
 FROM v LEFT JOIN p ON p.user_id=v.user_id AND p.ts>=v.ts AND p.ts<=v.ts + INTERVAL 2 HOUR""")
 
 
+@query("stream_first_outcome")
+def stream_first_outcome(spark, folder):
+    """Every view with the first purchase of the same user within two hours, and how many there were."""
+    events = _closing_stream(spark, folder)
+    viewed = events.where(F.col("source") == "view").select("id", "user_id", "created_at")
+    bought = _closing_stream(spark, folder).where(F.col("source") == "purchase").select("id", "user_id", "created_at")
+    matched = _run(spark, streams.first_outcomes(viewed, bought, "user_id"), "first-outcome").where("user_id >= 0")
+    return matched.select("id", "user_id", "first_outcome", "outcomes")
+
+
+sql("stream_first_outcome", """WITH v AS (SELECT * FROM events WHERE event_type='view'), p AS (SELECT * FROM events WHERE event_type='purchase')
+SELECT CAST(v.event_id AS VARCHAR) AS id, v.user_id, first(CAST(p.event_id AS VARCHAR) ORDER BY p.ts, CAST(p.event_id AS VARCHAR)) AS first_outcome,
+CAST(count(p.event_id) AS INT) AS outcomes
+FROM v LEFT JOIN p ON p.user_id=v.user_id AND p.ts>=v.ts AND p.ts<=v.ts + INTERVAL 2 HOUR GROUP BY v.event_id, v.user_id""")
+
+
+@query("stream_median_drift")
+def stream_median_drift(spark, folder):
+    """Median of observed over predicted value per day in a stream, and its verdict."""
+    stream = _closing_stream(spark, folder).withColumn("predicted", F.lit(40.0) + F.col("user_id") % 21)
+    sketches = _run(spark, streams.windowed_ratio_sketches(stream, "value", "predicted"), "median-drift")
+    daily = streams.drift_of_sketches(sketches)
+    return _round(daily, 6, "p10_ratio", "median_ratio", "p90_ratio").withColumn(
+        "period_start", F.date_format("period_start", "yyyy-MM-dd HH:mm:ss")
+    )
+
+
+sql("stream_median_drift", """WITH r AS (SELECT date_trunc('day',ts) AS d, value/(40.0::DOUBLE+user_id%21) AS q FROM events WHERE value IS NOT NULL),
+a AS (SELECT d, count(*) AS matched, quantile_disc(q,0.1) AS p10, quantile_disc(q,0.5) AS p50, quantile_disc(q,0.9) AS p90 FROM r GROUP BY d)
+SELECT strftime(d,'%Y-%m-%d %H:%M:%S') AS period_start, matched, round(p10,6) AS p10_ratio, round(p50,6) AS median_ratio, round(p90,6) AS p90_ratio,
+CASE WHEN p50>1.2 THEN 'under_predicted' WHEN p50<0.8 THEN 'over_predicted' ELSE 'within_band' END AS status FROM a""")
+
+
 @query("stream_sessions")
 def stream_sessions(spark, folder):
     sessions = _run(spark, streams.quoting_sessions(_closing_stream(spark, folder)), "sessions")

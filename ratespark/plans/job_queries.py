@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import CATEGORICAL_DEFAULTS, MODEL_CATEGORICAL, NUMERIC_DEFAULTS, RATING_COLUMNS, ExperimentConfig
 from ..config import ForestConfig, ModelConfig
-from ..operators import datasets, diagnostics, models, pricing, ranking, retraining, validate
+from ..operators import datasets, diagnostics, features, models, pricing, ranking, retraining, validate
 from ..runtime import scratch_path
 from ..sources import artifacts, readers, sample_book, store
 from . import experiments, harmonise, score, train
@@ -93,6 +93,51 @@ def comparison_json_files(spark, folder):
 sql("comparison_json_files", SQL["comparison_rmse_frame"])
 
 
+def _line_files(spark: SparkSession, folder: str, swap: bool = False) -> str:
+    """Orders as text lines in three files of unlike size, in key order; ``swap`` exchanges the first two keys' lines."""
+    orders = sample_book.table(spark, folder, "orders")
+    key = F.col("o_orderkey")
+    part = F.when(key % 10 < 6, "a").when(key % 10 < 9, "b").otherwise("c")
+    place = F.when(key == 1, F.lit(2)).when(key == 2, F.lit(1)).otherwise(key) if swap else key
+    lines = orders.select(place.alias("place"), F.concat_ws("|", key.cast("string"), "o_orderstatus", "o_orderpriority").alias("value"), part.alias("part"))
+    path = scratch_path(spark, "lines")
+    lines.repartition("part").sortWithinPartitions("part", "place").drop("place").write.partitionBy("part").text(path)
+    return path
+
+
+@query("file_order_ids")
+def file_order_ids(spark, folder):
+    """Rows of three files of unlike size numbered by file and line."""
+    path = _line_files(spark, folder)
+    lines = spark.read.schema("value string, part string").text(path)
+    numbered = features.fill_policy_ids(lines.select("value"), "file")
+    return numbered.select(F.substring_index("value", "|", 1).cast("long").alias("order_key"), "IDpol")
+
+
+sql("file_order_ids", """SELECT o_orderkey AS order_key, row_number() OVER (ORDER BY CASE WHEN o_orderkey%10<6 THEN 'a' WHEN o_orderkey%10<9 THEN 'b'
+ELSE 'c' END, o_orderkey) AS IDpol FROM orders""")
+
+
+@query("file_digests")
+def file_digests(spark, folder):
+    """Digest of every file, and of the same files with two lines swapped in one of them."""
+    out = None
+    for swapped in (False, True):
+        found = readers.file_digests(spark, _line_files(spark, folder, swapped)).select(
+            F.lit(swapped).alias("swapped"), F.regexp_extract("path", "part=([a-z])", 1).alias("part"), "lines", "digest"
+        )
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+sql("file_digests", """WITH l AS (SELECT s.swapped, CASE WHEN o_orderkey%10<6 THEN 'a' WHEN o_orderkey%10<9 THEN 'b' ELSE 'c' END AS part,
+  CASE WHEN swapped AND o_orderkey=1 THEN 2 WHEN swapped AND o_orderkey=2 THEN 1 ELSE o_orderkey END AS place,
+  sha256(concat_ws('|',CAST(o_orderkey AS VARCHAR),o_orderstatus,o_orderpriority)) AS d FROM orders, (VALUES (false),(true)) s(swapped)),
+n AS (SELECT *, row_number() OVER (PARTITION BY swapped, part ORDER BY place)-1 AS i, count(*) OVER (PARTITION BY swapped, part) AS lines FROM l),
+t AS (SELECT swapped, part, lines, i//4096 AS run, CASE WHEN count(*)=1 THEN min(d) ELSE sha256(string_agg(d,'' ORDER BY i)) END AS d FROM n GROUP BY ALL)
+SELECT swapped, part, lines, CASE WHEN count(*)=1 THEN min(d) ELSE sha256(string_agg(d,'' ORDER BY run)) END AS digest FROM t GROUP BY ALL""")
+
+
 @query("input_file_versions")
 def input_file_versions(spark, folder):
     """Every file of a written table has a size, a time and a fingerprint; a missing path says so."""

@@ -55,8 +55,10 @@ def score_csv(spark: SparkSession, source: str, target: str, models: str) -> Dat
     """Score a CSV into a CSV report; returns the malformed input rows."""
     policies, malformed = read_scoring_csv(spark, source)
     # Input without any ids is numbered; a gap in given ids gets a hash, which costs no pass over the rows.
-    missing = "hash" if POLICY_ID in canonical_columns(policies).columns else "position"
-    write_csv_report(predict_premiums(policies, load_artifacts(spark, models), missing_ids=missing), target)
+    policies = canonical_columns(policies)
+    if POLICY_ID not in policies.columns:
+        policies = fill_policy_ids(policies, "file")
+    write_csv_report(predict_premiums(policies, load_artifacts(spark, models), missing_ids="hash"), target)
     return malformed
 
 
@@ -64,7 +66,7 @@ def scenario_csv(spark: SparkSession, source: str, target: str, models: str) ->
     """Scenario report for every policy of a CSV; returns the malformed input rows."""
     policies, malformed = read_scoring_csv(spark, source)
     # Numbered once, before the variants are made, so that all variants of a policy share its id.
-    policies = fill_policy_ids(canonical_columns(policies), "position")
+    policies = fill_policy_ids(canonical_columns(policies), "file")
     scored = scored_scenarios(policies, scorer(load_artifacts(spark, models)))
     write_csv_report(scenario_report(scored), target, decimals=6)
     return malformed

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..config import CLAIM_AMOUNT, CLAIM_COUNT, FREQUENCY_COLUMNS, POLICY_ID, RATED_NUMERIC, SEVERITY_COLUMNS
+from ..operators.ranking import FILE_ORDER, prefix_sums, with_file_key
 from ..operators.validate import require_pricing_columns, validate_schema
 from ..schemas import BATCH_REQUEST
 
@@ -107,8 +108,7 @@ def read_comparison_runs(spark: SparkSession, path: str) -> DataFrame:
 def file_versions(spark: SparkSession, path: str) -> DataFrame:
     """(path, exists, size_bytes, modified_utc, fingerprint) per input file, for files of any size.
 
-    The fingerprint is the sum of the hashes of the file's lines, so a file is
-    hashed in pieces by many tasks and folded before it is sent. A path without files gives one row with ``exists``
+    The fingerprint is the digest of :func:`file_digests`, so a file is hashed in pieces by many tasks. A path without files gives one row with ``exists``
     false.
     """
     try:
@@ -122,17 +122,48 @@ def file_versions(spark: SparkSession, path: str) -> DataFrame:
     if not present:
         return spark.createDataFrame([(path, False)], "path string, exists boolean").select(
             "path", "exists", F.lit(None).cast("long").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified_utc"),
-            F.lit(None).cast("decimal(38,0)").alias("fingerprint"),
+            F.lit(None).cast("string").alias("fingerprint"),
         )
     listing = files.select(
         "path", F.lit(True).alias("exists"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_utc")
     )
-    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
-    counted = lines.select(F.col("_metadata.file_path").alias("path"), F.xxhash64("value").alias("line"))
-    hashed = counted.groupBy("path").agg(F.sum(F.col("line").cast("decimal(38,0)")).alias("fingerprint"))
+    hashed = file_digests(spark, path).select("path", F.col("digest").alias("fingerprint"))
     return listing.join(hashed, "path", "left")
 
 
+#: Rows of a file under one digest of the tree.
+TREE_WIDTH = 4096
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, lines, digest): SHA-256 of each text file's lines in their order, as a hash tree.
+
+    Each line has a digest; the digests of ``TREE_WIDTH`` lines that follow one another make one digest, and so on until
+    one is left, so any change, insertion or swap of lines changes it, whatever blocks the file is read in. Lines end at a
+    line feed; whether the last one does is not seen. No task holds more than ``TREE_WIDTH`` digests, and no line leaves its
+    task. An empty file has no lines and no row.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    keyed = with_file_key(lines).select(*FILE_ORDER, F.sha2("value", 256).alias("digest"))
+    one = F.lit(1).cast("long")
+    level = prefix_sums(keyed, FILE_ORDER, {"line": one}, by=["__file"], totals={"line": "lines"}).select(
+        F.col("__file").alias("path"), "lines", (F.col("line") - F.lit(1)).alias("spot"), "digest"
+    )
+    width = level.agg(F.max("lines")).first()[0] or 0
+    while width > 1:
+        level = _tree_level(level)
+        width = -(-width // TREE_WIDTH)
+    return level.select("path", "lines", "digest")
+
+
+def _tree_level(level: DataFrame) -> DataFrame:
+    """The digests of runs of ``TREE_WIDTH`` digests; a run of one stays as it is."""
+    runs = level.groupBy("path", "lines", F.floor(F.col("spot") / F.lit(TREE_WIDTH)).alias("run")).agg(
+        F.array_sort(F.collect_list(F.struct("spot", "digest"))).alias("members")
+    )
+    joined = F.sha2(F.array_join(F.col("members.digest"), ""), 256)
+    digest = F.when(F.size("members") == 1, F.col("members.digest")[0]).otherwise(joined)
+    return runs.select("path", "lines", F.col("run").alias("spot"), digest.alias("digest"))
+
+
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """(rows, fingerprint): order-independent content hash of a table of any size."""
     hashes = F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)"))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import PricingConfig
+from ..operators.drift import ratio_status
 from ..operators.features import build_inference_frame
 from ..operators.pricing import calculate_premium
 from ..sources.store import consented, quote_rows, read_batch, write_table
@@ -144,6 +145,88 @@ def match_outcomes(
     return left.join(right, condition, "leftOuter").drop("__key", "__slot", "__outcome_slot")
 
 
+def first_outcomes(
+    quotes: DataFrame, outcomes: DataFrame, key: str, within_seconds: int = 7200, delay: str = "1 hour", outcome_id: str = "id"
+) -> DataFrame:
+    """One row per quote: its columns, the first outcome of the same key in the time after it, and how many there were.
+
+    Two stateful steps follow each other. Outcomes are gathered per key and time slot under their watermark, so a slot
+    of a very active key is one row with the sorted times; each outcome counts for the two slots whose quotes it can
+    follow. A quote lies in one slot and so meets at most one such row: output and join state grow with the quotes and the
+    outcomes, never with their product. Of outcomes at the same time the one with the smaller id is first. A quote
+    without an outcome has a null outcome and zero. A slot's list holds one key's outcomes of twice ``within_seconds``.
+    """
+    span = F.expr(f"INTERVAL {within_seconds} SECONDS")
+    size = f"{within_seconds} seconds"
+    # an outcome belongs to the slot of its own time and to the one before
+    copies = F.explode(F.array(F.col(EVENT_TIME), F.col(EVENT_TIME) - span))
+    placed = outcomes.select(
+        F.col(key).alias("__key"), F.struct(F.col(EVENT_TIME).alias("at"), F.col(outcome_id).alias("id")).alias("outcome"), copies.alias("__slot_time")
+    )
+    # the copies lag by the span, and so does their watermark
+    gathered = (
+        placed.withWatermark("__slot_time", f"{within_seconds + _seconds(delay)} seconds")
+        .groupBy("__key", F.window("__slot_time", size).alias("__slot"))
+        .agg(F.array_sort(F.collect_list("outcome")).alias("__outcomes"))
+    )
+    # a stream may have one event time: the slot's
+    left = quotes.withColumn("__event", F.col(EVENT_TIME)).withWatermark("__event", delay).select(
+        *quotes.columns, F.window("__event", size).alias("__quote_slot")
+    )
+    joined = left.join(gathered, (F.col(key).eqNullSafe(F.col("__key"))) & (F.col("__quote_slot") == F.col("__slot")), "leftOuter")
+    after = F.filter("__outcomes", lambda o: (o["at"] >= F.col(EVENT_TIME)) & (o["at"] <= F.col(EVENT_TIME) + span))
+    return joined.withColumn("__after", F.coalesce(after, F.array().cast(_list_type(outcomes, outcome_id)))).select(
+        *quotes.columns, F.get("__after", F.lit(0))["id"].alias("first_outcome"), F.get("__after", F.lit(0))["at"].alias("first_outcome_at"),
+        F.size("__after").alias("outcomes"),
+    )
+
+
+def _list_type(outcomes: DataFrame, outcome_id: str) -> T.ArrayType:
+    """The type of a list of outcomes: their time and id."""
+    fields = [T.StructField("at", outcomes.schema[EVENT_TIME].dataType), T.StructField("id", outcomes.schema[outcome_id].dataType)]
+    return T.ArrayType(T.StructType(fields))
+
+
+def _seconds(interval: str) -> int:
+    """Seconds of an interval such as '1 hour'."""
+    number, unit = interval.split()
+    return int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")]
+
+
+#: Values that a window's sketch keeps at its widest level: medians are exact up to so many, beyond with a rank error of
+#: about 2.3 / SKETCH_SIZE.
+SKETCH_SIZE = 4096
+
+
+def windowed_ratio_sketches(
+    matched: DataFrame, actual: str, predicted: str, window: str = "1 day", delay: str = "1 hour"
+) -> DataFrame:
+    """(window_start, sketch): a mergeable quantile sketch of actual / predicted per window, the whole state of a window."""
+    ratio = F.try_divide(F.col(actual).cast("double"), F.nullif(F.col(predicted).cast("double"), F.lit(0.0)))
+    return (
+        matched.withColumn("__ratio", ratio).where(F.col("__ratio").isNotNull())
+        .withWatermark(EVENT_TIME, delay).groupBy(F.window(EVENT_TIME, window).alias("w"))
+        .agg(F.kll_sketch_agg_double("__ratio", SKETCH_SIZE).alias("sketch"))
+        .select(F.col("w.start").alias("window_start"), "sketch")
+    )
+
+
+def drift_of_sketches(sketches: DataFrame, period: str = "day") -> DataFrame:
+    """(period_start, matched, p10_ratio, median_ratio, p90_ratio, status) of the windows' merged sketches.
+
+    ``period`` is a unit of ``date_trunc``; merging moves one sketch per window and task.
+    """
+    merged = sketches.groupBy(F.date_trunc(period, "window_start").alias("period_start")).agg(
+        F.kll_merge_agg_double("sketch").alias("sketch")
+    )
+    at = {"p10_ratio": 0.1, "median_ratio": 0.5, "p90_ratio": 0.9}
+    found = merged.select(
+        "period_start", F.kll_sketch_get_n_double("sketch").alias("matched"),
+        *[F.kll_sketch_get_quantile_double("sketch", F.lit(share)).alias(name) for name, share in at.items()],
+    )
+    return found.withColumn("status", ratio_status(F.col("median_ratio")))
+
+
 def quoting_sessions(quotes: DataFrame, key: str = "user_id", gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """Bursts of quotes per user, closed after ``gap`` without a quote."""
     return (
