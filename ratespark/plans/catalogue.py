@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import CATEGORICAL_DEFAULTS, NUMERIC_DEFAULTS, RATING_COLUMNS, ExperimentConfig, ModelConfig, PricingConfig
 from ..functions.rating import md5_order
-from ..operators import book, datasets, diagnostics, drift, features, metrics, models, portfolios, pricing
+from ..operators import book, datasets, diagnostics, drift, features, isolation, metrics, models, portfolios, pricing
 from ..operators import ranking, retraining, sampling, scenarios, stats, validate
 from ..runtime import scratch_path
 from ..schemas import BATCH_REQUEST
@@ -1248,6 +1248,20 @@ def stream_scoring(spark, folder):
 
 
 # ---- the priced book ------------------------------------------------------------------------------------------------
+@query("isolation_outliers")
+def isolation_outliers(spark, folder):
+    """Policies with several factors moved to their far ends together: the forest ranks all of them first."""
+    moved = F.col("IDpol") % 3000 == 0
+    ends = {"DrivAge": 100.0, "VehAge": 100.0, "BonusMalus": 350.0, "VehPower": 20.0}
+    book = _policies(spark, folder).withColumns({c: F.when(moved, F.lit(v)).otherwise(F.col(c)) for c, v in ends.items()})
+    scored = isolation.isolation_scores(book, list(ends), "IDpol").select("IDpol", "isolation_score")
+    planted = book.where(moved).count()
+    return scored.orderBy(F.desc("isolation_score"), "IDpol").limit(planted).select("IDpol")
+
+
+sql("isolation_outliers", f"WITH {POL} SELECT IDpol FROM pol WHERE IDpol%3000=0")
+
+
 @query("lorenz_gini")
 def lorenz_gini(spark, folder):
     scored = _with_totals(spark, folder)

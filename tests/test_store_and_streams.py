@@ -239,3 +239,47 @@ def test_sessions(spark, tmp_path):
     sessions = streams.quoting_sessions(stream(spark, f"{tmp_path}/in"), "id")
     out = streams.run_to_table(sessions, f"{tmp_path}/out", f"{tmp_path}/cp").orderBy("session_start").collect()
     assert [r.quotes for r in out] == [2, 1]
+
+
+def test_one_row_per_quote_with_its_first_outcome(spark, tmp_path):
+    quotes, outcomes = f"{tmp_path}/q", f"{tmp_path}/o"
+    busy = [("u1", f"2024-01-01 01:{m:02d}:00", "q", float(m)) for m in range(0, 60, 2)]
+    bought = [("u1", f"2024-01-01 0{h}:{m:02d}:00", "o", 60.0 * h + m) for h in (1, 2, 3, 4) for m in range(1, 60, 4)]
+    late = [("u9", "2024-01-03 00:00:00", "q", -1.0)]
+    events(spark, *busy, ("u2", "2024-01-01 01:00:00", "q", 500.0), *late).coalesce(1).write.parquet(quotes)
+    events(spark, *bought, ("u2", "2024-01-01 00:59:59", "o", 1.0), ("u2", "2024-01-01 03:00:01", "o", 2.0), *late).coalesce(1).write.parquet(outcomes)
+    left, right = (stream(spark, p).select("id", "created_at", "value") for p in (quotes, outcomes))
+    matched = streams.first_outcomes(left, right, "id", outcome_id="value")
+    rows = [r for r in streams.run_to_table(matched, f"{tmp_path}/out", f"{tmp_path}/cp").collect() if r.value >= 0]
+    times = [60 * h + m for h in (1, 2, 3, 4) for m in range(1, 60, 4)]
+    for row in rows:
+        if row.id == "u2":
+            assert (row.first_outcome, row.outcomes) == (None, 0)
+        else:
+            after = [t for t in times if 60 + row.value <= t <= 180 + row.value]
+            assert (row.first_outcome, row.outcomes) == (min(after), len(after))
+    assert sorted(r.value for r in rows) == sorted([float(m) for m in range(0, 60, 2)] + [500.0])
+
+
+def test_late_rows_are_dropped_once_the_watermark_has_passed(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+    events(spark, ("a", "2024-01-01 10:00:00", "s", 1.0), ("b", "2024-01-05 00:00:00", "s", 1.0)).coalesce(1).write.parquet(folder)
+    daily = streams.volume_by_window(stream(spark, folder))
+    first = streams.run_to_table(daily, f"{tmp_path}/out", f"{tmp_path}/cp").collect()
+    assert [r.quotes for r in first] == [1]
+    events(spark, ("late", "2024-01-01 11:00:00", "s", 1.0), ("c", "2024-01-09 00:00:00", "s", 1.0)).coalesce(1).write.mode("append").parquet(folder)
+    again = streams.run_to_table(streams.volume_by_window(stream(spark, folder)), f"{tmp_path}/out", f"{tmp_path}/cp").collect()
+    assert sorted((str(r.window_start)[:10], r.quotes) for r in again) == [("2024-01-01", 1), ("2024-01-05", 1)]
+
+
+def test_median_drift_of_merged_windows(spark, tmp_path):
+    rows = [(f"p{d}-{i}", f"2024-01-{d:02d} 0{i % 9}:00:00", "s", float(i * d)) for d in (1, 2, 20) for i in range(1, 60)]
+    events(spark, *rows, ("z", "2024-03-01 00:00:00", "s", 1.0)).coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = stream(spark, f"{tmp_path}/in").withColumn("predicted", F.when(F.col("id") != "p1-1", 30.0))
+    sketches = streams.run_to_table(streams.windowed_ratio_sketches(source, "value", "predicted"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    daily = {str(r.period_start)[:10]: r for r in streams.drift_of_sketches(sketches).collect()}
+    assert [daily[d].matched for d in ("2024-01-01", "2024-01-02", "2024-01-20")] == [58, 59, 59]
+    assert daily["2024-01-02"].median_ratio == 2.0 and daily["2024-01-02"].status == "under_predicted"
+    month = streams.drift_of_sketches(sketches, "month").collect()
+    everything = sorted(r[3] / 30 for r in rows if r[0] != "p1-1")
+    assert len(month) == 1 and month[0].matched == 176 and month[0].median_ratio == everything[87]
