@@ -238,15 +238,24 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     degrees = live.groupBy("node").agg(F.sum("n").alias("degree"))
     leaders = live.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", -F.col("node"), "runs")).alias("l"))
     leaders = leaders.select("key", (-F.col("l.col2")).alias("leader"), F.col("l.runs").alias("leader_runs"))
-    stars = (
+    stars = stored(
         live.join(leaders, "key").where("node != leader").where(_comparable("runs", "leader_runs"))
-        .select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        .groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
     )
     texts = stored(
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.col(text), "UTF-8").alias("text"))
         .join(degrees.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     )
-    links = stored(linked(stars, texts))
+    # In waves: a text first meets only the leader it shares most buckets with, so its text moves once. Most texts are then
+    # linked, and of the other pairs only those between different components are left to try.
+    best = stars.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
+    wave = stored(linked(best, texts))
+    found = components(wave)
+    others = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        named = found.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        others = others.join(named, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    links = stored(wave.union(linked(others.where("root_a != root_b").select("a", "b"), texts)))
     roots = components(links)
 
     placed = live.join(roots, "node", "left").select("key", "n", "node", "runs", F.coalesce("root", "node").alias("root"))
