@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratespark.llm.text import WordHashes, mixed, ngrams, stored, words_of
+from ratespark.llm.text import WordHashes, mixed, ngrams, release, stored, words_of
 
 RUN_WORDS = 5
 THRESHOLD = 0.8
@@ -186,6 +186,8 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = stored(small.union(lower.select("u", F.col("m").alias("v"))).distinct())
+        del both, least, large, lower, small
+        release(edges.sparkSession)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -256,6 +258,8 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
         named = found.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
         others = others.join(named, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
     links = stored(wave.union(linked(others.where("root_a != root_b").select("a", "b"), texts)))
+    del wave, found, others, named
+    release(docs.sparkSession)
     roots = components(links)
 
     placed = live.join(roots, "node", "left").select("key", "n", "node", "runs", F.coalesce("root", "node").alias("root"))

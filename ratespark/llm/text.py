@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratespark.runtime import shared_dir
@@ -96,6 +98,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete what finished steps wrote: it drops shuffles and checkpoints of frames that nothing refers to.
+
+    The driver's collector finds those only when it runs, which a job of many small rounds may not make it do for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, share: int = 1000) -> DataFrame:
     """``rows`` left-joined with ``facts`` (one row per key), whose ``weight`` says at most how many rows have the key.
 
