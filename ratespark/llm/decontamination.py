@@ -181,30 +181,39 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with the hit words and all between them cut out of ``text``; other columns as they came."""
-    trimmed = docs
+    """``docs`` with the hit words and all between them cut out of ``text``; other columns as they came.
+
+    Spans of all blocks are found in the whole text and joined before anything is cut, so the result does not depend on how
+    the benchmark is divided, and a cut cannot make or hide a hit.
+    """
+    marked = docs.withColumn("__print", F.md5(F.col("text").cast("binary")))
+    rows = marked.select("doc_id", "text", "__print")
+    hits = [scanned(rows, block, window).where(F.size("spans") > 0) for block in item_blocks(benchmark, block_bytes)[1]]
+    if not hits:
+        return docs
+    # rows alike in id and text have the same spans
+    folded = reduce(DataFrame.union, hits).groupBy("doc_id", "__print").agg(_merged(F.flatten(F.collect_set("spans"))).alias("__spans"))
+    folded = folded.select(F.col("doc_id").alias("__other_id"), F.col("__print").alias("__other_print"), "__spans")
+    same = F.col("doc_id").eqNullSafe(F.col("__other_id")) & (F.col("__print") == F.col("__other_print"))
+    joined = marked.join(folded, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
     at = docs.columns.index("text")
-    for block in item_blocks(benchmark, block_bytes)[1]:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def trim(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = WindowSet(shared.value, window)
-            for batch in batches:
-                texts = [cut(t.as_py(), windows) for t in batch["text"]]
-                columns = [*batch.columns[:at], pa.array(texts, batch.schema.field(at).type), *batch.columns[at + 1 :]]
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [cut(t.as_py(), [(s["first"], s["last"]) for s in found or []]) for t, found in zip(batch["text"], spans)]
+            columns = [*batch.columns[:at], pa.array(texts, batch.schema.field(at).type), *batch.columns[at + 1 : -1]]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-        trimmed = trimmed.mapInArrow(trim, docs.schema)
-    return trimmed
+    return joined.mapInArrow(trim, docs.schema)
 
 
-def cut(text: str | None, windows: WindowSet) -> str | None:
-    words = words_of(text)
-    spans = windows.scan(words)[0] if words else []
+def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """``text`` without its words from ``first`` to ``last`` of each span, and what lies between them."""
     if not spans:
         return text
     raw, places, at = text.encode(), [], 0
-    for word in words:
+    for word in words_of(text):
         at = _skip(raw, at)
         places.append((at, at + len(word)))
         at += len(word)

@@ -84,3 +84,16 @@ def test_empty_tables(spark, make_docs):
     assert [r.contaminated for r in dc.judged(docs, bench(spark, [])).collect()] == [False, False]
     assert dc.judged(make_docs([]), bench(spark, ITEMS)).collect() == []
     assert dc.drop_contaminated(docs, bench(spark, [])).count() == 2
+
+
+def test_spans_of_all_blocks_are_cut_from_the_whole_text(spark, make_docs):
+    text = " ".join(f"w{i}" for i in range(20))
+    items = [(1, " ".join(f"w{i}" for i in range(10))), (2, " ".join(f"w{i}" for i in range(5, 15)))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = make_docs([(1, text), (1, text), (2, "clean words only"), (None, text), (3, None)])
+    one, many = (
+        sorted((r.doc_id or -1, r.text or "") for r in dc.without_spans(docs, benchmark, block_bytes=size).collect()) for size in (1 << 20, 1)
+    )
+    assert one == many
+    for doc_id, left in one:
+        assert doc_id in (2, 3) or words(left)[-5:] == [f"w{i}" for i in range(15, 20)] and not {f"w{i}" for i in range(15)} & set(words(left))
