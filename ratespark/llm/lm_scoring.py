@@ -5,15 +5,19 @@ vocabulary: every word of the documents. Both are counted over all documents; a
 word frequencies. A document's score is the mean over its words of the loss under the target less the loss under the
 background: the lower, the more target-like.
 
-Words with a share of at least ``SHARE`` of all words, at most 1 / SHARE of them, only steer the plan: pairs of two such
-words are the ones that many documents share, so their counts are added up in tables of at most (1 / SHARE + 9)^2 cells,
-whatever the corpus, and go to the tasks. Every other pair becomes a row, dealt by its rarer-than-``SHARE`` word (its second if
-both are); that task has all rows of the word, so it counts the word and its pairs and gives each row its losses. These
-rows grow with the corpus and never reach the driver. Words are told apart by 63 bits of their hash there.
+Two lists of words only steer the plan. Pairs of two words with a share of at least ``SHARE`` of all words each are the ones
+that many documents share: their counts are added up in tables of at most (1 / SHARE + 1)^2 cells, whatever the corpus, and
+go to the tasks. Words with at least ``KNOWN_SHARE`` (at most 1 / KNOWN_SHARE of them) have their own counts sent to the tasks, so
+that other pairs of two such words can be dealt by pair. Every pair with a rarer word is dealt by that word (the second if both
+are rarer): the part that holds it has all its pairs, counts the word and the pairs and works out their losses. So no
+word with more than ``KNOWN_SHARE`` of all words is dealt to one place. Pairs travel in packs, one per task buffer and part, with
+their columns' bytes transposed and compressed; the number of parts grows with the corpus, so that a part stays near ``PART_ROWS``
+pairs. Nothing of this reaches the driver. Rarer words are told apart by 63 bits of their hash.
 
 Defined cases: null and wordless texts have no losses and a null score; repeated documents and labels: each document row
 counts, labels are folded by id first (good only if no label says otherwise); without a target both models rest on the
-smoothing alone, which makes all scores depend on the background only; an empty table gives an empty result.
+smoothing alone, which makes all scores depend on the background only; an empty table gives an empty result. Very long texts
+are scored whole, in the memory of one text. Columns beside doc_id and text are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,17 +31,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratespark.llm.text import REMEMBERED_WORDS, WORD_BYTES, stored
+from ratespark.llm.text import REMEMBERED_WORDS, WORD_BYTES, mixed, release, stored
 
 SHARE = 1 / 2000
-SHAPES = 8
+KNOWN_SHARE = 1 / 100_000
+#: Added to the number of distinct words: the start of a text and eight words never seen.
+UNSEEN = 9
 #: Pseudo-counts that the word frequencies add to each context.
 SMOOTHING = 50.0
 COUNTED_WORDS = 300_000
-#: Added to a frequent word that stands after a rare one, so that it is no word before it.
+#: Added to a known word that stands second, so that it is no word before the key.
 AFTER = 1 << 40
-#: Rows that a task holds, besides those of one word, before it works out their losses.
-HELD_ROWS = 200_000
+#: Pairs that a task holds before it packs them.
+HELD_ROWS = 1_000_000
+#: Pairs that a part is meant to hold.
+PART_ROWS = 2_000_000
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -65,217 +73,231 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Vocabulary:
-    """Numbers of words: 0 before the first, then the listed words, then shapes of all others."""
+class WordKeys:
+    """Numbers from 1 of known words, and hashes below zero of all others."""
 
     def __init__(self, words: list[bytes]) -> None:
-        self.listed = {word: i + 1 for i, word in enumerate(sorted(words))}
-        self.size = len(words) + 1 + SHAPES
-        self.known: dict[bytes, int] = {}
+        self.numbers = {word: i + 1 for i, word in enumerate(words)}
+        self.remembered: dict[bytes, int] = {}
 
-    def number(self, word: bytes) -> int:
-        return self.listed.get(word) or len(self.listed) + 1 + min(len(word) // 4, 3) + 4 * (not word.isascii())
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        remembered = self.remembered
+        if len(remembered) > REMEMBERED_WORDS:
+            remembered.clear()
+        for word in set(words).difference(remembered):
+            remembered[word] = self.numbers.get(word) or -1 - (xxhash.xxh3_64_intdigest(word) >> 1)
+        return np.fromiter(map(remembered.__getitem__, words), np.int64, len(words))
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = self.number(word)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    def pairs(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """Of all texts: their numbers of words, each word's text, the word, and the word before it (0: none)."""
+        tokens = [(value.as_py() or b"").translate(WORD_BYTES).split() for value in texts]
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        word = np.concatenate([*map(self, tokens), np.empty(0, np.int64)])
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        first = np.ones(len(word), bool)
+        first[1:] = doc[1:] != doc[:-1]
+        return sizes, doc, word, np.where(first, 0, np.roll(word, 1))
 
-    def pairs(self, words: list[bytes]) -> np.ndarray:
-        """Each word with the one before it, as one number."""
-        numbers = self.numbers(words)
-        return np.concatenate([[0], numbers[:-1]]) * self.size + numbers
 
+def all_words(counts: DataFrame) -> int:
+    """The number of all words, from ``word_counts``."""
+    row = counts.where("length(word) = 0").agg(F.sum("n")).first()
+    return row[0] or 0
 
-class WordKeys:
-    """Numbers of listed words, and hashes below zero of all others."""
 
-    def __init__(self, words: list[bytes]) -> None:
-        self.listed = Vocabulary(words).listed
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = self.listed.get(word) or -1 - (xxhash.xxh3_64_intdigest(word) >> 1)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+def frequent_words(counts: DataFrame, share: float) -> list[tuple[bytes, int]]:
+    """The words with at least ``share`` of all words, at most 1 / share of them, the most frequent first, with their counts."""
+    rows = counts.where(F.length("word") > 0).where(F.col("n") >= share * all_words(counts)).collect()
+    return sorted(((bytes(row.word), row.n) for row in rows), key=lambda item: (-item[1], item[0]))
 
 
 def common_words(docs: DataFrame, share: float = SHARE, text: str = "text") -> list[bytes]:
-    """The words with at least ``share`` of all words; as there are at most 1 / share, the most frequent suffice."""
-    return most_common(word_counts(docs, text), share)
+    return [word for word, _ in frequent_words(stored(word_counts(docs, text)), share)]
+
 
+class Model:
+    """The part of a model that the tasks get: known words' frequencies and contexts, and the losses of listed pairs."""
 
-def most_common(counts: DataFrame, share: float = SHARE) -> list[bytes]:
-    """``common_words`` from the counts."""
-    rows = counts.orderBy(F.desc("n"), "word").limit(int(1 / share) + 1).collect()
-    total = max((row.n for row in rows), default=0)
-    return [bytes(row.word) for row in rows if row.word and row.n >= share * total]
+    def __init__(self, counts: np.ndarray, listed: int, known: int, size: int, smoothing: float = SMOOTHING) -> None:
+        pairs, firsts, seconds, total = np.split(counts, np.cumsum([(listed + 1) ** 2, known + 1, known + 1]))
+        self.smoothing, self.total, self.size = smoothing, total[0], size
+        self.priors = smoothing * (seconds + 0.5) / (self.total + 0.5 * size)
+        self.contexts = np.log(firsts + smoothing)
+        #: Minus log of p(word | word before).
+        self.losses = (self.contexts[: listed + 1, None] - np.log(pairs.reshape(listed + 1, -1) + self.priors[: listed + 1])).astype(np.float32)
 
 
-def pair_counts(marked: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of listed and shaped word pairs in all rows of ``marked`` (``text``, ``target``) and in those of the target."""
+def model_counts(marked: DataFrame, words: list[bytes], listed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Over all rows of ``marked`` (``text``, ``target``) and over those of the target, in one array each: pairs of the first
+    ``listed`` words, known words as first and as second of a pair, and the total."""
     shared = marked.sparkSession.sparkContext.broadcast(words)
+    cells, known = (listed + 1) ** 2, len(words) + 1
+    length = cells + 2 * known + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
-        cells = vocabulary.size**2
-        sums = np.zeros((2, cells), np.int64)
+        keys = WordKeys(shared.value)
+        sums = np.zeros((2, length), np.int64)
         for batch in batches:
-            pairs: list[list[np.ndarray]] = [[], []]
-            for value, target in zip(batch["text"], batch["target"].to_pylist()):
-                if tokens := (value.as_py() or b"").translate(WORD_BYTES).split():
-                    pairs[target].append(vocabulary.pairs(tokens))
-            for side in (0, 1):
-                if pairs[side]:
-                    sums[side] += np.bincount(np.concatenate(pairs[side]), minlength=cells)
+            _, doc, word, before = keys.pairs(batch["text"])
+            good = batch["target"].to_numpy()[doc] == 1
+            both = (word > 0) & (word <= listed) & (before >= 0) & (before <= listed)
+            for side, chosen in ((0, ~good), (1, good)):
+                at = chosen & both
+                sums[side, :cells] += np.bincount(before[at] * (listed + 1) + word[at], minlength=cells)
+                sums[side, cells : cells + known] += np.bincount(before[chosen & (before >= 0)], minlength=known)
+                sums[side, cells + known : -1] += np.bincount(word[chosen & (word > 0)], minlength=known)
+                sums[side, -1] += chosen.sum()
         at = np.flatnonzero(sums.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.sum(axis=0)[at]), pa.array(sums[1][at])], names=["pair", "n", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.sum(axis=0)[at]), pa.array(sums[1][at])], names=["cell", "n", "target"])
 
-    summed = marked.mapInArrow(count, "pair long, n long, target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
-    size = Vocabulary(words).size
+    summed = marked.mapInArrow(count, "cell long, n long, target long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
     table = summed.toArrow()
-    everything, target = np.zeros(size**2), np.zeros(size**2)
-    at = table["pair"].to_numpy()
+    everything, target = np.zeros(length), np.zeros(length)
+    at = table["cell"].to_numpy()
     everything[at], target[at] = table["n"].to_numpy(), table["target"].to_numpy()
-    return everything.reshape(size, size), target.reshape(size, size)
+    return everything, target
 
 
-class Model:
-    """The part of a model that rests on the listed words: their frequencies, contexts and pairs."""
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers with their bytes transposed, so that the high ones compress away."""
+    raw = np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
-    def __init__(self, counts: np.ndarray, listed: int, size: int, smoothing: float = SMOOTHING) -> None:
-        self.smoothing, self.total, self.size = smoothing, counts.sum(), size
-        self.priors = smoothing * self.frequency(counts.sum(axis=0)[: listed + 1])
-        self.contexts = np.log(counts.sum(axis=1)[: listed + 1] + smoothing)
-        #: Minus log of p(word | word before) of listed words.
-        self.losses = (self.contexts[:, None] - np.log(counts[: listed + 1, : listed + 1] + self.priors)).astype(np.float32)
 
-    def frequency(self, n: np.ndarray) -> np.ndarray:
-        return (n + 0.5) / (self.total + 0.5 * self.size)
+def unpacked(pack: bytes) -> np.ndarray:
+    n = int.from_bytes(pack[:8], "little")
+    raw = pa.Codec("zstd").decompress(pack[8:], 8 * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.int64)[:, 0]
 
 
-def pair_rows(marked: DataFrame, words: list[bytes], models: tuple[Model, Model]) -> DataFrame:
-    """Per document a row with ``own`` (its id, words, and what the listed words add to its losses), and a row per pair with other words.
+def pair_packs(marked: DataFrame, words: list[bytes], listed: int, models: tuple[Model, Model], parts: int) -> DataFrame:
+    """Per document a row with ``own`` (its id, words, and what known counts add to its losses); and packs of all other pairs by ``part``.
 
-    ``key`` is the other word, ``beside`` the word before it, or the listed word after it plus ``AFTER``. ``tag`` is the
-    document's row times 4, plus 2 in the target, plus 1 if the word has a next one.
+    ``key`` is the rarer word, or a number of the pair if both words are known; ``beside`` the word before it, or the known word
+    after it plus ``AFTER``. ``tag`` is the document's row times 4, plus 2 in the target, plus 1 if the word has a next one.
     """
     shared = marked.sparkSession.sparkContext.broadcast((words, [(m.losses, m.contexts) for m in models]))
     number = dict(marked.dtypes)["doc_id"]
+    names = ["part", "row", "own", "tag", "key", "beside"]
+
+    def packs(held: list[list[np.ndarray]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        tag, key, beside = map(np.concatenate, held)
+        part = (mixed(key.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((key, part))
+        found, starts = np.unique(part[order], return_index=True)
+        for p, at in zip(found, np.split(order, starts[1:])):
+            columns = [pa.array([packed(column[at])], pa.binary()) for column in (tag, key, beside)]
+            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.nulls(1, pa.int64()), pa.nulls(1, kind), *columns], names=names)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tables = shared.value
         keys = WordKeys(words)
+        held: list[list[np.ndarray]] = [[], [], []]
+        kind = None
         for batch in batches:
-            tokens = [(value.as_py() or b"").translate(WORD_BYTES).split() for value in batch["text"]]
-            sizes = np.array([len(t) for t in tokens], np.int64)
-            word = np.concatenate([*(keys(t) for t in tokens), np.empty(0, np.int64)])
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            first = np.ones(len(word), bool)
-            first[1:] = doc[1:] != doc[:-1]
-            before = np.where(first, 0, np.roll(word, 1))
-            follows = ~np.roll(first, -1)
-            own = []
-            listed, opens = (word >= 0) & (before >= 0), (word < 0) & (before >= 0)
-            for losses, contexts in tables:
-                own.append(
-                    np.bincount(doc[listed], losses[before[listed], word[listed]], len(sizes)) + np.bincount(doc[opens], contexts[before[opens]], len(sizes))
-                )
+            sizes, doc, word, before = keys.pairs(batch["text"])
+            both = (word > 0) & (word <= listed) & (before >= 0) & (before <= listed)
+            opens = (before >= 0) & ~both
+            own = [
+                np.bincount(doc[both], losses[before[both], word[both]], len(sizes)) + np.bincount(doc[opens], contexts[before[opens]], len(sizes))
+                for losses, contexts in tables
+            ]
             rows = batch["row"].to_numpy()
-            tags = rows * 4 + 2 * batch["target"].to_numpy()
-            at, after = np.flatnonzero(word < 0), np.flatnonzero((word >= 0) & (before < 0))
-            n = len(at) + len(after)
             struct = pa.StructArray.from_arrays(
                 [batch["doc_id"], pa.array(sizes), pa.array(own[0], pa.float64()), pa.array(own[1], pa.float64())], ["doc_id", "n", "background", "target"]
             )
-            names = ["tag", "key", "beside", "own"]
-            yield pa.RecordBatch.from_arrays([pa.array(tags), pa.array(rows), pa.array(np.zeros_like(rows)), struct], names=names)
-            for i in range(0, n, HELD_ROWS):
-                part = np.concatenate([at, after])[i : i + HELD_ROWS]
-                second = word[part] < 0
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(tags[doc[part]] + (second & follows[part])), pa.array(np.where(second, word[part], before[part])),
-                        pa.array(np.where(second, before[part], word[part] + AFTER)), pa.nulls(len(part), struct.type),
-                    ],
-                    names=names,
-                )
-
-    return marked.mapInArrow(find, f"tag long, key long, beside long, own struct<doc_id: {number}, n: long, background: double, target: double>")
-
-
-def pair_losses(rows: DataFrame, models: tuple[Model, Model], number: str) -> DataFrame:
+            kind, empty = struct.type, pa.nulls(len(rows), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(rows % parts), pa.array(rows), struct, empty, empty, empty], names=names)
+            follows = np.zeros(len(word), bool)
+            follows[:-1] = doc[1:] == doc[:-1]
+            at = np.flatnonzero(~both)
+            rare, known = word[at] < 0, (word[at] > 0) & (before[at] >= 0)
+            held[0].append((rows * 4 + 2 * batch["target"].to_numpy())[doc[at]] + (rare & follows[at]))
+            held[1].append(np.where(rare, word[at], np.where(known, (before[at] << 20) + word[at], before[at])))
+            held[2].append(np.where(rare, before[at], word[at] + AFTER))
+            if sum(map(len, held[0])) > HELD_ROWS:
+                yield from packs(held, kind)
+                held = [[], [], []]
+        if sum(map(len, held[0])):
+            yield from packs(held, kind)
+
+    own = f"own struct<doc_id: {number}, n: long, background: double, target: double>"
+    return marked.mapInArrow(find, f"part long, row long, {own}, tag binary, key binary, beside binary")
+
+
+def pair_losses(packs: DataFrame, models: tuple[Model, Model], number: str) -> DataFrame:
     """Parts of the documents' losses: ``row``, ``doc_id`` and ``n`` (once per document), ``background`` and ``target``."""
-    shared = rows.sparkSession.sparkContext.broadcast([(m.smoothing, m.priors, m.total, m.size) for m in models])
+    shared = packs.sparkSession.sparkContext.broadcast([(m.smoothing, m.priors, m.total, m.size) for m in models])
+    names = ["row", "doc_id", "n", "background", "target"]
 
-    def losses(tag: np.ndarray, key: np.ndarray, beside: np.ndarray, model: tuple, weights: np.ndarray) -> np.ndarray:
-        """Of rows in order of ``key`` and ``beside``, with all rows of their keys."""
+    def losses(tag: np.ndarray, beside: np.ndarray, word: np.ndarray, pair: np.ndarray, model: tuple, weights: np.ndarray) -> np.ndarray:
+        """Of the pairs of whole words, ``word`` and ``pair`` numbering both."""
         smoothing, priors, total, size = model
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        word = np.cumsum(new) - 1
-        new[1:] |= beside[1:] != beside[:-1]
-        pair = np.cumsum(new) - 1
         second = beside < AFTER
         count = np.bincount(word, weights * second)[word]
-        context = np.log(np.bincount(word, weights * (tag & 1))[word] + smoothing)
+        context = np.log(np.bincount(word, weights * (tag & 1)) + smoothing)[word]
         prior = np.where(second, smoothing * (count + 0.5) / (total + 0.5 * size), priors[np.where(second, 0, beside - AFTER)])
         # The word's own context belongs to the pair after it.
         return (tag & 1) * context - np.log(np.bincount(pair, weights)[pair] + prior)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
-        names = ["row", "doc_id", "n", "background", "target"]
 
-        def parts(held: list[np.ndarray]) -> pa.RecordBatch:
-            order = np.lexsort((held[2], held[1]))
-            tag, key, beside = (column[order] for column in held)
-            both = [losses(tag, key, beside, m, w) for m, w in zip(models, (np.ones(len(tag)), (tag >> 1 & 1).astype(float)))]
+        def sums(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            tag, key, beside = (np.concatenate([unpacked(pack[i]) for pack in held]) for i in range(3))
+            order = np.lexsort((beside, key))
+            tag, key, beside = tag[order], key[order], beside[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            word = np.cumsum(new) - 1
+            new[1:] |= beside[1:] != beside[:-1]
+            pair = np.cumsum(new) - 1
+            weights = (np.ones(len(tag)), (tag >> 1 & 1).astype(float))
+            both = [losses(tag, beside, word, pair, m, w) for m, w in zip(models, weights)]
             row, at = np.unique(tag >> 2, return_inverse=True)
-            sums = [pa.array(np.bincount(at, b, len(row)).astype(np.float32)) for b in both]
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), kind), pa.nulls(len(row), pa.int64()), *sums], names=names)
+            found = [pa.array(np.bincount(at, b, len(row)).astype(np.float32)) for b in both]
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), kind), pa.nulls(len(row), pa.int64()), *found], names=names)
 
-        held: list[list[np.ndarray]] = [[], [], []]
+        held: list[tuple] = []
+        part, kind = None, None
         for batch in batches:
-            own = batch.filter(batch["own"].is_valid())
             kind = batch.schema.field("own").type[0].type
+            own = batch.filter(batch["own"].is_valid())
             if len(own):
-                doc_id, n, *sums = own["own"].flatten()
-                yield pa.RecordBatch.from_arrays([own["key"], doc_id, n, *(s.cast(pa.float32()) for s in sums)], names=names)
-            for column, name in zip(held, ("tag", "key", "beside")):
-                column.append(batch.filter(batch["own"].is_null())[name].to_numpy())
-            if sum(map(len, held[1])) > HELD_ROWS:
-                whole = [np.concatenate(column) for column in held]
-                end = np.searchsorted(whole[1], whole[1][-1])  # the last word may go on
-                if end:
-                    yield parts([column[:end] for column in whole])
-                held = [[column[end:]] for column in whole]
-        if held[1] and sum(map(len, held[1])):
-            yield parts([np.concatenate(column) for column in held])
-
-    dealt = rows.repartition("key").sortWithinPartitions("key")  # a single whole number sorts by its bits
+                doc_id, n, *parts = own["own"].flatten()
+                yield pa.RecordBatch.from_arrays([own["row"], doc_id, n, *(s.cast(pa.float32()) for s in parts)], names=names)
+            others = batch.filter(batch["own"].is_null())
+            for p, *columns in zip(others["part"].to_pylist(), *(others[name] for name in ("tag", "key", "beside"))):
+                if p != part and held:
+                    yield sums(held, kind)
+                    held = []
+                part = p
+                held.append(tuple(column.as_py() for column in columns))
+        if held:
+            yield sums(held, kind)
+
+    dealt = packs.repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(work, f"row long, doc_id {number}, n long, background float, target float")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of ``docs``, the target being the documents that ``labels`` call good (quality 1, toxic 0)."""
+    spark = docs.sparkSession
     counts = stored(word_counts(docs))
-    words = most_common(counts)
-    size = counts.where("length(word) > 0").count() + 1 + SHAPES
+    total = all_words(counts)
+    known = frequent_words(counts, KNOWN_SHARE)
+    words, listed = [word for word, _ in known], sum(n >= SHARE * total for _, n in known)
+    size = counts.where(F.length("word") > 0).count() + UNSEEN
     good = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(
         F.min(F.when((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good")
     )
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.encode("text", "UTF-8").alias("text"))
     joined = rows.join(good.hint("merge"), F.col("doc_id") == F.col("__id"), "left")  # labels grow with the documents: never broadcast
     marked = joined.select("row", "doc_id", "text", F.coalesce("good", F.lit(0)).alias("target"))
-    models = tuple(Model(table, len(words), size) for table in pair_counts(marked.select("text", "target"), words))
-    parts = pair_losses(pair_rows(marked, words, models), models, dict(docs.dtypes)["doc_id"])
+    models = tuple(Model(table, listed, len(words), size) for table in model_counts(marked.select("text", "target"), words, listed))
+    release(spark)  # the first pass's copy of the texts
+    packs = pair_packs(marked, words, listed, models, max(1, -(-total // PART_ROWS)))
+    parts = pair_losses(packs, models, dict(docs.dtypes)["doc_id"])
     summed = parts.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.sum("target").alias("target"), F.sum("background").alias("background")
     )

@@ -10,13 +10,13 @@ LABELS = "doc_id long, quality int, toxic int"
 
 
 def brute(rows, good, listed):
-    vocabulary = lm.Vocabulary([w.encode() for w in listed])
-    size = vocabulary.size
+    numbers = {w: i + 1 for i, w in enumerate(sorted(listed))}
+    size = len(listed) + lm.UNSEEN
 
     def table(texts):
         counts = Counter()
         for t in texts:
-            n = [0] + [vocabulary.number(w.encode()) for w in words(t)]
+            n = [0] + [numbers[w] for w in words(t)]
             counts.update(zip(n, n[1:]))
         return counts
 
@@ -28,7 +28,7 @@ def brute(rows, good, listed):
     background, target = table(t for _, t, *_ in rows), table(t for i, t, *_ in rows if i in good)
     out = {}
     for i, t, *_ in rows:
-        n = [0] + [vocabulary.number(w.encode()) for w in words(t)]
+        n = [0] + [numbers[w] for w in words(t)]
         pairs = list(zip(n, n[1:]))
         out[i] = (np.mean([loss(target, *p) for p in pairs]), np.mean([loss(background, *p) for p in pairs])) if pairs else (None, None)
     return out
@@ -84,9 +84,12 @@ def test_rare_words_are_told_apart(spark, make_docs, monkeypatch):
     docs = [(i, " ".join(["the", "of"][(i + k) % 2] for k in range(40)) + (" remedy" if i < 5 else " poison") + (f" once{i:02}" if i % 2 else "")) for i in range(10)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(3)], LABELS)
     expected = brute(docs, {0, 1, 2}, sorted({w for _, t in docs for w in words(t)}))
-    monkeypatch.setattr(lm, "most_common", lambda counts: [b"of", b"the"])
-    for held in (lm.HELD_ROWS, 2):
-        monkeypatch.setattr(lm, "HELD_ROWS", held)
+    # Listed, known and rare words in turn, with packs and parts large and small.
+    for shares in ((1 / 10, 1 / 20), (1 / 10, 1 / 200), (1 / 3, 1 / 2000), (2, 2)):
+        monkeypatch.setattr(lm, "SHARE", shares[0])
+        monkeypatch.setattr(lm, "KNOWN_SHARE", shares[1])
+        monkeypatch.setattr(lm, "HELD_ROWS", 2 if shares[0] == 2 else 1_000_000)
+        monkeypatch.setattr(lm, "PART_ROWS", 2_000_000 if shares[1] == 1 / 20 else 50)
         got = {r.doc_id: r for r in lm.cross_entropy_difference(make_docs(docs), labels).collect()}
         for i, (target, background) in expected.items():
             assert abs(got[i].target_loss - target) < 1e-4 and abs(got[i].background_loss - background) < 1e-4
@@ -97,3 +100,8 @@ def test_words_below_the_share_keep_their_own_counts(spark, make_docs):
     docs = [(i, " ".join(["the"] * 3000) + (" remedy" if i < 2 else " poison")) for i in range(4)]
     got = {r.doc_id: r.score for r in lm.cross_entropy_difference(make_docs(docs), spark.createDataFrame([(0, 1, 0)], LABELS)).collect()}
     assert got[1] < got[3]
+
+
+def test_packs_round_trip():
+    for values in ([], [0], [-(1 << 63), (1 << 63) - 1, 5, -1], list(range(1000))):
+        assert lm.unpacked(lm.packed(np.array(values, np.int64))).tolist() == values
