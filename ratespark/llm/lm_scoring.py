@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratespark.llm.text import REMEMBERED_WORDS, WORD_BYTES, mixed, release, stored
+from ratespark.llm.text import REMEMBERED_WORDS, WORD_BYTES, mixed, stored, stored_alone
 
 SHARE = 1 / 2000
 KNOWN_SHARE = 1 / 100_000
@@ -46,6 +46,8 @@ AFTER = 1 << 40
 HELD_ROWS = 1_000_000
 #: Pairs that a part is meant to hold.
 PART_ROWS = 2_000_000
+#: Documents whose losses are meant to be summed in one place.
+SUMMED_DOCUMENTS = 20_000
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -151,7 +153,7 @@ def model_counts(marked: DataFrame, words: list[bytes], listed: int) -> tuple[np
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.sum(axis=0)[at]), pa.array(sums[1][at])], names=["cell", "n", "target"])
 
     summed = marked.mapInArrow(count, "cell long, n long, target long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
-    table = summed.toArrow()
+    table = stored_alone(summed).toArrow()  # the shuffled texts go at once
     everything, target = np.zeros(length), np.zeros(length)
     at = table["cell"].to_numpy()
     everything[at], target[at] = table["n"].to_numpy(), table["target"].to_numpy()
@@ -221,14 +223,13 @@ def pair_packs(marked: DataFrame, words: list[bytes], listed: int, models: tuple
         if sum(map(len, held[0])):
             yield from packs(held, kind)
 
-    own = f"own struct<doc_id: {number}, n: long, background: double, target: double>"
-    return marked.mapInArrow(find, f"part long, row long, {own}, tag binary, key binary, beside binary")
+    return marked.mapInArrow(find, f"part long, row long, {own_type(number)}, tag binary, key binary, beside binary")
 
 
-def pair_losses(packs: DataFrame, models: tuple[Model, Model], number: str) -> DataFrame:
-    """Parts of the documents' losses: ``row``, ``doc_id`` and ``n`` (once per document), ``background`` and ``target``."""
+def pair_losses(packs: DataFrame, models: tuple[Model, Model], number: str, places: int) -> DataFrame:
+    """The documents' losses in packs by ``place``, besides the rows with ``own``, which go on."""
     shared = packs.sparkSession.sparkContext.broadcast([(m.smoothing, m.priors, m.total, m.size) for m in models])
-    names = ["row", "doc_id", "n", "background", "target"]
+    names = ["place", "row", "own", "rows", "background", "target"]
 
     def losses(tag: np.ndarray, beside: np.ndarray, word: np.ndarray, pair: np.ndarray, model: tuple, weights: np.ndarray) -> np.ndarray:
         """Of the pairs of whole words, ``word`` and ``pair`` numbering both."""
@@ -243,7 +244,7 @@ def pair_losses(packs: DataFrame, models: tuple[Model, Model], number: str) -> D
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
 
-        def sums(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        def sums(held: list[tuple]) -> tuple[np.ndarray, ...]:
             tag, key, beside = (np.concatenate([unpacked(pack[i]) for pack in held]) for i in range(3))
             order = np.lexsort((beside, key))
             tag, key, beside = tag[order], key[order], beside[order]
@@ -254,36 +255,95 @@ def pair_losses(packs: DataFrame, models: tuple[Model, Model], number: str) -> D
             pair = np.cumsum(new) - 1
             weights = (np.ones(len(tag)), (tag >> 1 & 1).astype(float))
             both = [losses(tag, beside, word, pair, m, w) for m, w in zip(models, weights)]
-            row, at = np.unique(tag >> 2, return_inverse=True)
-            found = [pa.array(np.bincount(at, b, len(row)).astype(np.float32)) for b in both]
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), kind), pa.nulls(len(row), pa.int64()), *found], names=names)
+            return added(tag >> 2, *both)
+
+        def packs(found: list[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            row, *both = added(*map(np.concatenate, zip(*found)))
+            place = (mixed(row.view(np.uint64)) % np.uint64(places)).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            goals, starts = np.unique(place[order], return_index=True)
+            for goal, at in zip(goals, np.split(order, starts[1:])):
+                columns = [packed(row[at]), *(values[at].astype(np.float32).tobytes() for values in both)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([goal]), pa.nulls(1, pa.int64()), pa.nulls(1, kind), *(pa.array([c], pa.binary()) for c in columns)], names=names
+                )
 
         held: list[tuple] = []
+        found: list[tuple] = []
         part, kind = None, None
         for batch in batches:
-            kind = batch.schema.field("own").type[0].type
+            kind = batch.schema.field("own").type
             own = batch.filter(batch["own"].is_valid())
             if len(own):
-                doc_id, n, *parts = own["own"].flatten()
-                yield pa.RecordBatch.from_arrays([own["row"], doc_id, n, *(s.cast(pa.float32()) for s in parts)], names=names)
+                yield pa.RecordBatch.from_arrays([own["row"], own["row"], own["own"], *[pa.nulls(len(own), pa.binary())] * 3], names=names)
             others = batch.filter(batch["own"].is_null())
             for p, *columns in zip(others["part"].to_pylist(), *(others[name] for name in ("tag", "key", "beside"))):
                 if p != part and held:
-                    yield sums(held, kind)
+                    found.append(sums(held))
                     held = []
+                    if sum(len(f[0]) for f in found) > HELD_ROWS:
+                        yield from packs(found, kind)
+                        found = []
                 part = p
                 held.append(tuple(column.as_py() for column in columns))
         if held:
-            yield sums(held, kind)
+            found.append(sums(held))
+        if found:
+            yield from packs(found, kind)
 
     dealt = packs.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(work, f"row long, doc_id {number}, n long, background float, target float")
+    return dealt.mapInArrow(work, f"place long, row long, {own_type(number)}, rows binary, background binary, target binary")
+
+
+def added(row: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct rows, and their sums."""
+    found, at = np.unique(row, return_inverse=True)
+    return found, *(np.bincount(at, v, len(found)) for v in values)
+
+
+def own_type(number: str) -> str:
+    return f"own struct<doc_id: {number}, n: long, background: double, target: double>"
+
+
+def document_sums(packs: DataFrame, number: str) -> DataFrame:
+    """Two rows per document at most: ``row``, ``doc_id`` and ``n`` (in one of them), ``background`` and ``target``."""
+    names = ["row", "doc_id", "n", "background", "target"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+
+        def whole(held: list[tuple]) -> pa.RecordBatch:
+            row, *both = added(*map(np.concatenate, zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), kind), pa.nulls(len(row), pa.int64()), *map(pa.array, both)], names=names)
+
+        held: list[tuple] = []
+        place, size = None, 0
+        for batch in batches:
+            kind = batch.schema.field("own").type[0].type
+            own = batch.filter(batch["own"].is_valid())
+            if len(own):
+                yield pa.RecordBatch.from_arrays([own["row"], *own["own"].flatten()], names=names)
+            others = batch.filter(batch["own"].is_null())
+            for p, rows, *both in zip(others["place"].to_pylist(), others["rows"], others["background"], others["target"]):
+                if p != place and held:
+                    yield whole(held)
+                    held, size = [], 0
+                place = p
+                held.append((unpacked(rows.as_py()), *(np.frombuffer(b.as_py(), np.float32).astype(float) for b in both)))
+                size += len(held[-1][0])
+                if size > HELD_ROWS:  # the sums so far take their place
+                    held = [added(*map(np.concatenate, zip(*held)))]
+                    size = 0
+        if held:
+            yield whole(held)
+
+    dealt = packs.repartition("place").sortWithinPartitions("place")
+    return dealt.mapInArrow(work, f"row long, doc_id {number}, n long, background double, target double")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of ``docs``, the target being the documents that ``labels`` call good (quality 1, toxic 0)."""
-    spark = docs.sparkSession
-    counts = stored(word_counts(docs))
+    counts = stored_alone(word_counts(docs))
     total = all_words(counts)
     known = frequent_words(counts, KNOWN_SHARE)
     words, listed = [word for word, _ in known], sum(n >= SHARE * total for _, n in known)
@@ -295,9 +355,9 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     joined = rows.join(good.hint("merge"), F.col("doc_id") == F.col("__id"), "left")  # labels grow with the documents: never broadcast
     marked = joined.select("row", "doc_id", "text", F.coalesce("good", F.lit(0)).alias("target"))
     models = tuple(Model(table, listed, len(words), size) for table in model_counts(marked.select("text", "target"), words, listed))
-    release(spark)  # the first pass's copy of the texts
     packs = pair_packs(marked, words, listed, models, max(1, -(-total // PART_ROWS)))
-    parts = pair_losses(packs, models, dict(docs.dtypes)["doc_id"])
+    number = dict(docs.dtypes)["doc_id"]
+    parts = document_sums(pair_losses(packs, models, number, max(1, -(-docs.count() // SUMMED_DOCUMENTS))), number)
     summed = parts.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.sum("target").alias("target"), F.sum("background").alias("background")
     )

@@ -98,6 +98,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored_alone(df: DataFrame) -> DataFrame:
+    """``stored``, for frames whose shuffles serve nothing else: Spark deletes these as soon as the rows are written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return stored(df.select("*"))
+    finally:
+        conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete what finished steps wrote: it drops shuffles and checkpoints of frames that nothing refers to.
 
