@@ -44,6 +44,8 @@ COUNTED_WORDS = 300_000
 AFTER = 1 << 40
 #: Pairs that a task holds before it packs them.
 HELD_ROWS = 1_000_000
+#: Bytes of text whose words are in memory at once; a longer text is taken alone.
+SLICE_BYTES = 4 << 20
 #: Pairs that a part is meant to hold.
 PART_ROWS = 2_000_000
 #: Documents whose losses are meant to be summed in one place.
@@ -101,6 +103,18 @@ class WordKeys:
         return sizes, doc, word, np.where(first, 0, np.roll(word, 1))
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``size`` bytes of text, or of one text."""
+    for batch in batches:
+        ends = np.cumsum([len(value.as_buffer()) if value.is_valid else 0 for value in batch["text"]])
+        start = 0
+        while start < len(batch):
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def all_words(counts: DataFrame) -> int:
     """The number of all words, from ``word_counts``."""
     row = counts.where("length(word) = 0").agg(F.sum("n")).first()
@@ -139,7 +153,7 @@ def model_counts(marked: DataFrame, words: list[bytes], listed: int) -> tuple[np
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = WordKeys(shared.value)
         sums = np.zeros((2, length), np.int64)
-        for batch in batches:
+        for batch in slices(batches, 4 * SLICE_BYTES):
             _, doc, word, before = keys.pairs(batch["text"])
             good = batch["target"].to_numpy()[doc] == 1
             both = (word > 0) & (word <= listed) & (before >= 0) & (before <= listed)
@@ -196,7 +210,7 @@ def pair_packs(marked: DataFrame, words: list[bytes], listed: int, models: tuple
         keys = WordKeys(words)
         held: list[list[np.ndarray]] = [[], [], []]
         kind = None
-        for batch in batches:
+        for batch in slices(batches, SLICE_BYTES):
             sizes, doc, word, before = keys.pairs(batch["text"])
             both = (word > 0) & (word <= listed) & (before >= 0) & (before <= listed)
             opens = (before >= 0) & ~both

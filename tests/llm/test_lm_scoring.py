@@ -90,6 +90,7 @@ def test_rare_words_are_told_apart(spark, make_docs, monkeypatch):
         monkeypatch.setattr(lm, "KNOWN_SHARE", shares[1])
         monkeypatch.setattr(lm, "HELD_ROWS", 2 if shares[0] == 2 else 1_000_000)
         monkeypatch.setattr(lm, "PART_ROWS", 2_000_000 if shares[1] == 1 / 20 else 50)
+        monkeypatch.setattr(lm, "SLICE_BYTES", 300 if shares[1] == 1 / 200 else 1)
         monkeypatch.setattr(lm, "SUMMED_DOCUMENTS", 20_000 if shares[1] == 1 / 20 else 3)
         got = {r.doc_id: r for r in lm.cross_entropy_difference(make_docs(docs), labels).collect()}
         for i, (target, background) in expected.items():
