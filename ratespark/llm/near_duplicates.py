@@ -10,11 +10,15 @@ Pairs are compared without listing a bucket's pairs: texts equal in their words
 is then compared with the bucket's most connected text. Texts of one bucket that are still in different classes are the
 rest. In a bucket of few texts these are compared with each other. In larger buckets an exact filter comes first: two
 texts that reach the threshold must share a run among the rarest of each, so many as their lengths allow to differ; a
-text changed in too many places has only runs of its own there and meets nobody. Nothing is capped.
+text changed in too many places has only runs of its own there and meets nobody. Nothing is capped. Texts of few runs, whose
+sketches miss more, all go through that filter, whatever their buckets.
 
 Defined cases: a null text and a null id are in no class but their own, rows with a null id get a null class; texts
 without words are alike if they are equal; texts of fewer than five words are alike if their words are equal; repeated
-rows get the same class; an empty table gives an empty result. The class id is the smallest doc_id in the class.
+rows get the same class; very long texts are sketched and aligned whole, in the memory of one pair; columns beside id and text
+are never read, whatever their names; an empty table gives an empty result. The class id is the smallest doc_id in the class.
+Ids are whole numbers. Where unlike texts share their smallest id, one of them goes by the id and each other by a number from
+``UNNAMED`` on, made of its fingerprint: they are told apart by 62 bits, and such a number is the class id if no id is in the class.
 """
 
 from __future__ import annotations
@@ -27,20 +31,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratespark.llm.text import WordHashes, mixed, ngrams, release, stored, words_of
+from ratespark.llm.text import WordHashes, looked_up, mixed, ngrams, release, stored, words_of
 
 RUN_WORDS = 5
 THRESHOLD = 0.8
-#: With 4 picks in 24 sketches a pair at the threshold shares no key once in 300,000.
+#: With 4 picks in 24 sketches a long pair at the threshold shares no key once in 300,000, a pair of 18 runs once in 80,000.
 SKETCHES = 24
 RUNS = 4
 #: Buckets of up to so many texts list the pairs of their rest; larger ones filter by rare runs first.
 FEW = 8
+#: Pairs of which one text has up to so many runs are found by rare runs alone, which is exact.
+SHORT = 20
+#: Numbers of texts whose smallest id another text goes by; ids lie below.
+UNNAMED = 1 << 62
 #: Hashes held at once for one text, whatever its length.
 HASHED_AT_ONCE = 1 << 20
 SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-SKETCH_SCHEMA = "doc_id long, print binary, runs long, keys array<long>"
+SKETCH_SCHEMA = "doc_id long, content binary, print binary, runs long, keys array<long>"
 
 
 def labelled_runs(words: list[bytes], hashes: WordHashes) -> np.ndarray:
@@ -83,22 +91,23 @@ def fingerprint(words: list[bytes], text: bytes) -> bytes:
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: fingerprint, number of runs and keys. Null text: no fingerprint."""
-    schema = pa.schema([("doc_id", pa.int64()), ("print", pa.binary()), ("runs", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """A row per document: MD5 of the text, fingerprint, number of runs and keys. Null text: neither digest."""
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("print", pa.binary()), ("runs", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            prints, counts, keys = [], [], []
+            contents, prints, counts, keys = [], [], [], []
             for value in batch["text"]:
                 content = value.as_py()
                 words = words_of(content)
                 runs = labelled_runs(words, hashes)
+                contents.append(None if content is None else hashlib.md5(content).digest())
                 prints.append(None if content is None else fingerprint(words, content))
                 counts.append(len(runs))
                 keys.append(order_min_hash(runs).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                [batch["doc_id"], pa.array(contents, pa.binary()), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 schema=schema,
             )
 
@@ -222,17 +231,35 @@ def pairs_by_rare_runs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     )
     placed = placed.join(nodes, "node").withColumn("at", F.col("runs") - F.col("shared") + F.col("at") - 1)
     first = placed.where(f"at <= runs - {THRESHOLD} * runs + 1e-9").select("run", "node", "runs", "root", "at")
+    # A run that only texts of one component list joins nobody: large groups of copies go here.
+    apart = first.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    first = first.join(apart.select("run"), "run", "left_semi")
     other = first.select("run", *(F.col(c).alias(f"{c}_b") for c in ("node", "runs", "root", "at")))
     need = f"({THRESHOLD / (1 + THRESHOLD)} * (runs + runs_b) - 1e-9)"
     joined = first.join(other, "run").where("node < node_b AND root != root_b").where(_comparable("runs", "runs_b"))
     return joined.where(f"at <= runs - {need} AND at_b <= runs_b - {need}").select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def named_prints(rows: DataFrame) -> DataFrame:
+    """``print``, its smallest id ``low`` and its ``node``: that id, or a number of its own if another text goes by the id."""
+    prints = stored(rows.where("doc_id IS NOT NULL AND print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("low")))
+    shared = stored(prints.groupBy("low").agg(F.min("print").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    own = F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("print"), 2)
+    return looked_up(prints, shared, ["low"], "n").select(
+        "print", "low", F.when(F.col("print") != F.col("first"), own).otherwise(F.col("low")).alias("node")
+    )
+
+
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and class_id for every row of ``docs``."""
+    return classed(docs, doc_id, text).select("doc_id", "class_id")
+
+
+def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ``content`` (the text's MD5) and class_id for every row of ``docs``."""
     rows = stored(sketches(docs, doc_id, text))
-    prints = rows.where("doc_id IS NOT NULL AND print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("node"))
-    nodes = rows.select(F.col("doc_id").alias("node"), "print", "runs", "keys").join(prints, ["print", "node"], "left_semi")
+    prints = stored(named_prints(rows))
+    nodes = rows.join(prints, "print").where("doc_id = low").select("node", "doc_id", "content", "runs", "keys")
     buckets = nodes.select("node", "runs", F.explode(F.array_distinct("keys")).alias("key"))
     crowded = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live = stored(buckets.join(crowded, "key").select("key", "n", "node", "runs"))
@@ -244,9 +271,13 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
         live.join(leaders, "key").where("node != leader").where(_comparable("runs", "leader_runs"))
         .groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
     )
+    few_runs = f"runs > 0 AND runs <= {SHORT / THRESHOLD}"
+    met = degrees.select("node", F.lit(True).alias("met"))
+    wanted = nodes.join(met, "node", "left").where(f"met OR {few_runs}").select("node", "doc_id", "content").distinct()
     texts = stored(
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.col(text), "UTF-8").alias("text"))
-        .join(degrees.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        docs.select(
+            F.col(doc_id).cast("long").alias("__id"), F.unhex(F.md5(F.col(text))).alias("content"), F.encode(F.col(text), "UTF-8").alias("text")
+        ).join(wanted.withColumnRenamed("doc_id", "__id"), ["__id", "content"]).select(F.col("node").alias("doc_id"), "text")
     )
     # In waves: a text first meets only the leader it shares most buckets with, so its text moves once. Most texts are then
     # linked, and of the other pairs only those between different components are left to try.
@@ -269,7 +300,8 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     other = few.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "runs", "root")))
     listed = few.join(other, "key").where("node < node_b AND root != root_b").where(_comparable("runs", "runs_b"))
     many = rest.where(f"n > {FEW}").select("node", "runs", "root").distinct()
-    filtered = pairs_by_rare_runs(many, texts)
+    short = nodes.where(few_runs).join(roots, "node", "left").select("node", "runs", F.coalesce("root", "node").alias("root"))
+    filtered = pairs_by_rare_runs(many.union(short).distinct(), texts)
     apart = listed.select(F.col("node").alias("a"), F.col("node_b").alias("b")).union(filtered).distinct()
 
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -277,8 +309,8 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     final = components(links.union(more))
 
     classes = prints.join(final, "node", "left").select("print", F.coalesce("root", "node").alias("__class"))
-    return rows.select("doc_id", "print").join(classes, "print", "left").select(
-        "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("__class", "doc_id")).alias("class_id")
+    return rows.select("doc_id", "content", "print").join(classes, "print", "left").select(
+        "doc_id", "content", F.when(F.col("doc_id").isNotNull(), F.coalesce("__class", "doc_id")).alias("class_id")
     )
 
 
@@ -288,10 +320,13 @@ def _comparable(runs: str, other: str) -> str:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each class, the one whose id names the class, with its columns as they came.
+    """One row of each class, the one with the smallest id (then MD5 of the text), with its columns as they came.
 
-    Rows with a null id or a null text stay. Rows that repeat the kept id have the same class; one of them stays.
+    Rows with a null id or a null text stay. Rows are told apart by id and text, so unlike texts that share an id each stay.
     """
-    classes = near_duplicate_classes(docs).where("doc_id != class_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    known = docs.where("doc_id IS NOT NULL").join(classes, F.col("doc_id") == F.col("__dropped"), "left_anti")
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    alone = "doc_id IS NULL OR text IS NULL"
+    kept = classed(docs).where("doc_id IS NOT NULL AND content IS NOT NULL").groupBy("class_id")
+    kept = kept.agg(F.min(F.struct("doc_id", "content")).alias("__k")).select(F.col("__k.doc_id").alias("__id"), F.col("__k.content").alias("__of"))
+    texts = docs.where(f"NOT ({alone})").withColumns({"__id": F.col("doc_id").cast("long"), "__of": F.unhex(F.md5("text"))})
+    one = texts.join(kept, ["__id", "__of"], "left_semi").dropDuplicates(["__id", "__of"]).drop("__id", "__of")
+    return one.unionByName(docs.where(alone))

@@ -119,6 +119,31 @@ def test_large_bucket_of_copies_of_copies(spark, make_docs):
     assert 5 < len(set(want.values())) < len(rows) and got == want
 
 
+def test_short_texts_are_found_without_a_miss(spark, make_docs):
+    """Pairs at the threshold, by length: in many of them no sketch agrees."""
+    rows, pairs = [], []
+    for n in (4, 8, 12, 16, 20):
+        for k in range(120):
+            w, i = prose(1000 * n + k, n + 5), 1000 * n + 2 * k
+            rows += [(i, " ".join(w)), (i + 1, " ".join(w[: n + 5 - (n + 1) // 5]))]
+            pairs.append((i, i + 1))
+    cut = {i: runs(t) for i, t in rows}
+    missed = [p for p in pairs if not np.any(nd.order_min_hash(cut[p[0]]) == nd.order_min_hash(cut[p[1]]))]
+    want = {p for p in pairs if nd.alike(cut[p[0]], cut[p[1]])}
+    got = {r.doc_id: r.class_id for r in nd.near_duplicate_classes(make_docs(rows)).collect()}
+    assert {p for p in pairs if got[p[0]] == got[p[1]]} == want and len(want) > 400 and len(missed) < 50
+
+
+def test_unlike_texts_that_share_an_id(spark, make_docs):
+    a, b, c = (" ".join(prose(i, 50)) for i in (1, 2, 3))
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, b + " more"), (7, c), (8, c), (9, None), (9, c)]
+    kept = Counter((r.doc_id, r.text) for r in nd.drop_near_duplicates(make_docs(rows)).collect())
+    assert kept == Counter([(3, a), (5, b), (7, c), (9, None)])
+    twice = [(5, " ".join(prose(i, 50))) for i in range(40)] * 2
+    assert Counter(r.text for r in nd.drop_near_duplicates(make_docs(twice)).collect()) == Counter({t for _, t in twice})
+    assert len({r.class_id for r in nd.near_duplicate_classes(make_docs(twice)).collect()}) == 40
+
+
 def test_empty_table(spark, make_docs):
     assert nd.near_duplicate_classes(make_docs([])).collect() == []
     assert nd.drop_near_duplicates(make_docs([])).collect() == []
