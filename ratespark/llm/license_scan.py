@@ -7,12 +7,14 @@ stays: higher priority, then longer, then earlier, then the rule's place in the
 and never suppressed.
 
 Defined cases: null and wordless texts have no matches and score 0; repeated rows are judged one by one; very long texts
-are scanned whole; an empty table gives an empty result.
+are scanned whole, in time that grows with their words and matches; columns beside doc_id and text are never read, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,20 +44,20 @@ NAMES = (
     ("bsd-0-clause", "(?:zero clause bsd|0bsd|bsd zero clause)", "clause|0bsd"),
     ("isc", "(?:the )?isc", "isc"),
     ("zlib", "(?:the )?zlib(?: libpng)?", "zlib"),
-    ("gpl-1", "(?:the )?(?:gnu )?(?:general public license|gpl)(?: version)? v? ?1(?: 0)?", "general public license|gpl"),
-    ("gpl-2", "(?:the )?(?:gnu )?(?:general public license|gpl)(?: version)? v? ?2(?: 0)?", "general public license|gpl"),
-    ("gpl-3", "(?:the )?(?:gnu )?(?:general public license|gpl)(?: version)? v? ?3(?: 0)?", "general public license|gpl"),
-    ("lgpl-2.1", "(?:the )?(?:gnu )?(?:lesser general public license|lgpl)(?: version)? v? ?2 1", "lesser general|lgpl"),
-    ("lgpl-3", "(?:the )?(?:gnu )?(?:lesser general public license|lgpl)(?: version)? v? ?3(?: 0)?", "lesser general|lgpl"),
-    ("agpl-3", "(?:the )?(?:gnu )?(?:affero general public license|agpl)(?: version)? v? ?3(?: 0)?", "affero|agpl"),
+    ("gpl-1", "(?:the )?(?:gnu )?(?:general public license|gpl)(?: version)? ?v? ?1(?: 0)?", "general public license|gpl"),
+    ("gpl-2", "(?:the )?(?:gnu )?(?:general public license|gpl)(?: version)? ?v? ?2(?: 0)?", "general public license|gpl"),
+    ("gpl-3", "(?:the )?(?:gnu )?(?:general public license|gpl)(?: version)? ?v? ?3(?: 0)?", "general public license|gpl"),
+    ("lgpl-2.1", "(?:the )?(?:gnu )?(?:lesser general public license|lgpl)(?: version)? ?v? ?2 1", "lesser general|lgpl"),
+    ("lgpl-3", "(?:the )?(?:gnu )?(?:lesser general public license|lgpl)(?: version)? ?v? ?3(?: 0)?", "lesser general|lgpl"),
+    ("agpl-3", "(?:the )?(?:gnu )?(?:affero general public license|agpl)(?: version)? ?v? ?3(?: 0)?", "affero|agpl"),
     ("gfdl-1.3", "(?:the )?(?:gnu )?(?:free documentation license|gfdl|fdl)(?: version)? 1 3", "free documentation|fdl"),
-    ("mpl-1.1", "(?:the )?(?:mozilla public license|mpl)(?: version)? v? ?1 1", "mozilla|mpl"),
-    ("mpl-2.0", "(?:the )?(?:mozilla public license|mpl)(?: version)? v? ?2 0", "mozilla|mpl"),
-    ("epl-1.0", "(?:the )?(?:eclipse public license|epl)(?: version)? v? ?1 0", "eclipse|epl"),
-    ("epl-2.0", "(?:the )?(?:eclipse public license|epl)(?: version)? v? ?2 0", "eclipse|epl"),
+    ("mpl-1.1", "(?:the )?(?:mozilla public license|mpl)(?: version)? ?v? ?1 1", "mozilla|mpl"),
+    ("mpl-2.0", "(?:the )?(?:mozilla public license|mpl)(?: version)? ?v? ?2(?: 0)?", "mozilla|mpl"),
+    ("epl-1.0", "(?:the )?(?:eclipse public license|epl)(?: version)? ?v? ?1 0", "eclipse|epl"),
+    ("epl-2.0", "(?:the )?(?:eclipse public license|epl)(?: version)? ?v? ?2 0", "eclipse|epl"),
     ("cddl-1.0", "(?:the )?(?:common development and distribution license|cddl)(?: version)? 1 0", "common development|cddl"),
     ("cddl-1.1", "(?:the )?(?:common development and distribution license|cddl)(?: version)? 1 1", "common development|cddl"),
-    ("eupl-1.2", "(?:the )?(?:european union public licence|eupl)(?: version)? v? ?1 2", "european union|eupl"),
+    ("eupl-1.2", "(?:the )?(?:european union public licence|eupl)(?: version)? ?v? ?1 2", "european union|eupl"),
     ("artistic-1.0", "(?:the )?artistic(?: license)? 1 0", "artistic"),
     ("artistic-2.0", "(?:the )?artistic(?: license)? 2 0", "artistic"),
     ("bsl-1.0", "(?:the )?boost software(?: license)?(?: version)? 1 0", "boost"),
@@ -81,6 +83,14 @@ NAMES = (
     ("openrail", "(?:the )?(?:bigscience |creativeml )?open ?rail(?: m)?", "rail"),
     ("llama", "(?:the )?llama [0-9](?: [0-9])? community", "llama"),
     ("proprietary", "(?:a |the )?(?:proprietary|commercial)", "proprietary|commercial"),
+    # Families, where no version is given; a versioned name is longer and wins.
+    ("gpl", "(?:the )?(?:gnu )?(?:general public license|gpl)", "general public license|gpl"),
+    ("lgpl", "(?:the )?(?:gnu )?(?:lesser general public license|lgpl)", "lesser general|lgpl"),
+    ("agpl", "(?:the )?(?:gnu )?(?:affero general public license|agpl)", "affero|agpl"),
+    ("mpl", "(?:the )?(?:mozilla public license|mpl)", "mozilla|mpl"),
+    ("epl", "(?:the )?(?:eclipse public license|epl)", "eclipse|epl"),
+    ("bsd", "(?:the |a )?bsd", "bsd"),
+    ("apache", "(?:the )?apache(?: software)?", "apache"),
 )
 #: Ways to state a license: pattern around the name, priority, keyword, confidence (fixed values).
 STATEMENTS = (
@@ -100,6 +110,19 @@ TEXTS = (
     ("gpl-3", "gnu general public license version 3", 4, "gnu", 0.95),
     ("gpl-2", "gnu general public license version 2", 4, "gnu", 0.95),
     ("gpl-or-later", "either version [0-9](?: [0-9])? of the license or at your option any later version", 4, "later", 0.9),
+    ("gpl", "this (?:program|software) is free software you can redistribute it and or modify it under the terms of the gnu general public license", 4, "gnu", 0.95),
+    ("lgpl", "this (?:library|program|software) is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", 4, "lesser", 0.95),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license", 4, "affero", 0.95),
+    ("apache-2", "you may not use this file except in compliance with the license", 4, "compliance", 0.9),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license", 4, "applicable", 0.9),
+    ("apache-2", "apache (?:version )?v?2(?: 0)?", 1, "apache", 0.6),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license", 5, "mozilla", 1.0),
+    ("bsd-3-clause", "neither the name of (?:[^ ]+ ){1,12}may be used to endorse or promote products", 5, "endorse", 0.95),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display", 5, "advertising", 1.0),
+    ("zlib", "the origin of this software must not be misrepresented", 5, "misrepresented", 1.0),
+    ("unlicense", "this is free and unencumbered software released into the public domain", 5, "unencumbered", 1.0),
+    ("bsl-1.0", "to any person or organization obtaining a copy of the software and accompanying documentation", 5, "organization", 1.0),
+    ("wtfpl", "you just do what the fuck you want to", 5, "what the fuck", 1.0),
     ("public-domain", "(?:dedicated to|released into|placed in|in) the public domain", 3, "domain", 0.8),
     ("all-rights-reserved", "all rights reserved", 1, "reserved", 0.5),
     ("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 1, "copyright", 0.3),
@@ -133,9 +156,11 @@ def base_places(line: bytes) -> list[tuple[int, str]]:
     """Start (in words) and label of every occurrence of a base phrase in `` word word ... ``."""
     found = []
     for phrase, label in BASE_PHRASES.items():
+        word, counted = 0, 0
         at = line.find(b" " + phrase + b" ")
         while at >= 0:
-            found.append((line.count(b" ", 0, at), label))
+            word, counted = word + line.count(b" ", counted, at), at
+            found.append((word, label))
             at = line.find(b" " + phrase + b" ", at + 1)
     return sorted(found)
 
@@ -164,8 +189,9 @@ class Scanner:
             if any(k in line for k in keywords):
                 for rule in rules:
                     if any(k in line for k in rule.keywords[0]):
+                        first, counted = 0, 0
                         for m in rule.pattern.finditer(line):
-                            first = line.count(b" ", 0, m.start())
+                            first, counted = first + line.count(b" ", counted, m.start()), m.start()
                             found.append(Match(first, first + m[0].count(b" ") - 1, rule))
         return suppressed(found)
 
@@ -173,15 +199,24 @@ class Scanner:
 def suppressed(matches: list[Match]) -> list[Match]:
     """The matches that stay, none overlapping another: the best first, each unless a kept one overlaps it."""
     best = sorted(matches, key=Match.rank)
-    contained = [
-        m for i, m in enumerate(best)
-        if not any(o.first <= m.first and m.last <= o.last and o.rule.priority >= m.rule.priority for o in best[:i])
-    ]
-    kept: list[Match] = []
-    for m in contained:
-        if all(m.last < o.first or o.last < m.first for o in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: (m.first, m.last))
+    starts = sorted({m.first for m in best})
+    # For each start, in a tree of maxima, how far the better matches from there or before reach.
+    reach = [-1] * (len(starts) + 1)
+    kept: list[tuple[int, int, Match]] = []
+    for m in best:
+        at = place = bisect_left(starts, m.first) + 1
+        inside = False
+        while at:
+            inside = inside or reach[at] >= m.last
+            at &= at - 1
+        while place < len(reach):
+            reach[place] = max(reach[place], m.last)
+            place += place & -place
+        if not inside:
+            after = bisect_left(kept, m.first, key=lambda k: k[0])
+            if (after == 0 or kept[after - 1][1] < m.first) and (after == len(kept) or m.last < kept[after][0]):
+                kept.insert(after, (m.first, m.last, m))
+    return [m for *_, m in kept]
 
 
 FINDINGS_SCHEMA = (

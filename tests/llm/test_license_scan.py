@@ -11,6 +11,9 @@ SAMPLES = [
     (7, "available under the terms of the GNU Lesser General Public License v2.1", "lgpl-2.1"),
     (8, "Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"), (9, "All rights reserved.", "all-rights-reserved"),
     (10, "a plain text about permission and the public", ""), (11, "under the MIT License under the MIT license", "mit"),
+    (12, "Licensed under GPLv3", "gpl-3"), (13, "LGPLv2.1 license", "lgpl-2.1"), (14, "Licensed under the GPL", "gpl"), (15, "AGPLv3 license", "agpl-3"),
+    (16, "BSD license", "bsd"), (17, "Apache 2.0", "apache-2"), (18, "MPLv2 license", "mpl-2.0"), (19, "licensed under LGPLv3", "lgpl-3"),
+    (20, "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
 ]
 
 
@@ -60,5 +63,22 @@ def test_the_prefilter_loses_nothing():
         assert key(scanner.matches(line)) == key(ls.suppressed(every))
 
 
+def test_suppression_matches_brute_force():
+    rng = random.Random(8)
+    for _ in range(200):
+        rules = [ls.Signature(f"l{k}", re.compile(b""), rng.randrange(4), (), 1.0, k) for k in range(5)]
+        every = [ls.Match(f := rng.randrange(40), f + rng.randrange(9), rng.choice(rules)) for _ in range(rng.randrange(40))]
+        best, kept = sorted(every, key=ls.Match.rank), []
+        for i, m in enumerate(best):
+            if not any(o.first <= m.first and m.last <= o.last for o in best[:i]) and all(m.last < o.first or o.last < m.first for o in kept):
+                kept.append(m)
+        assert ls.suppressed(every) == sorted(kept, key=lambda m: m.first)
+
+
+def test_a_very_long_text_of_matches():
+    line = b" licensed under the mit license under the mit license" * 30_000 + b" "
+    assert len(ls.Scanner().matches(line)) == 60_000 and ls.base_places(line)[-1] == (9 * 30_000 - 4, "mit")
+
+
 def test_empty_table(spark, make_docs):
     assert ls.summarised(ls.license_findings(make_docs([]))).collect() == []
