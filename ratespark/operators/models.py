@@ -12,12 +12,14 @@ from pyspark.ml.feature import (
     Imputer,
     ImputerModel,
     OneHotEncoder,
+    OneHotEncoderModel,
     StandardScaler,
     StandardScalerModel,
     StringIndexer,
     StringIndexerModel,
     VectorAssembler,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     GBTRegressor,
     GeneralizedLinearRegression,
@@ -40,6 +42,7 @@ from ..config import (
 )
 from ..functions.cleaning import clip
 from .boosting import BoostedTrees, fit_boosted
+from .glm import as_model, fit_log_link
 from .metrics import frequency_metrics, severity_metrics
 from .stats import numeric_medians
 
@@ -199,11 +202,12 @@ def glm_formula(pipeline: PipelineModel) -> Column | None:
                 terms.append((value - F.lit(float(mean))) / F.lit(float(deviation)) * F.lit(weight))
     if StringIndexerModel in by_kind:
         indexer = by_kind[StringIndexerModel]
-        if indexer.getHandleInvalid() != "keep":
-            return None
+        strict = indexer.getHandleInvalid() != "keep"  # then the last level is the reference, and no other may appear
         for name, levels in zip(indexer.getInputCols(), indexer.labelsArray):
-            pairs = [F.lit(part) for level in levels for part in (level, float(next(weights)))]
-            terms.append(F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(name)), F.lit(0.0)))
+            effects = [0.0 if strict and level == levels[-1] else float(next(weights)) for level in levels]
+            pairs = [F.lit(part) for pair in zip(levels, effects) for part in pair]
+            unseen = F.raise_error(F.lit(f"A level of {name} was not seen in training.")).cast("double") if strict else F.lit(0.0)
+            terms.append(F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(name)), unseen))
     total = F.lit(float(fitted.intercept))
     for term in terms:
         total = total + term
@@ -267,6 +271,9 @@ def train_model(
         regressor = _regressor(training_cache, role, chosen, role_settings, alpha, max_iter)
         stages = preprocessing_stages(training_cache, numeric, categorical, drop_reference, counted)
         encoder = Pipeline(stages=stages).fit(training_cache)
+        if chosen == role.glm:
+            penalty = role_settings.alpha if alpha is None else alpha
+            return FittedModel(role, chosen, PipelineModel([*encoder.stages, _fit_glm(encoder, training_cache, regressor, numeric, categorical, penalty)]))
         # The regressor reads its input once per iteration: keep the encoded rows, not the recipe.
         encoded = encoder.transform(training_cache).select(_FEATURES, _TARGET, _WEIGHT).persist()
         try:
@@ -286,15 +293,32 @@ def train_severity_model(df: DataFrame, name: str | None = None, **options: Any)
     return train_model(df, SEVERITY, name, **options)
 
 
+def _fit_glm(
+    encoder: PipelineModel, training: DataFrame, settings: GeneralizedLinearRegression, numeric: list[str], categorical: list[str], penalty: float
+) -> GeneralizedLinearRegressionModel:
+    """Newton's method on scaled numbers and level numbers: a row is a few values, not its encoded vector."""
+    numbers, levels = [f"__x{i}" for i in range(len(numeric))], [f"__idx_{c}" for c in categorical]
+    scaled = [vector_to_array("__scaled")[i].alias(name) for i, name in enumerate(numbers)]
+    rows = encoder.transform(training).select(*scaled, *[F.col(c).cast("int").alias(c) for c in levels], _TARGET, _WEIGHT).persist()
+    widths = [size - 1 for stage in encoder.stages if isinstance(stage, OneHotEncoderModel) for size in stage.categorySizes]
+    try:
+        beta = fit_log_link(
+            rows, settings.getFamily(), _TARGET, _WEIGHT, numbers, levels, widths, penalty, settings.getMaxIter(), GLM_TOLERANCE
+        )
+    finally:
+        rows.unpersist()
+    return as_model(training.sparkSession, beta, settings)
+
+
 def _regressor(
     training: DataFrame, role: Role, name: str, settings: RoleConfig, alpha: float | None, max_iter: int | None
 ):
     shared = {"featuresCol": _FEATURES, "labelCol": _TARGET, "weightCol": _WEIGHT}
     if name == role.glm:
-        penalty = settings.alpha if alpha is None else alpha
+        if role is FREQUENCY and (settings.alpha if alpha is None else alpha) and not training.agg(F.sum(F.col(_TARGET) * F.col(_WEIGHT))).first()[0]:
+            raise ValueError("Frequency training data has no claims.")
         return GeneralizedLinearRegression(
-            family=role.glm, link="log", regParam=_glm_penalty(training, role, penalty),
-            maxIter=settings.max_iter if max_iter is None else max_iter, tol=GLM_TOLERANCE, **shared,
+            family=role.glm, link="log", maxIter=settings.max_iter if max_iter is None else max_iter, tol=GLM_TOLERANCE, **shared,
         )
     if name == "random_forest":
         forest = settings.forest

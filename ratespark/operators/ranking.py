@@ -131,7 +131,7 @@ def in_file_order(df: DataFrame, alias: str = "row_number") -> DataFrame:
     Only filters and computed columns may lie in between. The keys follow from the files and the reader's blocks, so they
     are the same when a task is run again, and blocks of any size give the same numbers.
     """
-    return global_rank(with_file_key(df), FILE_ORDER, alias).drop(*FILE_ORDER)
+    return with_file_lines(df, alias, by_file=False).drop("__file")
 
 
 def prefix_sums(
@@ -293,29 +293,34 @@ def _disjoint(intervals: Iterable[tuple[float, float]]) -> list[tuple[float, flo
 
 def _count_bins(doubles: DataFrame, intervals: Mapping[int, Sequence[tuple[float, float]]]) -> DataFrame:
     """(feature, bin, n, low, high): values per bin with their extremes; bins are numbered in the order of the values."""
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("feature"), _bin_of(F.col(f"c{i}"), spans).alias("bin"), F.col(f"c{i}").alias("value"))
-        for i, spans in intervals.items()
-    ])
-    rows = doubles.select("copies", F.inline(entries)).where(F.col("value").isNotNull())
-    return rows.groupBy("feature", "bin").agg(
+    # A column's limits come from literal arrays: one short expression serves all columns, which the JVM still compiles.
+    numbers = list(intervals)
+    rows = doubles.select("copies", F.posexplode(F.array(*[F.col(f"c{i}") for i in numbers])).alias("at", "value")).where(F.col("value").isNotNull())
+    feature = F.array(*map(F.lit, numbers))[F.col("at")]
+    return rows.groupBy(feature.alias("feature"), _bin_of(F.col("value"), F.col("at"), list(intervals.values())).alias("bin")).agg(
         F.sum("copies").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
 
 
-def _bin_of(value: Column, intervals: Sequence[tuple[float, float]]) -> Column:
-    """Gaps between intervals are a bin each; infinities and NaN have bins of their own."""
+def _bin_of(value: Column, at: Column, intervals: Sequence[Sequence[tuple[float, float]]]) -> Column:
+    """Gaps between the intervals of column ``at`` are a bin each; infinities and NaN have bins of their own."""
+    def limit(of) -> Column:
+        return F.array(*[F.lit(of(spans)) for spans in intervals])[at]
+
     step = BINS + 2
     out = F.when(value == F.lit(float("-inf")), F.lit(-1))
-    for k, (low, high) in enumerate(intervals):
-        width = high / 2 - low / 2  # halves, for the full range of a double would overflow
-        if width > 0:
-            place = F.floor((value / 2 - F.lit(low / 2)) / F.lit(width) * F.lit(float(BINS))).cast("int")
-        else:  # one value, or neighbours whose halves agree
-            place = F.when(value > F.lit(low), F.lit(1)).otherwise(F.lit(0))
-        out = out.when(value < F.lit(low), F.lit(k * step)).when(value <= F.lit(high), F.lit(k * step + 1) + place)
-    last = len(intervals) * step
-    return out.when(value < F.lit(float("inf")), F.lit(last)).when(F.isnan(value), F.lit(last + 2)).otherwise(F.lit(last + 1))
+    for k in range(max(map(len, intervals))):
+        low, high, half, width = (
+            limit(lambda spans, f=f: float(f(*spans[k])) if k < len(spans) else None).cast("double")
+            # halves, for the full range of a double would overflow
+            for f in (lambda a, b: a, lambda a, b: b, lambda a, b: a / 2, lambda a, b: b / 2 - a / 2)
+        )
+        place = F.when(width > 0, F.floor((value / 2 - half) / width * F.lit(float(BINS))).cast("int"))
+        # else one value, or neighbours whose halves agree
+        place = place.otherwise(F.when(value > low, F.lit(1)).otherwise(F.lit(0)))
+        out = out.when(value < low, F.lit(k * step)).when(value <= high, F.lit(k * step + 1) + place)
+    last = limit(lambda spans: len(spans) * step)
+    return out.when(value < F.lit(float("inf")), last).when(F.isnan(value), last + 2).otherwise(last + 1)
 
 
 def _bin_at(rows: Sequence, spot: int):

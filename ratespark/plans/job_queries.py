@@ -400,11 +400,8 @@ def glm_score_equations(spark, folder):
     policies = _policies(spark, folder)
     model = models.train_frequency_model(policies, alpha=0.0, drop_reference=True)
     scored = model.transform(policies).withColumn("fitted", F.col("predicted_annual_frequency") * F.col("Exposure"))
-    parts = [scored.groupBy(F.lit(c).alias("feature"), F.col(c).alias("level")).agg(F.round(F.sum("fitted"), 1).alias("claims")) for c in MODEL_CATEGORICAL]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    levels = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("level")) for c in MODEL_CATEGORICAL])
+    return scored.select("fitted", F.inline(levels)).groupBy("feature", "level").agg(F.round(F.sum("fitted"), 1).alias("claims"))
 
 
 sql("glm_score_equations", f"WITH {POL} " + " UNION ALL ".join(

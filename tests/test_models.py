@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from book_helpers import make_claims, make_policies
 from ratespark.config import MODEL_CATEGORICAL, MODEL_NUMERIC, BoostConfig, ForestConfig, ModelConfig, RoleConfig
-from ratespark.operators import models
+from ratespark.operators import glm, models
 from ratespark.operators.datasets import clean_frequency_data
 
 SMALL = ModelConfig(
@@ -131,3 +131,36 @@ def test_evaluate(book):
     assert frequency["sample_size"] == 600 and frequency["predicted_mean"] == pytest.approx(frequency["observed_mean"], rel=1e-3)
     severity = models.train_severity_model(claims).evaluate(claims).first()
     assert severity["gamma_deviance"] > 0 and severity["mae"] <= severity["rmse"]
+
+
+def test_a_fit_without_penalty_ends_after_few_passes_and_meets_its_score_equations(book, monkeypatch):
+    policies, _ = book
+    passes, sums = [], glm._sums
+    monkeypatch.setattr(glm, "_sums", lambda *a: passes.append(1) or sums(*a))
+    twins = policies.withColumn("VehAge", F.col("VehPower") + F.col("VehAge") / 1000)  # nearly one direction: equations solved anew never settle
+    model = models.train_frequency_model(twins, alpha=0.0, drop_reference=True)
+    assert len(passes) <= 12
+    fitted = model.transform(twins).withColumn("fitted", F.col("predicted_annual_frequency") * F.col("Exposure"))
+    for name in MODEL_CATEGORICAL:
+        for row in fitted.groupBy(name).agg(F.sum("fitted").alias("a"), F.sum("ClaimNb").alias("b")).collect():
+            assert row.a == pytest.approx(row.b, rel=1e-9)
+
+
+def test_a_model_with_reference_levels_is_a_formula_that_refuses_unseen_ones(book):
+    policies, _ = book
+    model = models.train_frequency_model(policies, alpha=0.0, drop_reference=True)
+    assert models.glm_formula(model.pipeline) is not None
+    pair = model.transform(policies).join(model.pipeline.transform(policies).select("IDpol", "prediction"), "IDpol")
+    assert pair.agg(F.max(F.abs(F.col("predicted_annual_frequency") / F.col("prediction") - 1))).first()[0] < 1e-12
+    for odd in (F.lit("never seen"), F.lit(None).cast("string")):
+        with pytest.raises(Exception, match="Area was not seen"):
+            model.transform(policies.withColumn("Area", odd)).agg(F.sum("predicted_annual_frequency")).collect()
+
+
+def test_steps_that_go_too_far_are_halved_and_missing_targets_refused(spark):
+    rows = spark.createDataFrame([(float(i % 7 == 0) * 40.0, 0, 1.0, 50.0 * (i % 7 == 0)) for i in range(70)], "x double, l int, w double, y double")
+    beta = glm.fit_log_link(rows, "poisson", "y", "w", ["x"], ["l"], [0], 1e-3, 100, 1e-10)
+    loss, slope, _ = glm._sums(rows, "poisson", "y", "w", ["x"], ["l"], [0], beta)
+    assert np.abs(slope / 70 - [1e-3 * beta[0], 0.0]).max() < 1e-9
+    with pytest.raises(ValueError, match="missing"):
+        glm.fit_log_link(rows.withColumn("y", F.lit(None).cast("double")), "poisson", "y", "w", ["x"], ["l"], [0], 0.0, 5, 1e-10)
