@@ -114,14 +114,40 @@ def dense_ids(df: DataFrame, alias: str) -> DataFrame:
     return numbered.drop(_PART, _PLACE, "__start", "__total")
 
 
-FILE_ORDER = ["__file", "__block", "__place"]
-
-
 def with_file_key(df: DataFrame) -> DataFrame:
     """A table straight from a file reader with each row's file, the start of its block and its place in the reading task."""
     return df.select(
         "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__place"),
+        F.monotonically_increasing_id().alias(_PLACE),
+    )
+
+
+def with_file_lines(df: DataFrame, alias: str = "line", by_file: bool = True, rows_alias: str | None = None) -> DataFrame:
+    """``df``, straight from a file reader, with ``__file`` and the 1-based number of each row in its file or in all files.
+
+    A task reads a block from its start to its end, so a row's number is its place after the block's first row, plus the rows of
+    all earlier blocks. One aggregate counts the blocks; no row is moved or sorted. ``rows_alias`` adds the rows of the file
+    or of all files. Only filters and computed columns may lie between ``df`` and its reader.
+    """
+    keyed = with_file_key(df)
+    block = {"__file": "__in", "__block": "__from", "__task": "__by"}
+    task = F.shiftright(_PLACE, _SLOT_BITS).cast("int").alias("__task")
+    counts = keyed.groupBy("__file", "__block", task).agg(F.count(F.lit(1)).alias("__n"), F.min(_PLACE).alias("__first"))
+    span = Window.partitionBy(*["__file"] if by_file else [])  # one row per block of the reader
+    before = span.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        *[F.col(name).alias(other) for name, other in block.items()], "__first",
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(span).alias("__total"),
+    )
+    placed = keyed.withColumn("__task", task)
+    same = (F.col("__file") == F.col("__in")) & (F.col("__block") == F.col("__from")) & (F.col("__task") == F.col("__by"))
+    # a block that the count has not seen would be numbered wrongly: the reader dealt its blocks otherwise the second time
+    moved = F.raise_error(F.lit("The files' blocks changed while their rows were being numbered.")).cast("long")
+    added = {alias: F.coalesce("__start", moved) + F.col(_PLACE) - F.col("__first") + F.lit(1)}
+    if rows_alias:
+        added[rows_alias] = F.col("__total")
+    return placed.join(F.broadcast(starts), same, "left").withColumns(added).drop(
+        "__block", "__task", _PLACE, *block.values(), "__first", "__start", "__total"
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..config import CLAIM_AMOUNT, CLAIM_COUNT, FREQUENCY_COLUMNS, POLICY_ID, RATED_NUMERIC, SEVERITY_COLUMNS
-from ..operators.ranking import FILE_ORDER, prefix_sums, with_file_key
+from ..operators.ranking import with_file_lines
 from ..operators.validate import require_pricing_columns, validate_schema
 from ..schemas import BATCH_REQUEST
 
@@ -142,12 +142,12 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     task. An empty file has no lines and no row.
     """
     lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
-    keyed = with_file_key(lines).select(*FILE_ORDER, F.sha2("value", 256).alias("digest"))
-    one = F.lit(1).cast("long")
-    level = prefix_sums(keyed, FILE_ORDER, {"line": one}, by=["__file"], totals={"line": "lines"}).select(
-        F.col("__file").alias("path"), "lines", (F.col("line") - F.lit(1)).alias("spot"), "digest"
+    level = with_file_lines(lines, rows_alias="lines").select(
+        F.col("__file").alias("path"), "lines", (F.col("line") - F.lit(1)).alias("spot"), F.sha2("value", 256).alias("digest")
     )
-    width = level.agg(F.max("lines")).first()[0] or 0
+    # The longest file's lines, counted without hashing or numbering them.
+    counts = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("lines"))
+    width = counts.agg(F.max("lines")).first()[0] or 0
     while width > 1:
         level = _tree_level(level)
         width = -(-width // TREE_WIDTH)

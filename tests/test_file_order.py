@@ -81,3 +81,13 @@ def test_folding_leaves_coefficients_as_they_are(spark, monkeypatch, role):
     a, b = (m.pipeline.stages[-1] for m in (folded, plain))
     assert a.coefficients.toArray() == pytest.approx(b.coefficients.toArray(), abs=1e-8)
     assert a.intercept == pytest.approx(b.intercept, abs=1e-8)
+
+
+def test_numbering_files_neither_samples_nor_moves_rows(spark, folder, monkeypatch):
+    monkeypatch.setattr(ranking, "range_bounds", lambda *a: pytest.fail("rows were sampled"))
+    lines = spark.read.option("recursiveFileLookup", True).text(str(folder[0]))
+    numbered = ranking.in_file_order(lines, "n").where("value <> ''")
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "row_number" not in plan and "BroadcastHashJoin" in plan
+    assert numbered.count() == sum(folder[1].values())
+    readers.file_digests(spark, str(folder[0])).collect()
