@@ -1,13 +1,14 @@
 """Isolation forest: rows that random cuts set apart early are outliers, also where no single column stands out.
 
 Every tree sees a hash sample of about ``SAMPLE`` rows, drawn in one pass; the samples meet in one small group per tree, where
-the tree is grown. A tree comes back as nested conditions, so the mean path length of any row is a column expression. Rows
+the tree is grown. A tree comes back as nested conditions; rows go down the trees in numpy, a batch at a time. Rows
 with a missing value take the lower side of a cut on it.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -79,14 +80,50 @@ def fit_isolation_forest(
     return [r.path for r in grown]
 
 
+def _flat_tree(path: str, columns: list[str]) -> tuple[np.ndarray, ...]:
+    """(column, cut, node above, node below, length) per node, and the depth, of one tree's expression; a leaf leads to itself."""
+    tokens = iter(re.findall(r"CASE WHEN `(.+?)` >= ([^ ]+)D THEN|([-+.\de]+)D", path))
+    nodes: list[list] = []
+
+    def read() -> tuple[int, int]:
+        name, cut, length = next(tokens)
+        place = len(nodes)
+        if length:
+            nodes.append([0, np.inf, place, place, float(length)])
+            return place, 0
+        nodes.append([columns.index(name), float(cut), 0, 0, 0.0])
+        (above, high), (below, low) = read(), read()
+        nodes[place][2:4] = above, below
+        return place, 1 + max(high, low)
+
+    _, depth = read()
+    column, cut, above, below, length = (np.array(part) for part in zip(*nodes))
+    return column, cut, above, below, length, depth
+
+
 def path_length(paths: Sequence[str]) -> Column:
-    """Mean path length over the trees.
+    """Mean path length over the trees: a batch of rows goes down every tree level by level in numpy.
 
-    The sum goes through a higher-order function, which evaluates its input as it stands: compiled as one method, this many
-    conditions would exceed what the JVM accepts.
+    The conditions themselves are too many to be compiled by the JVM, and it takes them one node at a time otherwise.
     """
-    total = F.aggregate(F.array(*map(F.expr, paths)), F.lit(0.0), lambda sum_, path: sum_ + path)
-    return total / F.lit(float(len(paths)))
+    columns = sorted(set(re.findall(r"`(.+?)` >=", " ".join(paths))))
+    trees = [_flat_tree(path, columns) for path in paths]
+    if not columns:
+        return F.lit(sum(tree[4][0] for tree in trees) / len(paths))
+
+    def mean(*values: pd.Series) -> pd.Series:
+        rows = np.column_stack([v.to_numpy(float) for v in values])
+        each, total = np.arange(len(rows)), np.zeros(len(rows))
+        for column, cut, above, below, length, depth in trees:
+            node = np.zeros(len(rows), int)
+            for _ in range(depth):
+                node = np.where(rows[each, column[node]] >= cut[node], above[node], below[node])
+            total += length[node]
+        return pd.Series(total / len(trees))
+
+    # a missing value is below every cut, NaN above, as in the conditions
+    filled = [F.coalesce(F.when(F.isnan(c), F.lit(np.inf)).otherwise(F.col(c)), F.lit(-np.inf)) for c in (f"`{c}`" for c in columns)]
+    return F.pandas_udf(mean, "double", F.PandasUDFType.SCALAR)(*filled)
 
 
 def isolation_scores(df: DataFrame, columns: Sequence[str], key: str, trees: int = TREES, sample: int = SAMPLE, seed: int = RANDOM_SEED) -> DataFrame:

@@ -67,3 +67,14 @@ def test_expected_depth_and_constant_columns(spark):
     assert isolation.isolation_scores(flat, ["x", "y"], "id", trees=3).select("isolation_score").distinct().count() == 1
     with pytest.raises(ValueError):
         isolation.fit_isolation_forest(flat.where("id < 0"), ["x"], "id", trees=2)
+
+
+def test_missing_and_nan_values_go_down_as_the_conditions_say(spark):
+    path = "CASE WHEN `x` >= 0.5D THEN CASE WHEN `y` >= -1.5e-05D THEN 1.0D ELSE 2.5D END ELSE 3.0D END"
+    rows = [(0.5, 0.0), (0.5, -1.0), (0.4, 9.0), (None, 1.0), (float("nan"), 1.0), (1.0, None), (float("inf"), float("-inf"))]
+    df = spark.createDataFrame(rows, "x double, y double")
+    flat = isolation.path_length([path, "2.0D"])
+    assert "lambda" not in str(flat) and "mean(" in str(flat)  # not taken one condition at a time
+    found = df.select(flat.alias("a"), ((F.expr(path) + 2.0) / 2.0).alias("b")).collect()
+    assert [r.a for r in found] == [r.b for r in found]
+    assert df.select(isolation.path_length(["2.0D", "4.0D"]).alias("p")).distinct().collect()[0].p == 3.0
