@@ -26,6 +26,10 @@ from .features import engineer_features
 from .validate import require_columns
 
 
+#: What training reads of the policies; everything else would only fill the cache.
+TRAINING_COLUMNS = [POLICY_ID, CLAIM_COUNT, *RATING_COLUMNS, "LogDensity", "has_claim", "premium_paid"]
+
+
 class ModelData(NamedTuple):
     policies: DataFrame
     claims: DataFrame
@@ -165,11 +169,17 @@ def _rows(counts):
 
 
 def prepare_model_datasets(raw_policies: DataFrame, raw_claims: DataFrame, **clean_options) -> ModelData:
-    """Clean both tables and align them for training."""
+    """Clean both tables and align them for training.
+
+    Claims take their factors from the same columns that training persists, so policies are cleaned once for both.
+    """
     frequency = clean_frequency_data(raw_policies, **clean_options)
     severity = clean_severity_data(raw_claims)
+    policies = attach_claim_totals(frequency, severity)
     return ModelData(
-        attach_claim_totals(frequency, severity),
-        claims_with_factors(severity, frequency, hot=None),
-        data_quality(frequency, severity),
+        policies, claims_with_factors(severity, training_policies(policies), hot=None), data_quality(frequency, severity)
     )
+
+
+def training_policies(policies: DataFrame) -> DataFrame:
+    return policies.select(*[c for c in TRAINING_COLUMNS if c in policies.columns])

@@ -19,7 +19,6 @@ from pyspark.ml.feature import (
     StringIndexerModel,
     VectorAssembler,
 )
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     GBTRegressor,
     GeneralizedLinearRegression,
@@ -184,6 +183,20 @@ def load_model(spark: SparkSession, role: Role, name: str, path: str) -> FittedM
     return FittedModel(role, name, PipelineModel.load(path))
 
 
+def scaled_numbers(encoder: list) -> list[Column | None]:
+    """The numbers as the encoder's stages fill and scale them, as expressions; None for a number that does not vary."""
+    by_kind = {type(stage): stage for stage in encoder}
+    if ImputerModel not in by_kind:
+        return []
+    imputer, scaler = by_kind[ImputerModel], by_kind[StandardScalerModel]
+    stand_ins = imputer.surrogateDF.first().asDict()
+    out: list[Column | None] = []
+    for name, mean, deviation in zip(imputer.getInputCols(), scaler.mean.toArray(), scaler.std.toArray()):
+        value = F.coalesce(F.nanvl(F.col(name), F.lit(None)), F.lit(stand_ins[name]))
+        out.append((value - F.lit(float(mean))) / F.lit(float(deviation)) if deviation > 0 else None)
+    return out
+
+
 def glm_formula(pipeline: PipelineModel) -> Column | None:
     """exp(intercept + sum of effects) of a fitted log-link model, or None for other models."""
     *encoder, fitted = pipeline.stages
@@ -192,14 +205,10 @@ def glm_formula(pipeline: PipelineModel) -> Column | None:
     weights = iter(fitted.coefficients.toArray())
     by_kind = {type(stage): stage for stage in encoder}
     terms: list[Column] = []
-    if ImputerModel in by_kind:
-        imputer, scaler = by_kind[ImputerModel], by_kind[StandardScalerModel]
-        stand_ins = imputer.surrogateDF.first().asDict()
-        for name, mean, deviation in zip(imputer.getInputCols(), scaler.mean.toArray(), scaler.std.toArray()):
-            weight = float(next(weights))
-            if deviation > 0:
-                value = F.coalesce(F.nanvl(F.col(name), F.lit(None)), F.lit(stand_ins[name]))
-                terms.append((value - F.lit(float(mean))) / F.lit(float(deviation)) * F.lit(weight))
+    for scaled in scaled_numbers(encoder):
+        weight = float(next(weights))
+        if scaled is not None:
+            terms.append(scaled * F.lit(weight))
     if StringIndexerModel in by_kind:
         indexer = by_kind[StringIndexerModel]
         strict = indexer.getHandleInvalid() != "keep"  # then the last level is the reference, and no other may appear
@@ -298,15 +307,10 @@ def _fit_glm(
 ) -> GeneralizedLinearRegressionModel:
     """Newton's method on scaled numbers and level numbers: a row is a few values, not its encoded vector."""
     numbers, levels = [f"__x{i}" for i in range(len(numeric))], [f"__idx_{c}" for c in categorical]
-    scaled = [vector_to_array("__scaled")[i].alias(name) for i, name in enumerate(numbers)]
-    rows = encoder.transform(training).select(*scaled, *[F.col(c).cast("int").alias(c) for c in levels], _TARGET, _WEIGHT).persist()
+    scaled = [(F.lit(0.0) if x is None else x).alias(name) for x, name in zip(scaled_numbers(encoder.stages), numbers)]
+    rows = encoder.transform(training).select(*scaled, *levels, _TARGET, _WEIGHT)
     widths = [size - 1 for stage in encoder.stages if isinstance(stage, OneHotEncoderModel) for size in stage.categorySizes]
-    try:
-        beta = fit_log_link(
-            rows, settings.getFamily(), _TARGET, _WEIGHT, numbers, levels, widths, penalty, settings.getMaxIter(), GLM_TOLERANCE
-        )
-    finally:
-        rows.unpersist()
+    beta = fit_log_link(rows, settings.getFamily(), _TARGET, _WEIGHT, numbers, levels, widths, penalty, settings.getMaxIter(), GLM_TOLERANCE)
     return as_model(training.sparkSession, beta, settings)
 
 

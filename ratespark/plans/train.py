@@ -12,7 +12,6 @@ from pyspark.sql.utils import AnalysisException
 
 from ..config import (
     CLAIM_AMOUNT,
-    CLAIM_COUNT,
     POLICY_ID,
     RANDOM_SEED,
     RATING_COLUMNS,
@@ -21,7 +20,7 @@ from ..config import (
     ModelConfig,
     PricingConfig,
 )
-from ..operators.datasets import ModelData, prepare_model_datasets
+from ..operators.datasets import ModelData, prepare_model_datasets, training_policies
 from ..operators.models import train_frequency_model, train_severity_model
 from ..operators.pricing import baselines_dict, calculate_premium, portfolio_baselines, risk_thresholds, top_premiums
 from ..operators.retraining import MIN_ROWS, combine_records, require_min_rows, retraining_frames, retraining_quality
@@ -34,7 +33,6 @@ from ..sources.store import fetch_training_data
 from .experiments import run_model_comparison
 
 # What training reads; everything else would only fill the cache.
-POLICY_COLUMNS = [POLICY_ID, CLAIM_COUNT, *RATING_COLUMNS, "LogDensity", "has_claim", "premium_paid"]
 CLAIM_COLUMNS = [POLICY_ID, "claim_seq", CLAIM_AMOUNT, *RATING_COLUMNS, "LogDensity"]
 
 
@@ -76,7 +74,7 @@ def run_training(
     dataset_version: Any = None,
 ) -> dict[str, Any]:
     """Train, evaluate and write everything under ``out``. Returns metrics and metadata."""
-    policies = policies.select(*[c for c in POLICY_COLUMNS if c in policies.columns]).persist()
+    policies = training_policies(policies).persist()
     claims = numbered_claims(claims.select(*[c for c in CLAIM_COLUMNS if c in claims.columns])).persist()
     try:
         train_p, test_p = stratified_split(policies, policy_key(), "has_claim", test_size)
@@ -127,8 +125,8 @@ def run_training(
             data_quality=quality, pricing_config=asdict(pricing),
         )
     finally:
-        policies.unpersist()
         claims.unpersist()
+        policies.unpersist()
     return {"metrics": metrics, "metadata": metadata, "run_id": run_id}
 
 

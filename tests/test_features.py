@@ -12,6 +12,7 @@ from ratespark.operators.datasets import (
     hot_keys,
     join_on_skewed_key,
     prepare_model_datasets,
+    training_policies,
 )
 from ratespark.operators.features import build_inference_frame, engineer_features, fill_policy_ids
 from ratespark.operators.validate import (
@@ -157,6 +158,16 @@ def test_datasets_and_quality(raw_policies, raw_claims, spark):
         assert r.AverageClaimAmount == (r.TotalClaimAmount / r.ClaimNb if r.ClaimNb else 0.0)
 
 
+def test_claims_read_the_policies_that_training_keeps(raw_policies, raw_claims):
+    data = prepare_model_datasets(raw_policies.withColumn("marker", F.lit(1)), raw_claims)
+    kept = training_policies(data.policies).persist()
+    try:
+        plan = data.claims.select("IDpol", "Area")._jdf.queryExecution().withCachedData().toString()
+    finally:
+        kept.unpersist()
+    assert "InMemoryRelation" in plan and "has_claim" in plan and "marker" not in plan
+
+
 def test_skewed_join_equals_plain_join(spark):
     facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("IDpol"), F.col("id").alias("ClaimAmount"))
     lookup = spark.range(60).select(F.col("id").alias("IDpol"), (F.col("id") * 2).alias("v"))

@@ -1,6 +1,7 @@
 """Fits are checked against a small Newton solver of the penalised likelihood."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,24 @@ def test_steps_that_go_too_far_are_halved_and_missing_targets_refused(spark):
     assert np.abs(slope / 70 - [1e-3 * beta[0], 0.0]).max() < 1e-9
     with pytest.raises(ValueError, match="missing"):
         glm.fit_log_link(rows.withColumn("y", F.lit(None).cast("double")), "poisson", "y", "w", ["x"], ["l"], [0], 0.0, 5, 1e-10)
+
+
+@pytest.mark.parametrize("family", ["poisson", "gamma"])
+def test_packed_rows_give_the_sums_of_the_design_matrix(spark, family):
+    draws = np.random.default_rng(3)
+    pdf = pd.DataFrame({"x": draws.normal(size=900), "z": draws.normal(size=900), "a": draws.integers(0, 4, 900), "b": draws.integers(0, 3, 900),
+                        "y": draws.gamma(2.0, size=900), "w": draws.uniform(0.1, 1, 900)})
+    rows = spark.createDataFrame(pdf).withColumn("b", F.nullif("b", F.lit(2))).repartition(5)
+    ones = [(pdf["a"] == i) for i in range(3)] + [(pdf["b"] == i) for i in range(2)]  # level 3 of a and no level of b have no column
+    x = np.stack([pdf["x"], pdf["z"], *ones, np.ones(900)], 1).astype(float)
+    beta = draws.normal(size=8) / 4
+    eta, y = x @ beta, pdf["y"].to_numpy()
+    mu = np.exp(eta)
+    loss, slope, curve = (mu - y * eta, y - mu, mu) if family == "poisson" else (y / mu + eta, y / mu - 1, y / mu)
+    w = pdf["w"].to_numpy()
+    packed = glm._pack(rows, "y", "w", ["x", "z"], ["a", "b"], F.lit(False))
+    assert packed.count() <= 5  # a row per batch
+    for form in (rows, packed):
+        found = glm._sums(form, family, "y", "w", ["x", "z"], ["a", "b"], [3, 2], beta)
+        for ours, theirs in zip(found, (w @ loss, x.T @ (w * slope), x.T @ (x * (w * curve)[:, None]))):
+            assert np.allclose(ours, theirs, rtol=1e-12, atol=1e-10)

@@ -168,6 +168,22 @@ def test_stratified_split_is_exact_per_stratum(spark, skewed):
     assert train.count() + test.count() == 5003 and train.join(test, "id").count() == 0
 
 
+@pytest.mark.parametrize("strata", ["IF(id % 10 = 0, NULL, 'a')", "id % 10 = 0", "IF(id % 3 = 0, NULL, IF(id = 7, 1, 2))", "id % 3 * 0.5"])
+def test_few_strata_move_no_rows_and_change_nothing(monkeypatch, skewed, strata):
+    rows = skewed.withColumn("s", F.expr(strata))
+    few = sampling.stratified_split_labels(rows, F.col("id"), "s")
+    if not strata.endswith("0.5"):  # decimals are joined
+        assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    monkeypatch.setattr(sampling, "FEW_STRATA", 1)
+    many = sampling.stratified_split_labels(rows, F.col("id"), "s")
+    assert "Join" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(few.collect(), key=lambda r: r.id) == sorted(many.collect(), key=lambda r: r.id)
+
+
+def test_split_of_an_empty_frame(skewed):
+    assert sampling.stratified_split_labels(skewed.where("id < 0").withColumn("s", F.lit(1)), F.col("id"), "s").count() == 0
+
+
 def test_hash_split_keeps_its_side(skewed):
     train, test = sampling.hash_split(skewed, F.col("id"))
     part = sampling.hash_split(skewed.where("id < 1000"), F.col("id"))[1]
